@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, token_table
+from quire.llm import bpe, pii, token_table
 
 #: The vocabulary file of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,9 +34,21 @@ def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, their digest, and all spans of every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[pii.count(kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.as_text(kinds=pii.BASE), 256).alias("base_sha256"),
+        pii.as_text().alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op7_token_table": op7_token_table,
+    "op8_pii": op8_pii,
 }
 
 SQL: dict[str, str] = {}
