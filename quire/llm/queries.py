@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, pii, token_table
+from quire.llm import bpe, maxscore, pii, token_table
 
 #: The vocabulary file of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -45,10 +45,28 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors for each vector whose id is divisible by 50."""
+    vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return maxscore.top_k(vectors.where(F.col("key") % 50 == 0), vectors, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op7_token_table": op7_token_table,
     "op8_pii": op8_pii,
+    "op9_maxscore": op9_maxscore,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+}
