@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, maxscore, pii, token_table
+from quire.llm import bpe, learn, maxscore, pii, token_table, toxicity
 
 #: The vocabulary file of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; labels of the documents with remainder 1 are never learnt."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = learn.sample_of(table(spark, sf_dir, "labels"), "doc_id", "toxic", 3, 1, toxicity.SAMPLE)
+    scored = toxicity.score(docs, toxicity.fit(docs, sample))
+    return scored.select("doc_id", F.coalesce(learn.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token table of every document, written and read back."""
     return token_table.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -53,6 +61,7 @@ def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_toxicity": op4_toxicity,
     "op7_token_table": op7_token_table,
     "op8_pii": op8_pii,
     "op9_maxscore": op9_maxscore,
