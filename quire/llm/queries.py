@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, learn, maxscore, pii, token_table, toxicity
+from quire.llm import bpe, learn, maxscore, pii, quality, token_table, toxicity
 
 #: The vocabulary file of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(learn.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; labels of the documents with remainder 0 are never learnt."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = learn.sample_of(table(spark, sf_dir, "labels"), "doc_id", "quality", 5, 0, quality.SAMPLE)
+    scored = quality.score(docs, quality.fit(docs, sample))
+    return scored.select("doc_id", F.coalesce(learn.remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token table of every document, written and read back."""
     return token_table.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -62,6 +70,7 @@ def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op7_token_table": op7_token_table,
     "op8_pii": op8_pii,
     "op9_maxscore": op9_maxscore,
