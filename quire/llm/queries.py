@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, learn, maxscore, pii, quality, token_table, toxicity
+from quire.llm import bpe, learn, maxscore, minhash, pii, quality, token_table, toxicity
 
 #: The vocabulary file of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over 2-word shingles at 0.8."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as counts and digests."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, ["doc_id"], decode=True)
@@ -68,6 +74,7 @@ def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
