@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, learn, maxscore, minhash, pii, quality, token_table, toxicity
+from quire.llm import bpe, learn, maxscore, minhash, pii, quality, substring, token_table, toxicity
 
 #: The vocabulary file of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +73,12 @@ def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors.where(F.col("key") % 50 == 0), vectors, 5)
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that stand earlier."""
+    kept = substring.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_table": op7_token_table,
     "op8_pii": op8_pii,
     "op9_maxscore": op9_maxscore,
+    "op10_substring": op10_substring,
 }
 
 SQL: dict[str, str] = {
