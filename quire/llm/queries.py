@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, learn, maxscore, minhash, pii, quality, substring, token_table, toxicity
+from quire.llm import bpe, decontaminate, learn, maxscore, minhash, pii, quality, substring, token_table, toxicity, warc
 
 #: The vocabulary file of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; labels of the documents with remainder 1 are never learnt."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +49,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(learn.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every revisit of the archive of all pages stood for."""
+    resolved = warc.resolve(warc.records_of(table(spark, sf_dir, "pages")))
+    shown = F.expr("array_join(array_sort(transform(map_entries(headers), e -> concat(e.key, ': ', e.value))), '; ')")
+    return resolved.select("record_id", "canonical_url", "response_id", "outcome", shown.alias("headers"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document; labels of the documents with remainder 0 are never learnt."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,7 +95,9 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
+    "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_quality": op6_quality,
     "op7_token_table": op7_token_table,
     "op8_pii": op8_pii,
@@ -91,6 +106,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_warc_revisits": r"""
+        WITH page AS (
+            SELECT page_id, url, md5(coalesce(html, '')) AS h, length(coalesce(html, '')) AS size, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+        record AS (
+            SELECT 2 * page_id AS record_id, url, 60 * page_id AS date, true AS f, '"' || h[1:16] || '"' AS etag, 'day ' || h[17:18] AS modified, CAST(size AS VARCHAR) AS size, page_id FROM page
+            UNION ALL
+            SELECT 2 * page_id + 1, bare || CASE WHEN contains(bare, '?') THEN '&utm_medium=crawl' ELSE '?utm_medium=crawl' END, 60 * page_id + 3600, false,
+                CASE WHEN page_id % 7 = 0 THEN '"other"' WHEN page_id % 5 <> 0 THEN '"' || h[1:16] || '"' END, 'day ' || h[17:18], '0', page_id FROM page),
+        cut AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM record),
+        canon AS (
+            SELECT *, nullif(
+                regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '')
+                || regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/index\.(html|htm|php)$', '/'), '/+$', '')
+                || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'),
+                    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|ref|fbclid|gclid|sessionid|sid)(=|$)'))), '&'), ''), ''), '') AS canonical_url FROM cut),
+        latest AS (
+            SELECT v.record_id, v.canonical_url, v.etag, v.modified, v.page_id,
+                (SELECT max({'date': r.date, 'id': r.record_id}) FROM canon r WHERE r.f AND r.canonical_url = v.canonical_url AND r.date < v.date).id AS response_id
+            FROM canon v WHERE NOT v.f),
+        joined AS (
+            SELECT l.*, r.etag AS r_etag, r.size,
+                CASE WHEN l.response_id IS NULL THEN 'missing'
+                     WHEN l.etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN l.etag = r.etag THEN 'resolved' ELSE 'mismatch' END
+                     WHEN l.modified IS NOT NULL AND r.modified IS NOT NULL THEN CASE WHEN l.modified = r.modified THEN 'resolved' ELSE 'mismatch' END
+                     ELSE 'unvalidated' END AS outcome
+            FROM latest l LEFT JOIN canon r ON r.f AND r.record_id = l.response_id)
+        SELECT record_id, canonical_url, response_id, outcome,
+            CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=120; content-length: ' || size || '; content-type: text/html; etag: ' || r_etag || '; x-served-by: cache-' || (page_id % 9) END AS headers
+        FROM joined""",
     "op9_maxscore": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v
