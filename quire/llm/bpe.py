@@ -5,8 +5,8 @@ maps every mergeable pair, by its rank, to all its positions in the block; the
 active ranks are taken in ascending order, each merge is applied to all its
 positions at once, and only the lists of the pairs that a merge touches change.
 
-Text is cut at white space first, so a piece between white space is encoded
-once per worker and looked up afterwards.
+Text is cut at ASCII white space first, which no token reaches across; a piece
+between is encoded once per worker and looked up afterwards.
 """
 
 from __future__ import annotations
@@ -20,17 +20,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, texts_of
+from quire.llm.common import slices
 
-#: Characters that str.split() takes for white space though the Unicode property does not.
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-_SPACE = regex.compile(r"\s+")
-#: Pieces that a worker remembers, at most.
-REMEMBERED = 300_000
+#: Pieces in one generation of a worker's memory; half as many where it holds decoded text too.
+GENERATION = 450_000
+#: Bytes of text in a block, and new pieces that are encoded together.
+BLOCK, LEARNT = 12 << 20, 100_000
 
 
 def _byte_symbols() -> list[str]:
@@ -116,7 +116,9 @@ class WordBpe:
             by = np.argsort(rank, kind="stable")
             rank, positions = rank[by], positions[by]
             cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            for r, at in zip(rank[np.concatenate(([0], cuts))].tolist(), np.split(positions, cuts) if len(cuts) else [positions]):
+            firsts = [0, *cuts.tolist()]
+            for r, start, stop in zip(rank[firsts].tolist(), firsts, [*firsts[1:], len(rank)]):
+                at = positions[start:stop]
                 if (held := index.get(r)) is None:
                     index[r] = [at]
                     heapq.heappush(active, r)
@@ -163,27 +165,35 @@ class WordBpe:
                 start = found.end()
         return parts
 
-    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, tuple[bytes, str]]:
-        """Each distinct piece between white space as little-endian ids and decoded text."""
+    def encode_pieces(self, pieces: Iterable[str], decode: bool) -> tuple[dict[str, bytes], dict[str, str]]:
+        """Each distinct piece between white space as little-endian ids and, if asked, as decoded text."""
         pieces = list(pieces)
+        special = [p for p in pieces if "<|" in p]
+        if special:
+            pieces = [p for p in pieces if "<|" not in p]
+        find, words, bounds = self.pattern.findall, [], [0]
         # no form of normalisation reaches across a line end, and pieces hold none
-        normal = _normal("\n".join(pieces)).split("\n")
-        find = self.pattern.findall
-        parts = [
-            self._parts(p) if "<|" in p else (low.encode(),) if low.isalpha() else [w.encode() for w in find(low)]
-            for p, low in zip(pieces, normal)
-        ]
-        place = dict.fromkeys(w for some in parts for w in some)
-        words = [w for w in place if isinstance(w, bytes)]
+        for low in _normal("\n".join(pieces)).split("\n") if pieces else ():
+            if low.isalpha():
+                words.append(low.encode())
+            else:
+                words += [w.encode() for w in find(low)]
+            bounds.append(len(words))
         flat, starts = self.merge(words)
-        raw, names = flat.astype("<u4").tobytes(), list(map(self.tokens.__getitem__, flat.tolist()))
-        bounds = starts.tolist()
-        coded: dict[bytes | int, tuple[bytes, str]] = {w: (raw[4 * a : 4 * b], " ".join(names[a:b])) for w, a, b in zip(words, bounds, bounds[1:])}
-        coded |= {i: (i.to_bytes(4, "little"), self.tokens[i]) for i in place if isinstance(i, int)}
-        return {
-            p: coded[some[0]] if len(some) == 1 else (b"".join([coded[w][0] for w in some]), " ".join([coded[w][1] for w in some]))
-            for p, some in zip(pieces, parts)
-        }
+        raw, cuts = flat.astype("<u4").tobytes(), starts[bounds]
+        at = (4 * cuts).tolist()
+        ids = {p: raw[a:b] for p, a, b in zip(pieces, at, at[1:])}
+        names: dict[str, str] = {}
+        if decode:
+            tokens, at = list(map(self.tokens.__getitem__, flat.tolist())), cuts.tolist()
+            names = {p: " ".join(tokens[a:b]) for p, a, b in zip(pieces, at, at[1:])}
+        for p in special:
+            parts = self._parts(p)
+            plain, starts = self.merge([x for x in parts if isinstance(x, bytes)])
+            each = iter(np.split(plain, starts[1:-1]))
+            whole = np.concatenate([np.zeros(0, np.int64), *(next(each) if isinstance(x, bytes) else [x] for x in parts)]).astype("<u4")
+            ids[p], names[p] = whole.tobytes(), self.decode(whole.tolist())
+        return ids, names
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens in a row, as a vocabulary without a decoder prints them; unknown ids are left out."""
@@ -201,53 +211,71 @@ def vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def split_pieces(text: str) -> list[str]:
-    """A text cut at white space (the Unicode property)."""
-    if _SEPARATORS.search(text):
-        return [p for p in _SPACE.split(text) if p]
-    return text.split()
-
-
 class Remembered:
-    """Pieces to (little-endian ids, decoded text), for one worker."""
+    """Pieces to little-endian ids (and decoded text), for one worker, in two generations.
 
-    def __init__(self, path: str):
-        self.bpe = vocabulary(path)
-        self.held: dict[str, tuple[bytes, str]] = {}
+    Once a generation is full it becomes the older one, from which pieces come
+    back when they are met again; what was not met by then is forgotten.
+    """
 
-    def learn(self, split: list[list[str]]) -> None:
-        """See to it that every piece of these texts is held."""
-        seen: set[str] = set()
-        for pieces in split:
-            seen.update(pieces)
-        if len(self.held) > REMEMBERED:
-            self.held = {}
-        self.held |= self.bpe.encode_pieces(p for p in seen if p not in self.held)
+    def __init__(self, path: str, decode: bool):
+        self.bpe, self.decode = vocabulary(path), decode
+        self.ids: dict[str, bytes] = {}
+        self.names: dict[str, str] = {}
+        self.older: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+
+    def learn(self, pieces: list[str]) -> None:
+        """See to it that all these distinct pieces are held."""
+        if len(self.ids) > GENERATION // (1 + self.decode):
+            self.older = self.ids, self.names
+            self.ids, self.names = {}, {}
+        lacking = [p for p in pieces if p not in self.ids]
+        back = [p for p in lacking if p in self.older[0]]
+        if back:
+            self.ids |= zip(back, map(self.older[0].__getitem__, back))
+            if self.decode:
+                self.names |= zip(back, map(self.older[1].__getitem__, back))
+            lacking = [p for p in lacking if p not in self.ids]
+        for start in range(0, len(lacking), LEARNT):
+            ids, names = self.bpe.encode_pieces(lacking[start : start + LEARNT], self.decode)
+            self.ids |= ids
+            self.names |= names
 
 
 @functools.lru_cache(maxsize=2)
-def remembered(path: str) -> Remembered:
+def remembered(path: str, decode: bool) -> Remembered:
     """The worker's memory of pieces; a later task of the same worker starts from it."""
-    return Remembered(path)
+    return Remembered(path, decode)
 
 
 def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool) -> Iterator[pa.RecordBatch]:
     """Add ids (list of int) and, if asked, decoded text to batches whose last column is the text; the text goes."""
-    memory = remembered(path)
-    gc.disable()  # millions of small live objects and no cycles
+    memory = remembered(path, decode)
+    gc.disable()  # many small live objects and no cycles
     for batch in batches:
         column = batch.column(batch.num_columns - 1)
-        for start, stop in slices(column):
-            split = [split_pieces(t) for t in texts_of(column[start:stop])]
-            memory.learn(split)
-            held = memory.held
-            blocks = [b"".join([held[p][0] for p in pieces]) for pieces in split]
-            offsets = np.zeros(len(blocks) + 1, np.int32)
-            np.cumsum([len(b) // 4 for b in blocks], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(blocks), "<u4").view(np.int32))
-            columns = [batch.column(i)[start:stop] for i in range(batch.num_columns - 1)] + [pa.ListArray.from_arrays(pa.array(offsets), values)]
+        for start, stop in slices(column, BLOCK):
+            split = pc.ascii_split_whitespace(column[start:stop].fill_null(""))
+            coded = split.flatten().dictionary_encode()
+            bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+            del split
+            pieces = coded.dictionary.to_pylist()
+            memory.learn(pieces)
+            # every occurrence takes its piece's ids from where they stand once
+            blobs = list(map(memory.ids.__getitem__, pieces))
+            once = np.frombuffer(b"".join(blobs), "<u4").view(np.int32)
+            lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            at = coded.indices.to_numpy()
+            counts = lengths[at]
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            places = np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], counts) + np.arange(ends[-1])
+            lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(once[places]))
+            columns = [*(c[start:stop] for c in batch.columns[:-1]), lists]
             if decode:
-                columns.append(pa.array([" ".join([d for p in pieces if (d := held[p][1])]) for pieces in split], pa.string()))
+                shown = counts > 0  # a piece without tokens leaves no gap in the text
+                named = pa.array(list(map(memory.names.__getitem__, pieces)), pa.string()).take(pa.array(at[shown]))
+                kept = np.concatenate(([0], np.cumsum(shown)))[bounds]
+                columns.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), named), " "))
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
 
