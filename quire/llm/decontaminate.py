@@ -10,6 +10,7 @@ word n-grams of the item's question and answer near the passage.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -192,6 +193,15 @@ def matches(texts: pa.Array, index: Index, known: dict[str, int], retrieve: floa
     return found
 
 
+def indexes(items: DataFrame, item_key: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """Indexes of all items, each of about ``index_bytes`` of text at most, one at a time; items with a null key are left out."""
+    known = items.select(F.col(f"`{item_key}`").cast("long").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text")).where("item is not null")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-total // index_bytes))
+    for shard in range(shards):
+        yield Index([tuple(r) for r in known.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).collect()])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", retrieve: float = RETRIEVE, verify: float = VERIFY, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(key, item, score, question_overlap, answer_overlap): one row for each benchmark item that a text holds.
 
@@ -202,15 +212,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     and repeated rows each give their rows.  Weights come from the items of one
     index.  Other columns are ignored.
     """
-    known_items = items.select(F.col(f"`{item_key}`").cast("long").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text")).where("item is not null")
-    total = known_items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // index_bytes))
     picked = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = picked.schema[0].dataType.simpleString()
-    found = None
-    for shard in range(shards):
-        # at most about ``index_bytes`` of benchmark text at a time
-        index = Index([tuple(r) for r in known_items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).collect()])
+    found = []
+    for index in indexes(items, item_key, item_text, index_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -223,6 +228,23 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                         keys = batch.column(0)[start:stop].take(pa.array(rows))
                         yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for i in of], pa.int64()), *(pa.array(x, pa.float64()) for x in (score, question, answer))], [key, item_key, "score", "question_overlap", "answer_overlap"])
 
-        one = picked.mapInArrow(run, f"`{key}` {kind}, `{item_key}` long, score double, question_overlap double, answer_overlap double")
-        found = one if found is None else found.union(one)
-    return found
+        found.append(picked.mapInArrow(run, f"`{key}` {kind}, `{item_key}` long, score double, question_overlap double, answer_overlap double"))
+    return functools.reduce(DataFrame.union, found)
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", retrieve: float = RETRIEVE, verify: float = VERIFY, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no item as :func:`contaminated` finds it; in one pass for each index, without a shuffle."""
+    place = docs.columns.index(text)
+    for index in indexes(items, item_key, item_text, index_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, known = shared.value, {}
+            for batch in batches:
+                for start, stop in slices(batch.column(place)):
+                    kept = np.ones(stop - start, bool)
+                    kept[[m[0] for m in matches(batch.column(place)[start:stop], index, known, retrieve, verify)]] = False
+                    yield batch.slice(start, stop - start).filter(pa.array(kept))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
