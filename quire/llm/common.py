@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -37,6 +39,17 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """In a Python worker: let freed arrays go back to the system at once.
+
+    Otherwise both Arrow's pool and the C library keep what a large block needed,
+    beside what the JVM of the same executor holds.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """A string column as a list, null as the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, written
+from quire.llm.common import give_back, slices, written
 from quire.llm.graph import components
 
 TREES, DEPTH, LEAST_DEPTH = 24, 8, 4
@@ -160,8 +160,11 @@ def _linked_regions(rows: DataFrame, equal: int, region: int, edges: bool) -> Da
     names = ["tree", "k1", "k2", "s0", "s1", "s2", "s3", "id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(run: list[np.ndarray], whole: bool) -> Iterator[pa.RecordBatch]:
-            """Links of one region's rows; ``whole`` if no partition edge cuts it."""
+        give_back()
+        made: list[list[np.ndarray]] = []  # rows to hand on, as columns
+
+        def linked(run: list[np.ndarray], whole: bool) -> None:
+            """Make the links of one region's rows; ``whole`` if no partition edge cuts it."""
             n = len(run[0])
             if n > 1:
                 by = np.lexsort((run[7], run[2].view(np.uint64)))
@@ -170,11 +173,16 @@ def _linked_regions(rows: DataFrame, equal: int, region: int, edges: bool) -> Da
                 links = [x for a, b in _parts(run[2], region) for x in _forest(sketches[a:b], run[7][a:b], equal)]
                 if links:
                     pairs = np.unique(np.array(links, np.int64), axis=0)
-                    zeros = np.zeros(len(pairs), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(zeros, pa.int32()), *(pa.array(zeros) for _ in range(6)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], [*names, "other"])
+                    made.append([*[np.zeros(len(pairs), np.int64)] * 7, pairs[:, 0], pairs[:, 1]])
             if edges and not whole:
                 some = np.arange(n) if n <= region else np.r_[0:32, n - 32 : n]
-                yield pa.RecordBatch.from_arrays([pa.array(run[0][some] + 1, pa.int32()), *(pa.array(c[some]) for c in run[1:]), pa.nulls(len(some), pa.int64())], [*names, "other"])
+                made.append([run[0][some] + 1, *(c[some] for c in run[1:]), np.zeros(len(some), np.int64)])
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            if made:
+                columns = [np.concatenate(c) for c in zip(*made)]
+                made.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *map(pa.array, columns[1:])], [*names, "other"])
 
         held: list[np.ndarray] | None = None  # the last region so far, which may go on
         first = True
@@ -185,18 +193,19 @@ def _linked_regions(rows: DataFrame, equal: int, region: int, edges: bool) -> Da
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             starts = np.flatnonzero(np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))))
             stops = np.append(starts[1:], len(rows[0]))
-            alone = stops - starts < 2
-            for k in range(len(starts) - 1):
-                if not alone[k] or first:
-                    yield from linked([c[starts[k] : stops[k]] for c in rows], not first)
-                first = False
-            held = [c[starts[-1] :] for c in rows]
+            together = np.flatnonzero(stops[:-1] - starts[:-1] > 1).tolist()
+            for k in ([0] if first and len(starts) > 1 else []) + [k for k in together if k or not first]:
+                linked([c[starts[k] : stops[k]] for c in rows], not (first and k == 0))
+            first = first and len(starts) < 2
+            held = [c[starts[-1] :].copy() for c in rows]
             if len(held[0]) > 8 * region:
                 # a hot region: link what is here and go on from its last rows
-                yield from linked(held, False)
-                held = [c[-region:] for c in held]
+                linked(held, False)
+                held = [c[-region:].copy() for c in held]
+            yield from handed_on()
         if held is not None:
-            yield from linked(held, False)
+            linked(held, False)
+            yield from handed_on()
 
     return rows.select(*names).mapInArrow(run, "tree int, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long, id long, other long")
 
