@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices
+from quire.llm.common import give_back, slices
 
 #: Pieces in one generation of a worker's memory; half as many where it holds decoded text too.
-GENERATION = 450_000
+GENERATION = 500_000
 #: Bytes of text in a block, and new pieces that are encoded together.
-BLOCK, LEARNT = 12 << 20, 100_000
+BLOCK, LEARNT = 20 << 20, 300_000
 
 
 def _byte_symbols() -> list[str]:
@@ -224,22 +224,26 @@ class Remembered:
         self.names: dict[str, str] = {}
         self.older: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
 
-    def learn(self, pieces: list[str]) -> None:
-        """See to it that all these distinct pieces are held."""
+    def coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, all of which (and their decoded texts) are held from then on."""
         if len(self.ids) > GENERATION // (1 + self.decode):
             self.older = self.ids, self.names
             self.ids, self.names = {}, {}
-        lacking = [p for p in pieces if p not in self.ids]
-        back = [p for p in lacking if p in self.older[0]]
-        if back:
-            self.ids |= zip(back, map(self.older[0].__getitem__, back))
+        found = list(map(self.ids.get, pieces))
+        lacking = [p for p, ids in zip(pieces, found) if ids is None]
+        if not lacking:
+            return found
+        if self.older[0]:
+            back = {p: ids for p, ids in zip(lacking, map(self.older[0].get, lacking)) if ids is not None}
+            self.ids |= back
             if self.decode:
                 self.names |= zip(back, map(self.older[1].__getitem__, back))
-            lacking = [p for p in lacking if p not in self.ids]
+            lacking = [p for p in lacking if p not in back]
         for start in range(0, len(lacking), LEARNT):
             ids, names = self.bpe.encode_pieces(lacking[start : start + LEARNT], self.decode)
             self.ids |= ids
             self.names |= names
+        return [self.ids[p] if ids is None else ids for p, ids in zip(pieces, found)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -250,6 +254,7 @@ def remembered(path: str, decode: bool) -> Remembered:
 
 def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool) -> Iterator[pa.RecordBatch]:
     """Add ids (list of int) and, if asked, decoded text to batches whose last column is the text; the text goes."""
+    give_back()
     memory = remembered(path, decode)
     gc.disable()  # many small live objects and no cycles
     for batch in batches:
@@ -260,9 +265,8 @@ def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool) -
             bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
             del split
             pieces = coded.dictionary.to_pylist()
-            memory.learn(pieces)
             # every occurrence takes its piece's ids from where they stand once
-            blobs = list(map(memory.ids.__getitem__, pieces))
+            blobs = memory.coded(pieces)
             once = np.frombuffer(b"".join(blobs), "<u4").view(np.int32)
             lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
             at = coded.indices.to_numpy()
@@ -271,6 +275,7 @@ def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool) -
             places = np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], counts) + np.arange(ends[-1])
             lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(once[places]))
             columns = [*(c[start:stop] for c in batch.columns[:-1]), lists]
+            del places, ends, blobs, once
             if decode:
                 shown = counts > 0  # a piece without tokens leaves no gap in the text
                 named = pa.array(list(map(memory.names.__getitem__, pieces)), pa.string()).take(pa.array(at[shown]))

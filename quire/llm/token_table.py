@@ -66,31 +66,39 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     return table.select(*columns) if columns else table
 
 
-def positions(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """``key``, file, row, n_tokens and ``start`` (the ids of all rows before it), read without the ids.
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` (file, row, n_tokens, ...) of a token table with ``start``, the ids of all rows before.
 
-    The running sum is taken within each file; one row a file goes into the sum over files.
+    The sums over files are read without the ids; one row a file is summed in
+    order, and the running sum is taken within each file.
     """
-    rows = spark.read.parquet(path).select(F.col(f"`{key}`"), "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    counts = rows.sparkSession.read.parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file"))
+    files = counts.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = files.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
-    return rows.withColumn("within", within).join(before, "file").select(key, "file", "row", "n_tokens", (F.col("before") + F.col("within")).alias("start"))
+    return rows.withColumn("within", within).join(before, "file").withColumn("start", F.col("before") + F.col("within")).drop("within", "before")
+
+
+def positions(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """``key``, n_tokens and start of each row, read without the ids."""
+    rows = spark.read.parquet(path).select(F.col(f"`{key}`"), "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return with_starts(rows, path).select(key, "n_tokens", "start")
 
 
 def checksums(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """file, row and the unsigned crc32 of each row's ids as little-endian unsigned 32-bit integers."""
-    rows = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "ids")
+    """``key``, n_tokens, file, row and the unsigned crc32 of each row's ids as little-endian unsigned 32-bit integers."""
+    rows = spark.read.parquet(path).select(F.col(f"`{key}`"), "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "ids")
+    kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
+            ids = batch.column(4)
             offsets = ids.offsets.to_pylist()
-            raw = memoryview(ids.values.to_numpy().astype("<u4").tobytes())
+            raw = memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B")
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], ["file", "row", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64())], [key, "n_tokens", "file", "row", "ids_crc32"])
 
-    return rows.mapInArrow(run, "file string, row long, ids_crc32 long")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, file string, row long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,4 +106,4 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, key: str = "do
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, vocabulary, end_id, key, text)
-    return positions(spark, path, key).join(checksums(spark, path, key), ["file", "row"]).select(key, "start", "n_tokens", "ids_crc32")
+    return with_starts(checksums(spark, path, key), path).select(key, "start", "n_tokens", "ids_crc32")
