@@ -2,9 +2,9 @@
 
 The benchmark's items are the indexed side and every passage of every training
 text is a query.  An item's BM25 impacts are divided by the score it gives to
-itself, so one threshold serves all items.  A passage whose terms' largest
-impacts cannot reach the threshold is passed over at once (vectorised over a
-block of texts); the rest run block-max WAND.  Retrieved pairs are verified on
+itself, so one threshold serves all items.  Bounds from the rarer terms pass over
+most passages at once, vectorised over a block of texts; the rest run block-max
+WAND.  Retrieved pairs are verified on
 word n-grams of the item's question and answer near the passage.
 """
 
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from quire.llm.common import slices
 
 #: Share of an item's own score from which it is retrieved, and share of n-grams from which it is verified.
-RETRIEVE, VERIFY = 0.5, 0.8
+RETRIEVE, VERIFY = 0.6, 0.8
 #: Words of an n-gram; shorter questions and answers are one n-gram.
 GRAM = 5
 #: Bytes of benchmark text that one index holds, at most; more text makes more indexes, each met by all passages.
 INDEX_BYTES = 16 << 20
 #: Postings of a block.
 BLOCK = 32
+#: Share of any item's score that words may give which no bound looks at.
+COMMON = 0.25
 K1, B = 1.2, 0.75
 
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -91,7 +93,41 @@ class Index:
         self.impacts = [[x for _, x in p] for p in postings.values()]
         self.block_most = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impacts]
         self.block_last = [[p[min(k + BLOCK, len(p)) - 1] for k in range(0, len(p), BLOCK)] for p in self.items]
-        self.most = np.array([max(x) for x in self.impacts] + [0.0])  # the last stands for words of no item
+        self.most = [max(x) for x in self.impacts]
+        self._bounds()
+
+    def _bounds(self) -> None:
+        """Split the terms for bounds: the commonest, which give every item :data:`COMMON` of its score at most and that no bound looks at, and the others."""
+        self.common = np.zeros(len(self.ids))
+        self.rare = np.zeros(len(self.terms) + 1, bool)  # the last stands for words of no item
+        self.rare[:-1] = True
+        for t in sorted(range(len(self.items)), key=lambda t: (-len(self.items[t]), t)):
+            with_it = self.common[self.items[t]] + self.impacts[t]
+            if len(self.items[t]) < 2 or with_it.max() > COMMON:
+                break
+            self.common[self.items[t]] = with_it
+            self.rare[t] = False
+        self.counts = np.array([len(x) for x in self.items] + [0]) * self.rare
+        self.starts = np.cumsum(self.counts) - self.counts
+        rare = np.flatnonzero(self.rare[:-1]).tolist()
+        self.rare_items = np.array([i for t in rare for i in self.items[t]], np.int64)
+        self.rare_impacts = np.array([x for t in rare for x in self.impacts[t]], float)
+
+    def reachable(self, terms: np.ndarray, stretches: np.ndarray, least: float) -> np.ndarray:
+        """Of words (terms, stretches of half a passage), the stretches s for which the passage of s and s+1 may give an item ``least``."""
+        rare = self.rare[terms]
+        if not rare.any():
+            return np.zeros(0, np.int64)
+        width, n = len(self.rare), len(self.ids)
+        held = np.unique(stretches[rare] * width + terms[rare])
+        stretch, term = held // width, held % width
+        counts = self.counts[term]
+        at = np.repeat(self.starts[term] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        key, impact = np.repeat(stretch, counts) * n + self.rare_items[at], self.rare_impacts[at]
+        # a stretch adds to the passage that it begins and to the one that it ends
+        keys, of = np.unique(np.concatenate((key, key - n)), return_inverse=True)
+        bound = np.bincount(of, np.concatenate((impact, impact))) + self.common[keys % n]
+        return np.unique(keys[bound >= least - 1e-9] // n)
 
     def retrieve(self, terms: Iterable[int], least: float) -> list[tuple[int, float]]:
         """Every (item, score) of at least ``least`` for a set of terms, by block-max WAND."""
@@ -160,21 +196,25 @@ def matches(texts: pa.Array, index: Index, known: dict[str, int], retrieve: floa
         terms[k] = t
     at = coded.indices.to_numpy()
     of = terms[at]
-    passed = np.concatenate(([0.0], np.cumsum(index.most[of])))
     size = max(64, 2 * index.longest)
     stride = size // 2
-    # passages begin every ``stride`` words and cover each text
+    # stretches of ``stride`` words; a passage is a stretch and the next, if that is of the same text
     n = np.diff(bounds)
-    counts = np.maximum(1, -(-np.maximum(n - stride, 0) // stride)) * (n > 0)
+    counts = -(-n // stride) + 1  # an empty stretch ends each text, so no passage reaches into the next
+    first = np.cumsum(counts) - counts
     rows = np.repeat(np.arange(len(n)), counts)
-    begins = bounds[:-1][rows] + stride * (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts))
-    ends = np.minimum(begins + size, bounds[1:][rows])
+    places = np.arange(len(of)) - np.repeat(bounds[:-1], n)
+    stretches = np.repeat(first, n) + places // stride
+    candidates = index.reachable(of, stretches + 1, retrieve) - 1  # one more, so that no number is below 0
+    candidates = candidates[candidates >= 0]
+    begins = bounds[:-1][rows[candidates]] + stride * (candidates - first[rows[candidates]])
+    ends = np.minimum(begins + size, bounds[1:][rows[candidates]])
     best: dict[tuple[int, int], tuple[float, list[tuple[int, int]]]] = {}
-    for p in np.flatnonzero(passed[ends] - passed[begins] >= retrieve - 1e-9).tolist():
-        here = of[begins[p] : ends[p]]
+    for row, begin, end in zip(rows[candidates].tolist(), begins.tolist(), ends.tolist()):
+        here = of[begin:end]
         for item, score in index.retrieve(np.unique(here[here < none]).tolist(), retrieve):
-            held, spans = best.get((int(rows[p]), item), (0.0, []))
-            best[int(rows[p]), item] = max(held, score), [*spans, (int(begins[p]), int(ends[p]))]
+            held, spans = best.get((row, item), (0.0, []))
+            best[row, item] = max(held, score), [*spans, (begin, end)]
     found = []
     for (row, item), (score, spans) in best.items():
         shares = (0.0, 0.0, 0.0)
