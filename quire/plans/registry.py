@@ -6,5 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with the SQL for the same rows where there is one."""
+
+    def put(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql is not None:
+            SQL[name] = sql
+        return run
+
+    return put
+
+
+def load() -> None:
+    """Register every module's queries."""
+    from quire.plans import content_queries, object_queries, page_queries, report_queries, stream_queries, text_queries  # noqa: F401
+
+
+load()
