@@ -8,11 +8,12 @@ rules that look at one operator at a time are filters over the parsed rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
@@ -281,3 +282,51 @@ def without_stamps(pages: DataFrame, tag: str, content: str = "content") -> Data
         return streams.map(one, na_action=None)
 
     return pages.withColumn(content, made(F.col(content)))
+
+
+def framed(content: Column, before: str = "", after: str = "", chosen: Column | None = None) -> Column:
+    """Operators put before and after a page's content, which keeps its own graphics state; null content stays null."""
+    made = F.concat(F.lit(before + "\n" if before else ""), F.lit("q\n"), content, F.lit("\nQ"), F.lit("\n" + after if after else ""))
+    return made if chosen is None else F.when(chosen, made).otherwise(content)
+
+
+def artifact(content: Column) -> Column:
+    """All content marked as an artifact."""
+    return F.concat(F.lit("/Artifact BMC\n"), content, F.lit("\nEMC"))
+
+
+def rectangle_ops(box: tuple[Column, Column, Column, Column], colour: str = "0", width: float = 1.0) -> Column:
+    """Operators that draw a box's outline."""
+    return F.format_string(f"q {width:g} w {colour} G %.2f %.2f %.2f %.2f re S Q", box[0], box[1], box[2] - box[0], box[3] - box[1])
+
+
+def drafted(boxes: bool) -> Callable[[str, list[str]], tuple[str, list[str]] | None]:
+    """A change that takes images away, or puts a crossed box in their place."""
+    cross = ["0 0 m 1 1 l 0 1 m 1 0 l 0 0 1 1 re"]
+    return lambda op, args: ("S", cross) if op == "Do" and boxes else None if op == "Do" else (op, args)
+
+
+def deflated(streams: Column) -> Column:
+    """Streams compressed with zlib; one that would not shrink stays as it is, after a byte that tells which."""
+
+    @F.pandas_udf("binary")
+    def made(values: pd.Series) -> pd.Series:
+        def one(raw: bytes | None) -> bytes | None:
+            if raw is None:
+                return None
+            small = zlib.compress(raw)
+            return b"Z" + small if len(small) < len(raw) else b"R" + raw
+
+        return values.map(one, na_action=None)
+
+    return made(streams)
+
+
+def inflated(streams: Column) -> Column:
+    """The inverse of :func:`deflated`."""
+
+    @F.pandas_udf("binary")
+    def made(values: pd.Series) -> pd.Series:
+        return values.map(lambda raw: None if raw is None else zlib.decompress(raw[1:]) if raw[:1] == b"Z" else raw[1:], na_action=None)
+
+    return made(streams)

@@ -237,3 +237,41 @@ def pages_fitted(lines: DataFrame, text: str, width: int, per_page: int) -> Data
 
     kind = dict(lines.dtypes)[DOC]
     return lines.select(DOC, F.col(text).alias("body")).mapInPandas(fold, f"{DOC} {kind}, {PAGE} int, line int, text string")
+
+
+def contents_list(marks: DataFrame, per_page: int, width: int) -> DataFrame:
+    """A table of contents: doc_id, pageno (of the list), line and text, the target at the right end after dots.
+
+    A title that does not fit is cut.
+    """
+    number = F.row_number().over(Window.partitionBy(DOC).orderBy("seq")) - 1
+    title = F.concat(F.repeat(F.lit("  "), F.col("level").cast("int")), F.col("text"))
+    target = F.col("target").cast("string")
+    line = F.concat(F.rpad(title, (width - F.length(target)).cast("int"), F.lit(".")), target)
+    return marks.select(DOC, (F.floor(number / per_page) + 1).cast("int").alias(PAGE), (number % per_page + 1).cast("int").alias("line"), line.alias("text"))
+
+
+def only_page(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The one page of each document that a range holds (doc_id, pageno); fails where it holds another number."""
+    counted = chosen.groupBy(DOC).agg(F.count("*").alias("n"), F.min(PAGE).alias(PAGE))
+    checked = pages.select(DOC).distinct().join(counted, DOC, "left")
+    return checked.select(DOC, F.when(F.col("n") == 1, F.col(PAGE)).otherwise(F.raise_error(F.lit("the range must be one page")).cast("int")).alias(PAGE))
+
+
+def outline_text(marks: DataFrame) -> DataFrame:
+    """Each document's marks as lines of level, quoted text, target and "open"."""
+    from quire.functions.text import escaped
+
+    line = F.concat_ws(" ", F.col("level"), F.concat(F.lit('"'), escaped(F.col("text")), F.lit('"')), F.col("target"), F.when(F.col("is_open"), F.lit("open")))
+    listed = F.array_sort(F.collect_list(F.struct("seq", line.alias("t"))))
+    return marks.groupBy(DOC).agg(F.array_join(F.transform(listed, lambda s: s["t"]), "\n").alias("outline"))
+
+
+def outline_marks(outlines: DataFrame) -> DataFrame:
+    """The inverse: doc_id, seq (from 1), level, text, target, is_open; lines of another form are left out."""
+    from quire.functions.text import unescaped
+
+    pattern = r'^(\d+) "((?:[^"\\]|\\.)*)" (\d+)( open)?$'
+    lines = outlines.select(DOC, F.posexplode(F.split("outline", "\n")).alias("seq", "l")).where(F.regexp_like("l", F.lit(pattern)))
+    part = lambda k: F.regexp_extract("l", pattern, k)
+    return lines.select(DOC, (F.col("seq") + 1).alias("seq"), part(1).cast("int").alias("level"), unescaped(part(2)).alias("text"), part(3).cast("int").alias("target"), (part(4) != "").alias("is_open"))

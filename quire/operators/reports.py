@@ -84,3 +84,29 @@ def text_width(texts: DataFrame, key: str, text: str, widths: DataFrame, size: f
     counted = texts.select(key, F.explode(F.split(text, "")).alias("char")).where("char <> ''").groupBy(key, "char").agg(F.count("*").alias("n"))
     wide = counted.join(F.broadcast(widths), "char", "left").groupBy(key).agg(F.sum(F.col("n") * F.coalesce("width", F.lit(default))).alias("units"))
     return wide.select(key, F.round(F.col("units") * size / 1000, 3).alias("width"))
+
+
+def closure_pairs(edges: DataFrame, roots: DataFrame, most: int = 200) -> DataFrame:
+    """(root, node): what each root (root) reaches over edges (src, dst), itself included; as :func:`closure`, for many roots at once."""
+    followed = cut(edges.select("src", "dst").distinct())
+    found = newest = cut(roots.select("root", F.col("root").alias("node")).distinct())
+    for _ in range(most):
+        reached = newest.join(followed, newest["node"] == followed["src"]).select("root", F.col("dst").alias("node")).distinct()
+        newest = cut(reached.join(found, ["root", "node"], "left_anti"))
+        if newest.isEmpty():
+            return found
+        found = cut(found.unionByName(newest))
+    raise ValueError(f"not closed after {most} steps")
+
+
+def tree_paths(nodes: DataFrame, most: int = 200) -> DataFrame:
+    """(node, depth, path) of a forest (node, parent, ord); path orders nodes as a listing does, roots have a null parent."""
+    step = lambda c: F.lpad(c.cast("string"), 6, "0")
+    found = newest = cut(nodes.where("parent is null").select("node", F.lit(0).alias("depth"), step(F.col("ord")).alias("path")))
+    for depth in range(1, most + 1):
+        below = newest.select(F.col("node").alias("parent"), F.col("path").alias("above")).join(nodes, "parent")
+        newest = cut(below.select("node", F.lit(depth).alias("depth"), F.concat("above", F.lit("/"), step(F.col("ord"))).alias("path")))
+        if newest.isEmpty():
+            return found
+        found = cut(found.unionByName(newest))
+    raise ValueError(f"deeper than {most}")

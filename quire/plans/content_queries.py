@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import ranges
 from quire.operators import content as ops
 from quire.plans.proxies import PAGES, pages
 from quire.plans.registry import query
@@ -84,3 +85,53 @@ def thin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def black_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ops.parsed(ops.rewritten(streams(spark, sf_dir), ops.blackened("fills")))
     return made.groupBy("doc_id", "pageno").agg(F.max(F.when(F.col("op") == "g", F.col("args"))).alias("fill"), F.max(F.when(F.col("op") == "G", F.col("args"))).alias("stroke"))
+
+
+@query("frame_content", _counts_sql(35, saves=3))
+def frame_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators before and after every page's own."""
+    p = streams(spark, sf_dir)
+    return _counted(p.withColumn("content", ops.framed(F.col("content"), "1 w", "2 w")), "saves=q")
+
+
+@query("mark_artifact", _counts_sql(33, marks=3))
+def mark_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = streams(spark, sf_dir)
+    return _counted(p.withColumn("content", ops.artifact(F.col("content"))), "marks=BMC")
+
+
+@query("show_boxes", f"WITH {PAGES} SELECT doc_id, pageno, printf('q 1 w 0 G 0.00 0.00 %.2f %.2f re S Q', w, h) AS ops FROM page")
+def show_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = F.lit(0.0)
+    return pages(spark, sf_dir).select("doc_id", "pageno", ops.rectangle_ops((zero, zero, F.col("w"), F.col("h"))).alias("ops"))
+
+
+@query("draft", f"WITH {PAGES} SELECT doc_id, pageno, 31 AS n, 0 AS images, 2 AS strokes FROM page")
+def draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images replaced by crossed boxes."""
+    made = ops.rewritten(streams(spark, sf_dir), ops.drafted(True))
+    counted = ops.parsed(made).where("op not in ('m', 'l', 're')").groupBy("doc_id", "pageno").agg(F.count("*").alias("k"), F.count(F.when(F.col("op") == "Do", 1)).alias("images"), F.count(F.when(F.col("op") == "S", 1)).alias("strokes"))
+    return counted.select("doc_id", "pageno", (F.col("k") + 3).cast("int").alias("n"), "images", "strokes")
+
+
+@query("compress_streams", "SELECT doc_id, text AS restored, true AS smaller FROM documents WHERE length(text) > 600")
+def compress_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts compressed and restored."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 600").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    packed = d.withColumn("packed", ops.deflated(F.col("raw")))
+    return packed.select("doc_id", ops.inflated(F.col("packed")).cast("string").alias("restored"), (F.octet_length("packed") < F.octet_length("raw")).alias("smaller"))
+
+
+@query("redact_pages", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN pageno BETWEEN 2 AND 3 THEN '' ELSE text END AS content, CASE WHEN pageno BETWEEN 2 AND 3 THEN 0 ELSE annots END AS annots FROM page")
+def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a range without content and annotations."""
+    p = ranges.member(pages(spark, sf_dir), "2-3")
+    blank = lambda c, e: F.when(F.col("in_range"), e).otherwise(F.col(c)).alias("content" if c == "text" else c)
+    return p.select("doc_id", "pageno", blank("text", F.lit("")), blank("annots", F.lit(0)))
+
+
+@query("remove_javascript", "SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</script>', '', 'g'), 'javascript:[^\"]*', '', 'g') NOT LIKE '%<script%' AS clean FROM pages")
+def remove_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup without scripts."""
+    html = F.regexp_replace(F.regexp_replace("html", r"(?is)<script\b.*?</script>", ""), r'javascript:[^"]*', "")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (~F.contains(html, F.lit("<script"))).alias("clean"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry, ranges, text
 from quire.operators import pages as ops
 from quire.plans.proxies import MARKS, PAGES, marks, pages
-from quire.plans.registry import QUERIES, SQL, query
+from quire.plans.registry import query
 
 
 @query("page_count", f"WITH {PAGES} SELECT doc_id, count(*) AS n_pages FROM page GROUP BY doc_id")
@@ -347,4 +347,53 @@ def redact_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, "doc_id").where((F.col("b_no") > F.col("a_no")) & geometry.touches(box("a"), box("b"))).select("doc_id", F.col("a_no").alias("a"), F.col("b_no").alias("b"))
 
 
-assert QUERIES.keys() >= SQL.keys()
+@query("contents_list", f"""WITH {PAGES}, {MARKS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS k FROM mark)
+    SELECT doc_id, CAST(k // 3 + 1 AS INTEGER) AS pageno, CAST(k % 3 + 1 AS INTEGER) AS line, rpad(repeat('  ', CAST(level AS INTEGER)) || text, CAST(30 - length(CAST(target AS VARCHAR)) AS INTEGER), '.') || target AS text FROM r""")
+def contents_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.contents_list(marks(spark, sf_dir), 3, 30)
+
+
+@query("open_at_page", f"WITH {PAGES} SELECT doc_id, last AS pageno FROM last")
+def open_at_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir)
+    return ops.only_page(p, ranges.selected(p.select("doc_id", "pageno"), "end"))
+
+
+@query("outline_text", f"""WITH {PAGES}, {MARKS} SELECT doc_id, string_agg(level || ' "' || text || '" ' || target || CASE WHEN level = 0 THEN ' open' ELSE '' END, chr(10) ORDER BY seq) AS outline FROM mark GROUP BY doc_id""")
+def outline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.outline_text(marks(spark, sf_dir).withColumn("is_open", F.col("level") == 0))
+
+
+@query("outline_marks", f"WITH {PAGES}, {MARKS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INTEGER) AS seq, level, text, target, level = 0 AS is_open FROM mark")
+def outline_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks written as text and read again."""
+    return ops.outline_marks(ops.outline_text(marks(spark, sf_dir).withColumn("is_open", F.col("level") == 0)))
+
+
+@query("presentation", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN pageno % 2 = 0 THEN 'Wipe' END AS style, CASE WHEN pageno % 2 = 0 THEN 2.5::DOUBLE END AS seconds FROM page".replace("CASE WHEN pageno % 2 = 0 THEN 'Wipe' END", "CASE WHEN pageno % 2 = 0 THEN 'Wipe' ELSE 'none' END").replace("THEN 2.5::DOUBLE END", "THEN 2.5::DOUBLE ELSE 0.0 END"))
+def presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions of the pages of a range."""
+    p = ranges.member(pages(spark, sf_dir), "even")
+    return p.select("doc_id", "pageno", F.when(F.col("in_range"), "Wipe").otherwise("none").alias("style"), F.when(F.col("in_range"), 2.5).otherwise(0.0).alias("seconds"))
+
+
+@query("remove_boxes", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN w < h THEN -1.0::DOUBLE ELSE w END AS crop FROM page")
+def remove_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crop widths, dropped from portrait pages."""
+    p = pages(spark, sf_dir)
+    p = ranges.member(p, "portrait", ranges.facts(p, width="w", height="h"))
+    return p.select("doc_id", "pageno", F.when(F.col("in_range"), -1.0).otherwise(F.col("w")).alias("crop"))
+
+
+@query("center_to_fit", f"WITH {PAGES} SELECT doc_id, pageno, w / 2 - 300 AS minx, h / 2 - 400 AS miny, w / 2 + 300 AS maxx, h / 2 + 400 AS maxy FROM page")
+def center_to_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of one size about the old centres."""
+    x, y = F.col("w") / 2, F.col("h") / 2
+    return _shown(pages(spark, sf_dir), (x - 300, y - 400, x + 300, y + 400))
+
+
+@query("upright", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN rotation % 180 = 90 THEN h ELSE w END AS w, CASE WHEN rotation % 180 = 90 THEN w ELSE h END AS h FROM page")
+def upright(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page sizes with the viewing rotation folded in."""
+    turned = F.col("rotation") % 180 == 90
+    return pages(spark, sf_dir).select("doc_id", "pageno", F.when(turned, F.col("h")).otherwise(F.col("w")).alias("w"), F.when(turned, F.col("w")).otherwise(F.col("h")).alias("h"))

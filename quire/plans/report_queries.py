@@ -123,3 +123,53 @@ def permission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations whose forbidden bit a document does not have."""
     r = table(spark, sf_dir, "region").where(F.col("r_regionkey").bitwiseAND(1) == 0)
     return table(spark, sf_dir, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("nested_fonts", f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey BETWEEN 1 AND 9 UNION SELECT root, dst FROM r JOIN edge ON src = node WHERE via = '/Kids')
+    SELECT DISTINCT root, p_brand AS font FROM r JOIN part ON p_partkey = node""")
+def nested_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fonts (brands) of the forms (parts) that each page (the first nine) reaches."""
+    part = table(spark, sf_dir, "part")
+    reached = ops.closure_pairs(edges(spark, sf_dir).where("via = '/Kids'"), part.where("p_partkey between 1 and 9").select(F.col("p_partkey").alias("root")))
+    return reached.join(part, F.col("p_partkey") == F.col("node")).select("root", F.col("p_brand").alias("font")).distinct()
+
+
+@query("structure_tree", """WITH RECURSIVE t AS (SELECT p_partkey AS node, 0 AS depth, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS path FROM part WHERE p_partkey = 1
+    UNION ALL SELECT p_partkey, depth + 1, path || '/' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') FROM t JOIN part ON p_partkey // 3 = node AND p_partkey > 2)
+    SELECT node, depth, path, repeat('  ', depth) || p_name AS line FROM t JOIN part ON p_partkey = node""")
+def structure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of parts as an indented listing, in the order of path."""
+    part = table(spark, sf_dir, "part").where("p_partkey >= 1")
+    nodes = part.where("p_partkey = 1 or p_partkey > 2").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3).cast("long")).alias("parent"), F.col("p_partkey").alias("ord"))
+    return ops.tree_paths(nodes).join(part.select(F.col("p_partkey").alias("node"), "p_name"), "node").select("node", "depth", "path", F.concat(F.repeat(F.lit("  "), F.col("depth")), "p_name").alias("line"))
+
+
+@query("copy_annotations", f"WITH {PAGES}, m AS (SELECT max(doc_id) AS top FROM page) SELECT a.doc_id, a.pageno, b.role, b.annots, top + a.doc_id AS new_id FROM page a JOIN page b ON b.doc_id = a.doc_id + 1 AND b.pageno = a.pageno, m WHERE b.annots > 0")
+def copy_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of the next document on this one's pages, numbered beyond the largest."""
+    p = pages(spark, sf_dir)
+    other = p.where("annots > 0").select((F.col("doc_id") - 1).alias("doc_id"), "pageno", "role", "annots")
+    top = p.agg(F.max("doc_id").alias("top"))
+    return p.select("doc_id", "pageno").join(other, ["doc_id", "pageno"]).join(F.broadcast(top), how="cross").select("doc_id", "pageno", "role", "annots", (F.col("top") + F.col("doc_id")).alias("new_id"))
+
+
+@query("remove_annotations", f"WITH {PAGES} SELECT doc_id, pageno, annots FROM page WHERE NOT pageno <= 2 AND annots > 0")
+def remove_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.functions import ranges
+
+    return ranges.member(pages(spark, sf_dir), "1-2").where("not in_range and annots > 0").select("doc_id", "pageno", "annots")
+
+
+@query("document_ids", "SELECT doc_id, sha256(text) AS id FROM documents")
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids made of contents, so that a new run gives the same."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("id"))
+
+
+@query("objects_as_json", """SELECT l_orderkey AS doc_id, '[' || string_agg('[' || l_linenumber || ',{"/Part":' || l_partkey || '}]', ',' ORDER BY l_linenumber) || ']' AS json FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_partkey FROM lineitem) GROUP BY l_orderkey""")
+def objects_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as the objects of one document."""
+    from quire.sources import document_json
+
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("objnum")).agg(F.min("l_partkey").alias("part"))
+    return document_json.written(lines.withColumn("object", document_json.dictionary({"/Part": document_json.reference(F.col("part"))})))
