@@ -362,6 +362,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     equal = int(SKETCH * (percent / 100 + (1 - percent / 100) / 16) - 5 * np.sqrt(SKETCH * percent / 100 * (1 - percent / 100)))
     grouped = components(candidates(reps.select("id", "sig"), equal, region))
     members = reps.select("id", "n").join(grouped, reps["id"] == grouped["node"]).select("id", "n", "component")
-    roots = components(confirmed(docs, members, key, text, words, percent, block)).select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    links = confirmed(docs, members, key, text, words, percent, block)
+    # the classes of rows that share a key are one node
+    several = classed.where("n > 0").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most").select("id", "b")
+    shared = classed.join(several, "id").select(F.col("rep").alias("a"), "b")
+    roots = components(links.union(shared)).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     found = classed.select("id", "n", "rep").join(roots, "rep", "left")
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))

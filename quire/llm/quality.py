@@ -124,7 +124,8 @@ class Model:
 
 
 def _holding(rules: list[Rule], x: np.ndarray) -> np.ndarray:
-    return np.array([np.all([(x[:, f] > t) == greater for f, greater, t in rule], axis=0) for rule in rules], float).T.reshape(len(x), -1)
+    held = [np.all([(x[:, f] > t) == greater for f, greater, t in rule], axis=0) for rule in rules]
+    return np.array(held, float).T if held else np.zeros((len(x), 0))
 
 
 def fit(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text", penalty: float = 0.001) -> Model:
