@@ -1,10 +1,11 @@
 """Toxicity by boosted trees over dense features, with isotonic calibration.
 
 The lexicon is learnt: words and word beginnings that stand in more of the
-toxic than of the other rows of one part of a bounded labelled sample.  A
-second part fits the trees, a third the calibration.  A piece of text between
-white space is classed once per worker; a document's features are then counts
-over those classes.
+toxic than of the other rows of a bounded labelled sample.  The sample is cut in
+:data:`FOLDS`: a row's features come from the lexicon of the other folds, and
+the calibration from scores of trees of the other folds, so neither sees the
+label that it is fitted to.  A piece of text between white space is classed once
+per worker; a document's features are then counts over those classes.
 """
 
 from __future__ import annotations
@@ -17,22 +18,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import learn
-from quire.llm.common import slices, texts_of
+from quire.llm.common import slices, texts_of, written
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 12_000
 #: Entries of the lexicon, at most.
 ENTRIES = 400
-#: Shares of the sample: the lexicon's, then the trees'; the rest calibrates.
-PARTS = (45, 80)
+#: Parts of the sample that are left out in turn.
+FOLDS = 5
 #: Lengths of word beginnings that may be entries.
 STEMS = (4, 5, 6, 7, 8)
 #: Pieces that a worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words from a second-person word within which a lexicon word counts as aimed at someone.
 NEAR = 5
 
@@ -60,34 +61,44 @@ def lexicon_keys(text: str) -> set[str]:
     return {f"={w}" for w in words if len(w) > 2} | {f"^{w[:k]}" for w in words for k in STEMS if len(w) >= k}
 
 
-def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, least: int = 6) -> dict[str, float]:
-    """From rows (text, label): entries and log odds, the surest first; equal texts count once."""
-    distinct = sample.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+def learn_lexicons(sample: DataFrame, entries: int = ENTRIES, least: int = 6) -> list[dict[str, float]]:
+    """From rows (text, label, fold): the entries and log odds, the surest first, without each fold and, last, of all rows; equal texts count once."""
+    distinct = sample.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("label").alias("label"), F.min("fold").alias("fold"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column(1).to_pylist()
-            counts = (Counter(), Counter())
+            labels, folds = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for start, stop in slices(batch.column(0), 4 << 20):
-                for text, label in zip(texts_of(batch.column(0)[start:stop]), labels[start:stop]):
-                    counts[label].update(lexicon_keys(text))
-            # the empty key counts the rows themselves
-            keys = ["", *(counts[1].keys() | counts[0].keys())]
-            totals = (len(labels) - sum(labels), sum(labels))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), *(pa.array([totals[c], *(counts[c][k] for k in keys[1:])], pa.int64()) for c in (1, 0))], ["key", "toxic", "other"]
-            )
-
-    counted = distinct.select("text", "label").mapInArrow(run, "key string, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    totals = {r["key"]: (r["toxic"], r["other"]) for r in counted.where("key = ''").collect()}
-    toxic, other = totals.get("", (0, 0))
-    if not toxic or not other:
-        return {}
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
-    rated = counted.where((F.col("key") != "") & (F.col("toxic") >= least)).select("key", odds.alias("odds"), (odds / error).alias("z"))
-    best = rated.where("odds > 1 and z > 3").orderBy(F.desc("z"), "key").limit(entries).collect()
-    return {r["key"]: r["odds"] for r in best}
+                counts: dict[tuple[int, int], Counter[str]] = {}
+                for text, label, fold in zip(texts_of(batch.column(0)[start:stop]), labels[start:stop], folds[start:stop]):
+                    counted = counts.setdefault((fold, label), Counter())
+                    counted.update(lexicon_keys(text))
+                    counted[""] += 1  # the empty key counts the rows themselves
+                for (fold, label), counted in counts.items():
+                    n = len(counted)
+                    yield pa.RecordBatch.from_arrays([pa.array(counted.keys(), pa.string()), pa.array([fold] * n, pa.int32()), pa.array([label] * n, pa.int32()), pa.array(counted.values(), pa.int64())], ["key", "fold", "label", "n"])
+
+    counted = distinct.select("text", "label", "fold").mapInArrow(run, "key string, fold int, label int, n long")
+
+    def total(label: int, fold: int) -> Column:
+        """Rows of a label outside a fold."""
+        return F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("fold") != fold), F.col("n"))), F.lit(0))
+
+    sums = counted.groupBy("key").agg(*[total(c, f).alias(f"n{c}_{f}") for f in range(FOLDS + 1) for c in (0, 1)])
+    frequent = written(sums.where((F.col("key") == "") | (F.col(f"n1_{FOLDS}") >= least)), "lexicon")
+    rows = frequent.where("key = ''").first()
+    found = []
+    for f in range(FOLDS + 1):
+        others, toxic = (rows[f"n{c}_{f}"] for c in (0, 1)) if rows else (0, 0)
+        if not others or not toxic:
+            found.append({})
+            continue
+        odds = F.log((F.col(f"n1_{f}") + 0.5) / (toxic + 1)) - F.log((F.col(f"n0_{f}") + 0.5) / (others + 1))
+        error = F.sqrt(1 / (F.col(f"n1_{f}") + 0.5) + 1 / (F.col(f"n0_{f}") + 0.5))
+        rated = frequent.where((F.col("key") != "") & (F.col(f"n1_{f}") >= least)).select("key", odds.alias("odds"), (odds / error).alias("z"))
+        best = rated.where("odds > 1 and z > 3").orderBy(F.desc("z"), "key").limit(entries).collect()
+        found.append({r["key"]: r["odds"] for r in best})
+    return found
 
 
 class Classes(dict):
@@ -141,7 +152,7 @@ def features(text: str, classes: Classes) -> list[float]:
     ]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _classes(lexicon: tuple[tuple[str, float], ...]) -> Classes:
     return Classes(dict(lexicon))
 
@@ -164,29 +175,31 @@ class Model:
 def fit(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """A model from :func:`learn.sample_of` rows and the texts of their documents.
 
-    Only the lexicon and the sample's features come to the driver; both are
+    Only the lexicons and the sample's features come to the driver; both are
     bounded by :data:`ENTRIES` and :data:`SAMPLE`.  Without labels of both kinds
     every text scores the mean.
     """
-    labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(sample), "key").select("text", "label", "part")
-    lexicon = learn_lexicon(labelled.where(F.col("part") < PARTS[0]))
-    entries = tuple(lexicon.items())
+    small = F.broadcast(sample.select("key", "label", (F.col("part") % FOLDS).alias("fold")))
+    labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(small, "key").select("text", "label", "fold")
+    lexicons = [tuple(x.items()) for x in learn_lexicons(labelled)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = [Classes(dict(x)) for x in lexicons]
         for batch in batches:
             for start, stop in slices(batch.column(0)):
-                rows = _matrix(texts_of(batch.column(0)[start:stop]), entries)
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), batch.column(1)[start:stop], batch.column(2)[start:stop]], ["x", "label", "part"])
+                folds = batch.column(2)[start:stop]
+                rows = [features(t, classes[f]) for t, f in zip(texts_of(batch.column(0)[start:stop]), folds.to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)[start:stop], folds], ["x", "label", "fold"])
 
-    got = labelled.where(F.col("part") >= PARTS[0]).mapInArrow(run, "x array<double>, label int, part int").toPandas()
-    got = got.sort_values(["part", "label", "x"], key=lambda c: c.map(tuple) if c.name == "x" else c, ignore_index=True)  # the same model whatever the order of rows
+    got = labelled.mapInArrow(run, "x array<double>, label int, fold int").toPandas()
+    got = got.sort_values(["fold", "label", "x"], key=lambda c: c.map(tuple) if c.name == "x" else c, ignore_index=True)  # the same model whatever the order of rows
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
-    y, of_trees = got["label"].to_numpy(float), (got["part"] < PARTS[1]).to_numpy()
-    trees = learn.boosted(x[of_trees], y[of_trees])
-    curve = learn.isotonic(learn.raw_scores(trees, x[~of_trees]), y[~of_trees])
-    if not (~of_trees).any():
-        curve = np.array([-30.0, 30.0]), np.array([0.0, 1.0])
-    return Model(lexicon, trees, curve)
+    y, fold = got["label"].to_numpy(float), got["fold"].to_numpy()
+    unseen = np.zeros(len(y))
+    for f in np.unique(fold):
+        others = fold != f
+        unseen[~others] = learn.raw_scores(learn.boosted(x[others], y[others]), x[~others])
+    return Model(dict(lexicons[FOLDS]), learn.boosted(x, y), learn.isotonic(unseen, y))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
