@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import give_back, slices
+from quire.llm.common import slices
 
 #: Pieces in one generation of a worker's memory; half as many where it holds decoded text too.
 GENERATION = 500_000
@@ -51,8 +51,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        splits = spec["pre_tokenizer"]["pretokenizers"]
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in splits] != ["Split", "ByteLevel"] or spec["decoder"]:
             raise ValueError(f"{path}: not a lower-casing word BPE without a decoder")
         self.end = model["end_of_word_suffix"]
@@ -254,7 +254,6 @@ def remembered(path: str, decode: bool) -> Remembered:
 
 def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool) -> Iterator[pa.RecordBatch]:
     """Add ids (list of int) and, if asked, decoded text to batches whose last column is the text; the text goes."""
-    give_back()
     memory = remembered(path, decode)
     gc.disable()  # many small live objects and no cycles
     for batch in batches:

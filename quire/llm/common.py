@@ -55,8 +55,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def slices(column: pa.Array, budget: int = 16 << 20):
-    """(start, stop) row ranges of a string column of at most ``budget`` bytes each, one row at least."""
+def slices(column: pa.Array, budget: int = 8 << 20):
+    """(start, stop) row ranges of a string column of at most ``budget`` bytes each, one row at least.
+
+    What a worker keeps between ranges stays small: see :func:`give_back`.
+    """
+    give_back()
     start, held = 0, 0
     for i in range(len(column)):
         scalar = column[i].as_buffer()

@@ -30,11 +30,15 @@ RETRIEVE, VERIFY = 0.6, 0.8
 GRAM = 5
 #: Bytes of benchmark text that one index holds, at most; more text makes more indexes, each met by all passages.
 INDEX_BYTES = 16 << 20
+#: Bytes of texts that bounds are worked out for at once.
+BLOCK_BYTES = 2 << 20
 #: Postings of a block.
 BLOCK = 32
 #: Share of any item's score that words may give which no bound looks at.
 COMMON = 0.25
 K1, B = 1.2, 0.75
+#: Pieces whose terms a task remembers, at most.
+REMEMBERED = 200_000
 
 _EDGES = re.compile(r"^\W+|\W+$")
 _ANSWER = re.compile(r"^\s*(?:A|Answer|answer|ANSWER)\s*[:.]\s*", re.M)
@@ -191,7 +195,7 @@ def matches(texts: pa.Array, index: Index, known: dict[str, int], retrieve: floa
     for k, p in enumerate(pieces):
         if (t := known.get(p)) is None:
             t = index.terms.get(normal(p), none)
-            if len(known) < 400_000:
+            if len(known) < REMEMBERED:
                 known[p] = t
         terms[k] = t
     at = coded.indices.to_numpy()
@@ -261,7 +265,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, known = shared.value, {}
             for batch in batches:
-                for start, stop in slices(batch.column(1)):
+                for start, stop in slices(batch.column(1), BLOCK_BYTES):
                     got = matches(batch.column(1)[start:stop], index, known, retrieve, verify)
                     if got:
                         rows, of, score, question, answer = zip(*got)
@@ -281,7 +285,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, known = shared.value, {}
             for batch in batches:
-                for start, stop in slices(batch.column(place)):
+                for start, stop in slices(batch.column(place), BLOCK_BYTES):
                     kept = np.ones(stop - start, bool)
                     kept[[m[0] for m in matches(batch.column(place)[start:stop], index, known, retrieve, verify)]] = False
                     yield batch.slice(start, stop - start).filter(pa.array(kept))
