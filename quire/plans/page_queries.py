@@ -53,8 +53,8 @@ def range_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set membership of ranges by what pages are."""
     p = pages(spark, sf_dir)
     known = ranges.facts(p, width="w", height="h", annotations="annots")
-    for name, spec in (("portrait", "portrait"), ("landscape", "landscape"), ("annotated", "annotated"), ("even_portrait", "evenportrait")):
-        p = ranges.member(p, spec if name != "even_portrait" else "2,4,6,8,10,12,14,16,18,20portrait", known, to=name)
+    for name, spec in (("portrait", "portrait"), ("landscape", "landscape"), ("annotated", "annotated"), ("even_portrait", "2,4,6,8,10,12,14,16,18,20portrait")):
+        p = ranges.member(p, spec, known, to=name)
     return p.select("doc_id", "pageno", "portrait", "landscape", "annotated", "even_portrait")
 
 
@@ -75,7 +75,7 @@ def range_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A set of pages as a range text."""
     p = pages(spark, sf_dir)
-    return ranges.compacted(p.join(ranges.facts(p), "doc_id").withColumnRenamed("last_page", "last_page").where("n % 3 <> 1"))
+    return ranges.compacted(p.join(ranges.facts(p), "doc_id").where("n % 3 <> 1"))
 
 
 _HALVES = "a AS (SELECT doc_id // 2 AS file, doc_id % 2 AS input_no, pageno AS pos, n FROM page)"
@@ -219,8 +219,9 @@ def list_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.member(m.withColumn("pageno", F.col("target")), "2-4", known).where("in_range").select("doc_id", "seq", "level", "target", "text")
 
 
-@query("bad_bookmarks", f"""WITH {PAGES}, {MARKS}, b AS (SELECT doc_id, seq, level + n % 4 AS level, target, text, lag(level + n % 4) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM mark JOIN page USING (doc_id) WHERE page.pageno = mark.target)
-    SELECT doc_id, seq, level, target, CASE WHEN before IS NULL AND level <> 0 THEN 'first level' ELSE 'level' END AS reason FROM b WHERE (before IS NULL AND level <> 0) OR level >= before + 2""".replace("page.pageno = mark.target", "pageno = target").replace("SELECT doc_id, seq, level + n % 4 AS level, target, text, lag", "SELECT mark.doc_id, seq, level + n % 4 AS level, target, mark.text, lag").replace("PARTITION BY doc_id ORDER BY seq) AS before FROM mark JOIN page USING (doc_id)", "PARTITION BY mark.doc_id ORDER BY seq) AS before FROM mark JOIN page ON page.doc_id = mark.doc_id"))
+@query("bad_bookmarks", f"""WITH {PAGES}, {MARKS}, b AS (
+    SELECT mark.doc_id, seq, level + n % 4 AS level, target, mark.text, lag(level + n % 4) OVER (PARTITION BY mark.doc_id ORDER BY seq) AS before FROM mark JOIN page ON page.doc_id = mark.doc_id AND pageno = target)
+    SELECT doc_id, seq, level, target, CASE WHEN before IS NULL AND level <> 0 THEN 'first level' ELSE 'level' END AS reason FROM b WHERE (before IS NULL AND level <> 0) OR level >= before + 2""")
 def bad_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules broken by bookmarks of disturbed levels."""
     p = pages(spark, sf_dir)
@@ -370,7 +371,7 @@ def outline_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.outline_marks(ops.outline_text(marks(spark, sf_dir).withColumn("is_open", F.col("level") == 0)))
 
 
-@query("presentation", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN pageno % 2 = 0 THEN 'Wipe' END AS style, CASE WHEN pageno % 2 = 0 THEN 2.5::DOUBLE END AS seconds FROM page".replace("CASE WHEN pageno % 2 = 0 THEN 'Wipe' END", "CASE WHEN pageno % 2 = 0 THEN 'Wipe' ELSE 'none' END").replace("THEN 2.5::DOUBLE END", "THEN 2.5::DOUBLE ELSE 0.0 END"))
+@query("presentation", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN pageno % 2 = 0 THEN 'Wipe' ELSE 'none' END AS style, CASE WHEN pageno % 2 = 0 THEN 2.5::DOUBLE ELSE 0.0 END AS seconds FROM page")
 def presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitions of the pages of a range."""
     p = ranges.member(pages(spark, sf_dir), "even")
