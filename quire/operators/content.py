@@ -330,3 +330,24 @@ def inflated(streams: Column) -> Column:
         return values.map(lambda raw: None if raw is None else zlib.decompress(raw[1:]) if raw[:1] == b"Z" else raw[1:], na_action=None)
 
     return made(streams)
+
+
+def clipped(content: Column, box: tuple[Column, Column, Column, Column]) -> Column:
+    """Content that shows inside a box alone."""
+    clip = F.format_string("%.2f %.2f %.2f %.2f re W n", box[0], box[1], box[2] - box[0], box[3] - box[1])
+    return F.concat(F.lit("q\n"), clip, F.lit("\n"), content, F.lit("\nQ"))
+
+
+def trim_marks(box: tuple[Column, Column, Column, Column], gap: float, length: float) -> Column:
+    """Operators that draw two short lines outside each corner of a box."""
+    x0, y0, x1, y1 = box
+    lines = [
+        (x - d * (gap + length), y, x - d * gap, y) for x, d in ((x0, 1), (x1, -1)) for y in (y0, y1)
+    ] + [(x, y - d * (gap + length), x, y - d * gap) for y, d in ((y0, 1), (y1, -1)) for x in (x0, x1)]
+    return F.concat(F.lit("q 0.25 w "), F.concat_ws(" ", *[F.format_string("%.2f %.2f m %.2f %.2f l", *line) for line in lines]), F.lit(" S Q"))
+
+
+def bounds_shown(pages: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id", "pageno"), height: float = 1.0, width: float = 0.5) -> DataFrame:
+    """keep, seq and the box of every text a page shows: from where it begins, ``width`` of its size a character."""
+    made = shown(pages, content, keep).where("kind = 'text'")
+    return made.select(*keep, "seq", F.col("x").alias("minx"), F.col("y").alias("miny"), (F.col("x") + F.length("text") * F.col("size") * width).alias("maxx"), (F.col("y") + F.col("size") * height).alias("maxy"))

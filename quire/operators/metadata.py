@@ -47,3 +47,13 @@ def xmp(title: Column, creator: Column, date: Column) -> Column:
 def set_xmp_date(packet: Column, date: str) -> Column:
     """A packet with another date."""
     return F.regexp_replace(packet, r"(<xmp:MetadataDate>)[^<]*(</xmp:MetadataDate>)", f"$1{date}$2")
+
+
+def mark_conformance(packet: Column, part: int) -> Column:
+    """A packet that names a part of the accessibility standard; an earlier name goes."""
+    return F.replace(unmark_conformance(packet), F.lit("</rdf:RDF>"), F.lit(f"<pdfuaid:part>{part}</pdfuaid:part></rdf:RDF>"))
+
+
+def unmark_conformance(packet: Column) -> Column:
+    """A packet without that name."""
+    return F.regexp_replace(packet, "<pdfuaid:part>[^<]*</pdfuaid:part>", "")

@@ -135,3 +135,27 @@ def remove_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup without scripts."""
     html = F.regexp_replace(F.regexp_replace("html", r"(?is)<script\b.*?</script>", ""), r'javascript:[^"]*', "")
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (~F.contains(html, F.lit("<script"))).alias("clean"))
+
+
+def _media() -> tuple:
+    return F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h")
+
+
+@query("hard_box", f"WITH {PAGES} SELECT doc_id, pageno, 'q' || chr(10) || printf('0.00 0.00 %.2f %.2f re W n', w, h) || chr(10) || role || chr(10) || 'Q' AS content FROM page")
+def hard_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content clipped to a box."""
+    return pages(spark, sf_dir).select("doc_id", "pageno", ops.clipped(F.col("role"), _media()).alias("content"))
+
+
+@query("trim_marks", f"""WITH {PAGES} SELECT doc_id, pageno, 'q 0.25 w ' || printf('-25.00 0.00 m -5.00 0.00 l -25.00 %.2f m -5.00 %.2f l %.2f 0.00 m %.2f 0.00 l %.2f %.2f m %.2f %.2f l', h, h, w + 25, w + 5, w + 25, h, w + 5, h)
+    || printf(' 0.00 -25.00 m 0.00 -5.00 l %.2f -25.00 m %.2f -5.00 l 0.00 %.2f m 0.00 %.2f l %.2f %.2f m %.2f %.2f l S Q', w, w, h + 25, h + 5, w, h + 25, w, h + 5) AS ops FROM page""")
+def trim_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("doc_id", "pageno", ops.trim_marks(_media(), 5.0, 20.0).alias("ops"))
+
+
+@query("bounding_boxes", f"""WITH {_WORDS} SELECT doc_id, pageno, 1 AS seq, 10.0::DOUBLE AS minx, 20.0::DOUBLE + pageno AS miny, 10.0 + length(a) * 6.0::DOUBLE AS maxx, 32.0::DOUBLE + pageno AS maxy FROM w
+    UNION ALL SELECT doc_id, pageno, 2, 10.0, pageno - 8.0, 10.0 + length(b) * 6.0, pageno + 4.0 FROM w
+    UNION ALL SELECT doc_id, pageno, 3, 16.0 + length(b) * 12.0, pageno - 8.0, 22.0 + length(b) * 12.0, pageno + 4.0 FROM w UNION ALL SELECT doc_id, pageno, 5, 0.0, 0.0, 0.0, 0.0 FROM w""")
+def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each text that a page shows lies."""
+    return ops.bounds_shown(streams(spark, sf_dir))

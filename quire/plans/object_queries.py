@@ -115,3 +115,10 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     made = part.select(F.col("p_partkey").alias("objnum"), document_json.dictionary({"/Parent": document_json.reference(F.col("p_partkey")), "/Name": document_json.name(F.col("p_name")), "/Size": document_json.integer(F.col("p_size"))}).alias("object"))
     return made.select("objnum", document_json.value("object", "/Parent").alias("parent"), document_json.value("object", "/Name", "N").alias("name"), document_json.value("object", "/Size", "I").cast("int").alias("size"))
+
+
+@query("mark_conformance", "SELECT o_orderkey, '<rdf:RDF><pdfuaid:part>2</pdfuaid:part></rdf:RDF>' AS marked, '<rdf:RDF></rdf:RDF>' AS unmarked FROM orders")
+def mark_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A standard's name in metadata, replaced and removed."""
+    marked = metadata.mark_conformance(metadata.mark_conformance(F.lit("<rdf:RDF></rdf:RDF>"), 1), 2)
+    return table(spark, sf_dir, "orders").select("o_orderkey", marked.alias("marked"), metadata.unmark_conformance(marked).alias("unmarked"))
