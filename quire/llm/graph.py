@@ -12,19 +12,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); component is the least node reachable.
 
     Large and small stars alternate until nothing moves, in about log(n)
-    rounds; each is a partially aggregated minimum and one join, and its result
-    is a table in the shared folder.  A hub's rows meet only its minimum, so
-    they can be split.  Only a count and a checksum of the edges reach the driver.
+    rounds; each is a partially aggregated minimum and one join, and its results
+    are tables in the shared folder.  A hub's rows meet only its minimum, and both
+    sides of a join are read from tables, so a skewed hub's partition is split.
+    Only a count and a checksum of the edges reach the driver.
     """
     held = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
         # large star: a node's larger neighbours go to the least of its neighbourhood
         both = held.union(held.select(F.col("b"), F.col("a")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = written(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its smaller neighbours go to the least of those
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
         small = large.join(least, large["a"] == least["u"]).select("a", "b", "m")
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         held = written(moved, "stars")

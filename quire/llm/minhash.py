@@ -356,7 +356,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     columns are ignored; an empty table gives an empty table.
     """
     signed = written(_signed(docs, key, text, words), "signatures")
-    classes = signed.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("rep"))
+    # from a table, so that the join can split the rows of a class of very many copies
+    classes = written(signed.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("rep")), "classes")
     classed = signed.join(classes, ["high", "low"], "left")
     reps = classed.where("id = rep").dropDuplicates(["high", "low"])
     equal = int(SKETCH * (percent / 100 + (1 - percent / 100) / 16) - 5 * np.sqrt(SKETCH * percent / 100 * (1 - percent / 100)))
