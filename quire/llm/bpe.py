@@ -29,7 +29,7 @@ from quire.llm.common import slices
 
 #: Pieces in one generation of a worker's memory; half as many where it holds decoded text too.
 GENERATION = 500_000
-#: Bytes of text in a block, and new pieces that are encoded together.
+#: Bytes of text in a block (half as many with decoded text), and new pieces that are encoded together.
 BLOCK, LEARNT = 20 << 20, 300_000
 
 
@@ -258,7 +258,7 @@ def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool) -
     gc.disable()  # many small live objects and no cycles
     for batch in batches:
         column = batch.column(batch.num_columns - 1)
-        for start, stop in slices(column, BLOCK):
+        for start, stop in slices(column, BLOCK // (1 + decode)):
             split = pc.ascii_split_whitespace(column[start:stop].fill_null(""))
             coded = split.flatten().dictionary_encode()
             bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
