@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 
 from quire.llm import learn
 from quire.llm.common import slices, texts_of, written
+from quire.llm.minhash import shingle_set
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 12_000
 #: Entries of the lexicon, at most.
-ENTRIES = 400
+ENTRIES = 1_000
 #: Parts of the sample that are left out in turn.
 FOLDS = 5
 #: Lengths of word beginnings that may be entries.
 STEMS = (4, 5, 6, 7, 8)
 #: Pieces that a worker remembers, at most.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Words from a second-person word within which a lexicon word counts as aimed at someone.
 NEAR = 5
 
@@ -62,8 +63,19 @@ def lexicon_keys(text: str) -> set[str]:
 
 
 def learn_lexicons(sample: DataFrame, entries: int = ENTRIES, least: int = 6) -> list[dict[str, float]]:
-    """From rows (text, label, fold): the entries and log odds, the surest first, without each fold and, last, of all rows; equal texts count once."""
-    distinct = sample.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("label").alias("label"), F.min("fold").alias("fold"))
+    """From rows (text, label, fold): the entries and log odds, the surest first, without each fold and, last, of all rows.
+
+    Rows that share the least hash of their 3-word shingles count once, as nearly
+    all copies do; else the words of one text with many copies would fill the lexicon.
+    """
+
+    def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [int(s[0]) - 2**63 if len(s) else 0 for t in batch.column(0).to_pylist() for s in [shingle_set(t, 3)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["text", "label", "fold", "copies"])
+
+    keyed = sample.select("text", "label", "fold").mapInArrow(grouped, "text string, label int, fold int, copies long")
+    distinct = keyed.groupBy("copies").agg(F.min("text").alias("text"), F.max("label").alias("label"), F.min("fold").alias("fold"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
