@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import slices
 
-#: Pieces in one generation of a worker's memory; half as many where it holds decoded text too.
+#: Pieces in one generation of a worker's memory; a third as many where it holds decoded text too.
 GENERATION = 500_000
 #: Bytes of text in a block (half as many with decoded text), and new pieces that are encoded together.
 BLOCK, LEARNT = 20 << 20, 300_000
@@ -226,7 +226,7 @@ class Remembered:
 
     def coded(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, all of which (and their decoded texts) are held from then on."""
-        if len(self.ids) > GENERATION // (1 + self.decode):
+        if len(self.ids) > GENERATION // (3 if self.decode else 1):
             self.older = self.ids, self.names
             self.ids, self.names = {}, {}
         found = list(map(self.ids.get, pieces))
