@@ -18,12 +18,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import learn
 from quire.llm.common import slices, texts_of, written
-from quire.llm.minhash import shingle_set
+from quire.llm.minhash import near_duplicates
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 12_000
@@ -33,6 +33,8 @@ ENTRIES = 1_000
 FOLDS = 5
 #: Lengths of word beginnings that may be entries.
 STEMS = (4, 5, 6, 7, 8)
+#: Parts that a row is counted in; whole numbers, so that sums do not hang on the order of rows.
+PARTS = 1 << 40
 #: Pieces that a worker remembers, at most.
 REMEMBERED = 100_000
 #: Words from a second-person word within which a lexicon word counts as aimed at someone.
@@ -62,39 +64,47 @@ def lexicon_keys(text: str) -> set[str]:
     return {f"={w}" for w in words if len(w) > 2} | {f"^{w[:k]}" for w in words for k in STEMS if len(w) >= k}
 
 
-def learn_lexicons(sample: DataFrame, entries: int = ENTRIES, least: int = 6) -> list[dict[str, float]]:
-    """From rows (text, label, fold): the entries and log odds, the surest first, without each fold and, last, of all rows.
+def weighed(sample: DataFrame) -> DataFrame:
+    """Rows (key, text, label, fold) as a table (text, label, fold, copies), every row kept.
 
-    Rows that share the least hash of their 3-word shingles count once, as nearly
-    all copies do; else the words of one text with many copies would fill the lexicon.
+    A component of rows that share 80 % of their 3-word shingles, or of rows without
+    words, is of one fold, that of its least key.  ``copies`` counts the rows of the
+    same label in it; else the words of one text with many copies would fill the lexicon.
     """
+    rows = written(sample.select("key", "text", "label", "fold").withColumn("id", F.monotonically_increasing_id()), "labelled")
+    near = near_duplicates(rows, "id", "text", words=3).select("id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    fold = F.min_by("fold", "key").over(Window.partitionBy("component")).alias("fold")
+    copies = F.count("*").over(Window.partitionBy("component", "label")).alias("copies")
+    placed = rows.select("id", "key", "label", "fold").join(near, "id").select("id", fold, copies)
+    return written(rows.select("id", "text", "label").join(placed, "id").select("text", "label", "fold", "copies"), "weighed")
 
-    def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = [int(s[0]) - 2**63 if len(s) else 0 for t in batch.column(0).to_pylist() for s in [shingle_set(t, 3)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["text", "label", "fold", "copies"])
 
-    keyed = sample.select("text", "label", "fold").mapInArrow(grouped, "text string, label int, fold int, copies long")
-    distinct = keyed.groupBy("copies").agg(F.min("text").alias("text"), F.max("label").alias("label"), F.min("fold").alias("fold"))
+def learn_lexicons(sample: DataFrame, entries: int = ENTRIES, least: int = 6) -> list[dict[str, float]]:
+    """From rows (text, label, fold, copies): the entries and log odds, the surest first, without each fold and, last, of all rows.
+
+    Every row counts, as one part in ``copies``: see :func:`weighed`.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, folds = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            labels, folds, copies = (batch.column(i).to_pylist() for i in (1, 2, 3))
             for start, stop in slices(batch.column(0), 4 << 20):
                 counts: dict[tuple[int, int], Counter[str]] = {}
-                for text, label, fold in zip(texts_of(batch.column(0)[start:stop]), labels[start:stop], folds[start:stop]):
+                for text, label, fold, n in zip(texts_of(batch.column(0)[start:stop]), labels[start:stop], folds[start:stop], copies[start:stop]):
                     counted = counts.setdefault((fold, label), Counter())
-                    counted.update(lexicon_keys(text))
-                    counted[""] += 1  # the empty key counts the rows themselves
+                    part = round(PARTS / n)
+                    for word in lexicon_keys(text):
+                        counted[word] += part
+                    counted[""] += part  # the empty key counts the rows themselves
                 for (fold, label), counted in counts.items():
                     n = len(counted)
                     yield pa.RecordBatch.from_arrays([pa.array(counted.keys(), pa.string()), pa.array([fold] * n, pa.int32()), pa.array([label] * n, pa.int32()), pa.array(counted.values(), pa.int64())], ["key", "fold", "label", "n"])
 
-    counted = distinct.select("text", "label", "fold").mapInArrow(run, "key string, fold int, label int, n long")
+    counted = sample.select("text", "label", "fold", "copies").mapInArrow(run, "key string, fold int, label int, n long")
 
     def total(label: int, fold: int) -> Column:
         """Rows of a label outside a fold."""
-        return F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("fold") != fold), F.col("n"))), F.lit(0))
+        return F.round(F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("fold") != fold), F.col("n"))), F.lit(0)) / PARTS, 6)
 
     sums = counted.groupBy("key").agg(*[total(c, f).alias(f"n{c}_{f}") for f in range(FOLDS + 1) for c in (0, 1)])
     frequent = written(sums.where((F.col("key") == "") | (F.col(f"n1_{FOLDS}") >= least)), "lexicon")
@@ -192,7 +202,8 @@ def fit(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "te
     every text scores the mean.
     """
     small = F.broadcast(sample.select("key", "label", (F.col("part") % FOLDS).alias("fold")))
-    labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(small, "key").select("text", "label", "fold")
+    labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(small, "key")
+    labelled = weighed(labelled)
     lexicons = [tuple(x.items()) for x in learn_lexicons(labelled)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

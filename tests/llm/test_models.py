@@ -63,6 +63,21 @@ def test_toxicity_of_hard_texts(spark, docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_lexicon_keeps_every_labelled_row(spark):
+    passage = " ".join(f"p{i}" for i in range(400))
+    toxic = [(i, f"{passage} {' '.join(f't{i}x{j}' for j in range(400))} grunkel", 1, i % 5) for i in range(60)]
+    clean = [(100 + i, f"{passage} {' '.join(f'c{i}x{j}' for j in range(400))}", 0, i % 5) for i in range(60)]
+    copies = [(200 + i, f"{passage} copied zzbad", 1, i % 5) for i in range(20)] + [(300, f"{passage} copied zzbad", 0, 1)]
+    hidden = [(400, None, 0, 1), (401, "", 0, 2), (401, "", 0, 2)]
+    sample = spark.createDataFrame(toxic + clean + copies + hidden, "key long, text string, label int, fold int")
+    rows = toxicity.weighed(sample).collect()
+    assert sorted((r.text or "", r.label) for r in rows) == sorted((t or "", x) for _, t, x, _ in toxic + clean + copies + hidden)
+    assert sorted((r.label, r.fold, r.copies) for r in rows if "zzbad" in (r.text or "")) == [(0, 0, 1)] + [(1, 0, 20)] * 20
+    assert {r.copies for r in rows if not r.text} == {3} and all(r.copies == 1 for r in rows if r.text and "zzbad" not in r.text)
+    lexicon = toxicity.learn_lexicons(toxicity.weighed(sample))[toxicity.FOLDS]
+    assert "=grunkel" in lexicon and "=zzbad" not in lexicon  # sixty texts of one passage; one text of twenty copies
+
+
 def test_quality_of_hard_texts(spark, docs):
     rows, labels = corpus()
     sample = learn.sample_of(spark.createDataFrame(labels, LABELS), "doc_id", "quality", 5, 0, 10_000)
