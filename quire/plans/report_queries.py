@@ -128,9 +128,9 @@ def permission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nested_fonts", f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey BETWEEN 1 AND 9 UNION SELECT root, dst FROM r JOIN edge ON src = node WHERE via = '/Kids')
     SELECT DISTINCT root, p_brand AS font FROM r JOIN part ON p_partkey = node""")
 def nested_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fonts (brands) of the forms (parts) that each page (the first nine) reaches."""
+    """Fonts (brands) of the forms (parts) that each page (every part) reaches."""
     part = table(spark, sf_dir, "part")
-    reached = ops.closure_pairs(edges(spark, sf_dir).where("via = '/Kids'"), part.where("p_partkey between 1 and 9").select(F.col("p_partkey").alias("root")))
+    reached = ops.closure_pairs(edges(spark, sf_dir).where("via = '/Kids'"), part.select(F.col("p_partkey").alias("root")))
     return reached.join(part, F.col("p_partkey") == F.col("node")).select("root", F.col("p_brand").alias("font")).distinct()
 
 
