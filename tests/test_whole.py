@@ -9,3 +9,9 @@ def test_nested_fonts_of_every_part(spark, sf_dir):
     sql = f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM r JOIN edge ON src = node WHERE via = '/Kids')
         SELECT DISTINCT root, p_brand AS font FROM r JOIN part ON p_partkey = node"""
     compare(spark, sf_dir, registry.QUERIES["nested_fonts"], sql)
+
+
+def test_letter_labels_of_every_part(spark, tmp_path):
+    spark.range(0, 1001).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: r.label for r in registry.QUERIES["letter_labels"](spark, str(tmp_path)).collect()}
+    assert got == {n: "abcdefghijklmnopqrstuvwxyz"[(n - 1) % 26] * ((n - 1) // 26 + 1) for n in range(1, 1001)} | {0: ""}
