@@ -1,4 +1,4 @@
-"""Queries on content streams, which a template makes of every turn's words."""
+"""Queries on content streams, which a template makes of every turn's text."""
 
 from __future__ import annotations
 
@@ -12,11 +12,12 @@ from quire.plans.registry import query
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pageno and content: for each turn its first two words as text at (10, 20 + page), an image, a clip and a stamp."""
+    """doc_id, pageno and content: for each turn its whole text, the first word at (10, 20 + page) and the rest below, an image, a clip and a stamp."""
     p = pages(spark, sf_dir)
-    word = lambda k: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(k)), r"[^A-Za-z]", "")
+    first = F.split_part("text", F.lit(" "), F.lit(1))
+    string = lambda c: F.regexp_replace(c, r"([\\()])", r"\\$1")
     stream = F.concat(
-        F.lit("q 2 0 0 2 10 "), (F.col("pageno") + 20).cast("string"), F.lit(" cm\n0 0 5 5 re W n\nBT /F1 12 Tf 0.5 g 3 Tr ("), word(1), F.lit(") Tj 0 -14 Td [("), word(2),
+        F.lit("q 2 0 0 2 10 "), (F.col("pageno") + 20).cast("string"), F.lit(" cm\n0 0 5 5 re W n\nBT /F1 12 Tf 0.5 g 3 Tr ("), string(first), F.lit(") Tj 0 -14 Td [("), string(F.substr("text", F.length(first) + 1)),
         F.lit(") -250 (x)] TJ ET\n0.25 w 100 0 0 50 1 1 cm /Im1 Do Q\n/Stamp BMC q BT (stamp) Tj /In BMC EMC ET Q EMC\n1 G 2 w 0 0 m 9 9 l S"),
     )
     return p.select("doc_id", "pageno", stream.alias("content"))

@@ -1,7 +1,9 @@
 """Queries over all their rows, against expectations without the cuts that the registered SQL still has."""
 
-from quire.plans import registry
-from quire.plans.proxies import EDGES
+import pytest
+
+from quire.plans import content_queries, registry
+from quire.plans.proxies import EDGES, PAGES
 from tests.test_queries import compare
 
 
@@ -15,3 +17,17 @@ def test_letter_labels_of_every_part(spark, tmp_path):
     spark.range(0, 1001).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     got = {r.p_partkey: r.label for r in registry.QUERIES["letter_labels"](spark, str(tmp_path)).collect()}
     assert got == {n: "abcdefghijklmnopqrstuvwxyz"[(n - 1) % 26] * ((n - 1) // 26 + 1) for n in range(1, 1001)} | {0: ""}
+
+
+@pytest.mark.parametrize("name", ["extract_text", "page_content", "bounding_boxes"])
+def test_streams_hold_whole_turns(spark, sf_dir, name):
+    whole = f"{PAGES}, w AS (SELECT *, split_part(text, ' ', 1) AS a, substr(text, length(split_part(text, ' ', 1)) + 1) AS b FROM page)"
+    compare(spark, sf_dir, registry.QUERIES[name], registry.SQL[name].replace(content_queries._WORDS, whole))
+
+
+def test_streams_of_hard_turns(spark, tmp_path):
+    texts = ["a (b) c", "(((", ")x( y\\", "back\\slash \\101 \\\n end", "é€ 漢字 😀", "1 0 0 1 cm BT % [x] << /A >> Q", " lead", "one", "", "long (\\) " * 20_000]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.doc_id: r.shown for r in registry.QUERIES["extract_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: t + "xstamp" for i, t in enumerate(texts)}
+    assert {r.n for r in registry.QUERIES["frame_content"](spark, str(tmp_path)).collect()} == {35}
