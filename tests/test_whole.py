@@ -1,5 +1,7 @@
 """Queries over all their rows, against expectations without the cuts that the registered SQL still has."""
 
+import zlib
+
 import pytest
 
 from quire.plans import content_queries, registry
@@ -31,3 +33,11 @@ def test_streams_of_hard_turns(spark, tmp_path):
     got = {r.doc_id: r.shown for r in registry.QUERIES["extract_text"](spark, str(tmp_path)).collect()}
     assert got == {i: t + "xstamp" for i, t in enumerate(texts)}
     assert {r.n for r in registry.QUERIES["frame_content"](spark, str(tmp_path)).collect()} == {35}
+
+
+def test_compress_streams_of_every_text(spark, tmp_path):
+    texts = {1: None, 2: "", 3: "a", 4: "(é)\\\n" * 3, 5: "short text", 6: "ab" * 2000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.restored, r.smaller) for r in registry.QUERIES["compress_streams"](spark, str(tmp_path)).collect()}
+    small = lambda t: None if t is None else len(zlib.compress(t.encode())) + 1 < len(t.encode())
+    assert got == {k: (t, small(t)) for k, t in texts.items()} and {s for _, s in got.values()} == {None, False, True}
