@@ -101,7 +101,8 @@ def closure_pairs(edges: DataFrame, roots: DataFrame, most: int = 200) -> DataFr
 
 def tree_paths(nodes: DataFrame, most: int = 200) -> DataFrame:
     """(node, depth, path) of a forest (node, parent, ord); path orders nodes as a listing does, roots have a null parent."""
-    step = lambda c: F.lpad(c.cast("string"), 6, "0")
+    width = max(6, nodes.agg(F.max(F.length(F.col("ord").cast("string")))).first()[0] or 0)  # of the longest, as lpad cuts
+    step = lambda c: F.lpad(c.cast("string"), width, "0")
     found = newest = cut(nodes.where("parent is null").select("node", F.lit(0).alias("depth"), step(F.col("ord")).alias("path")))
     for depth in range(1, most + 1):
         below = newest.select(F.col("node").alias("parent"), F.col("path").alias("above")).join(nodes, "parent")

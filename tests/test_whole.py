@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 
+from quire.operators import reports
 from quire.plans import content_queries, registry
 from quire.plans.proxies import EDGES, PAGES
 from tests.test_queries import compare
@@ -41,3 +42,9 @@ def test_compress_streams_of_every_text(spark, tmp_path):
     got = {r.doc_id: (r.restored, r.smaller) for r in registry.QUERIES["compress_streams"](spark, str(tmp_path)).collect()}
     small = lambda t: None if t is None else len(zlib.compress(t.encode())) + 1 < len(t.encode())
     assert got == {k: (t, small(t)) for k, t in texts.items()} and {s for _, s in got.values()} == {None, False, True}
+
+
+def test_tree_paths_keep_long_steps(spark):
+    rows = [(1, None, 1), (2, None, 200_000), (10, 1, 999_999), (11, 1, 3_000_000), (12, 1, 3_000_001), (13, 1, 3_000_002)]
+    got = {r.node: r.path for r in reports.tree_paths(spark.createDataFrame(rows, "node long, parent long, ord long")).collect()}
+    assert len(set(got.values())) == len(rows) and sorted(got, key=got.get) == [1, 10, 11, 12, 13, 2]
