@@ -6,7 +6,7 @@ active ranks are taken in ascending order, each merge is applied to all its
 positions at once, and only the lists of the pairs that a merge touches change.
 
 Text is cut at ASCII white space first, which no token reaches across; a piece
-between is encoded once per worker and looked up afterwards.
+between is encoded once and looked up while the task's memory holds it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import functools
 import gc
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -25,12 +26,35 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices
-
-#: Pieces in one generation of a worker's memory; a third as many where it holds decoded text too.
-GENERATION = 500_000
-#: Bytes of text in a block (half as many with decoded text), and new pieces that are encoded together.
-BLOCK, LEARNT = 20 << 20, 300_000
+from quire.llm.common import slices, trimmed
+
+#: Pieces in one generation of a task's memory, and bytes of the longest that it holds.
+GENERATION, LONGEST = 100_000, 64
+#: Bytes of text in a block, and bytes of new pieces that are encoded together.
+BLOCK, LEARNT = 4 << 20, 1 << 20
+
+# Marks that Unicode got after version 9, as ranges.  The library's
+# tables of canonical order do not know them, so nothing is moved or composed
+# across one of them.
+LATE_MARKS = (
+    (0x07FD, 0x07FD), (0x0898, 0x089F), (0x08CA, 0x08D3), (0x09FE, 0x09FE), (0x0C3C, 0x0C3C), (0x0D3B, 0x0D3C), (0x0EBA, 0x0EBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27),
+    (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136),
+    (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+# Letters and numbers that Unicode got after version 16, as ranges.  The library's splitter takes them for signs.
+LATE_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x16FF4, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+# Capital letters that Unicode got after version 15, as ranges, and the small letter of the first of each.
+LATE_CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+
+_LATE_MARK, _LATE_LETTER = (re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "])") for ranges in (LATE_MARKS, LATE_LETTERS))
+_LATE_CAPITAL = {a + k: chr(small + k) for a, b, small in LATE_CAPITALS for k in range(b - a + 1)}
 
 
 def _byte_symbols() -> list[str]:
@@ -61,6 +85,7 @@ class WordBpe:
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.special)))
         vocabulary = model["vocab"]
         self.tokens = {i: t for t, i in (vocabulary | self.special).items()}
+        self.names = pa.array([self.tokens.get(i, "") for i in range(max(self.tokens) + 1)], pa.string())
         symbols = _byte_symbols()
         self.byte_ids = np.array([vocabulary[s] for s in symbols], np.int64)
         self.end_ids = np.array([vocabulary[s + self.end] for s in symbols], np.int64)
@@ -153,56 +178,62 @@ class WordBpe:
         ids = symbol[1:-1][kept]
         return ids, np.concatenate((np.searchsorted(kept, stops - lengths), [len(ids)]))
 
+    def _words(self, text: str) -> list[str]:
+        """What the splitter finds in normalised text; letters and numbers that the library's tables do not have count as signs."""
+        if text.isascii() or not _LATE_LETTER.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(_LATE_LETTER.sub("\ue000", text))]
+
     def _parts(self, piece: str) -> list[int | bytes]:
         """A piece that may hold special tokens, as their ids and the words between."""
         parts: list[int | bytes] = []
         start = 0
         for found in [*self.special_pattern.finditer(piece), None]:
             if plain := piece[start : found.start() if found else None]:
-                parts += [w.encode() for w in self.pattern.findall(_normal(plain))]
+                parts += [w.encode() for w in self._words(_normal(plain))]
             if found:
                 parts.append(self.special[found[0]])
                 start = found.end()
         return parts
 
-    def encode_pieces(self, pieces: Iterable[str], decode: bool) -> tuple[dict[str, bytes], dict[str, str]]:
-        """Each distinct piece between white space as little-endian ids and, if asked, as decoded text."""
-        pieces = list(pieces)
-        special = [p for p in pieces if "<|" in p]
-        if special:
-            pieces = [p for p in pieces if "<|" not in p]
-        find, words, bounds = self.pattern.findall, [], [0]
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Each piece between white space as little-endian ids."""
+        plain = [p for p in pieces if "<|" not in p]
+        words, bounds = [], [0]
         # no form of normalisation reaches across a line end, and pieces hold none
-        for low in _normal("\n".join(pieces)).split("\n") if pieces else ():
+        for low in _normal("\n".join(plain)).split("\n") if plain else ():
             if low.isalpha():
                 words.append(low.encode())
             else:
-                words += [w.encode() for w in find(low)]
+                words += [w.encode() for w in self._words(low)]
             bounds.append(len(words))
         flat, starts = self.merge(words)
-        raw, cuts = flat.astype("<u4").tobytes(), starts[bounds]
-        at = (4 * cuts).tolist()
-        ids = {p: raw[a:b] for p, a, b in zip(pieces, at, at[1:])}
-        names: dict[str, str] = {}
-        if decode:
-            tokens, at = list(map(self.tokens.__getitem__, flat.tolist())), cuts.tolist()
-            names = {p: " ".join(tokens[a:b]) for p, a, b in zip(pieces, at, at[1:])}
-        for p in special:
-            parts = self._parts(p)
-            plain, starts = self.merge([x for x in parts if isinstance(x, bytes)])
-            each = iter(np.split(plain, starts[1:-1]))
-            whole = np.concatenate([np.zeros(0, np.int64), *(next(each) if isinstance(x, bytes) else [x] for x in parts)]).astype("<u4")
-            ids[p], names[p] = whole.tobytes(), self.decode(whole.tolist())
-        return ids, names
+        raw = flat.astype("<u4").tobytes()
+        at = (4 * starts[bounds]).tolist()
+        found = iter([raw[a:b] for a, b in zip(at, at[1:])])
+        return [next(found) if "<|" not in p else self._special(p) for p in pieces]
+
+    def _special(self, piece: str) -> bytes:
+        parts = self._parts(piece)
+        plain, starts = self.merge([x for x in parts if isinstance(x, bytes)])
+        each = iter(np.split(plain, starts[1:-1]))
+        return np.concatenate([np.zeros(0, np.int64), *(next(each) if isinstance(x, bytes) else [x] for x in parts)]).astype("<u4").tobytes()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens in a row, as a vocabulary without a decoder prints them; unknown ids are left out."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The same for every list of known ids."""
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.names.take(lists.values)), " ")
+
 
 def _normal(text: str) -> str:
     """Composed and in lower case, letter by letter: no context, so a final sigma stays plain."""
-    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    if text.isascii():
+        return text.lower()
+    composed = "".join(unicodedata.normalize("NFC", part) for part in _LATE_MARK.split(text))
+    return composed.translate(_LATE_CAPITAL).replace("\u03a3", "\u03c3").lower()
 
 
 @functools.lru_cache(maxsize=2)
@@ -212,75 +243,79 @@ def vocabulary(path: str) -> WordBpe:
 
 
 class Remembered:
-    """Pieces to little-endian ids (and decoded text), for one worker, in two generations.
+    """Pieces to little-endian ids, for one task, in two generations.
 
     Once a generation is full it becomes the older one, from which pieces come
-    back when they are met again; what was not met by then is forgotten.
+    back when they are met again; what was not met by then is forgotten.  Only
+    pieces of at most :data:`LONGEST` bytes are held, so its size is bounded in bytes.
     """
 
-    def __init__(self, path: str, decode: bool):
-        self.bpe, self.decode = vocabulary(path), decode
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
         self.ids: dict[str, bytes] = {}
-        self.names: dict[str, str] = {}
-        self.older: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        self.older: dict[str, bytes] = {}
 
     def coded(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces, all of which (and their decoded texts) are held from then on."""
-        if len(self.ids) > GENERATION // (3 if self.decode else 1):
-            self.older = self.ids, self.names
-            self.ids, self.names = {}, {}
+        """The ids of distinct pieces."""
         found = list(map(self.ids.get, pieces))
-        lacking = [p for p, ids in zip(pieces, found) if ids is None]
-        if not lacking:
-            return found
-        if self.older[0]:
-            back = {p: ids for p, ids in zip(lacking, map(self.older[0].get, lacking)) if ids is not None}
-            self.ids |= back
-            if self.decode:
-                self.names |= zip(back, map(self.older[1].__getitem__, back))
-            lacking = [p for p in lacking if p not in back]
-        for start in range(0, len(lacking), LEARNT):
-            ids, names = self.bpe.encode_pieces(lacking[start : start + LEARNT], self.decode)
-            self.ids |= ids
-            self.names |= names
-        return [self.ids[p] if ids is None else ids for p, ids in zip(pieces, found)]
-
-
-@functools.lru_cache(maxsize=2)
-def remembered(path: str, decode: bool) -> Remembered:
-    """The worker's memory of pieces; a later task of the same worker starts from it."""
-    return Remembered(path, decode)
+        lacking = [k for k, ids in enumerate(found) if ids is None]
+        if self.older:
+            for k in lacking:
+                found[k] = self.older.get(pieces[k])
+        start, size = 0, 0
+        new = [k for k in lacking if found[k] is None]
+        for stop, k in enumerate(new, 1):
+            size += len(pieces[k]) + 1
+            if size >= LEARNT or stop == len(new):
+                for at, ids in zip(new[start:stop], self.bpe.encode_pieces([pieces[i] for i in new[start:stop]])):
+                    found[at] = ids
+                start, size = stop, 0
+        for k in lacking:
+            if len(found[k]) <= 4 * LONGEST and len(pieces[k].encode()) <= LONGEST:
+                if len(self.ids) >= GENERATION:
+                    self.older, self.ids = self.ids, {}
+                self.ids[pieces[k]] = found[k]
+        return found
 
 
 def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool) -> Iterator[pa.RecordBatch]:
-    """Add ids (list of int) and, if asked, decoded text to batches whose last column is the text; the text goes."""
-    memory = remembered(path, decode)
+    """Add ids (list of int) and, if asked, decoded text to batches whose last column is the text; the text goes.
+
+    What a task remembers ends with it, so a worker that other operators use holds the vocabulary alone.
+    """
+    memory = Remembered(vocabulary(path))
+    collected = gc.isenabled()
     gc.disable()  # many small live objects and no cycles
-    for batch in batches:
-        column = batch.column(batch.num_columns - 1)
-        for start, stop in slices(column, BLOCK // (1 + decode)):
-            split = pc.ascii_split_whitespace(column[start:stop].fill_null(""))
-            coded = split.flatten().dictionary_encode()
-            bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-            del split
-            pieces = coded.dictionary.to_pylist()
-            # every occurrence takes its piece's ids from where they stand once
-            blobs = memory.coded(pieces)
-            once = np.frombuffer(b"".join(blobs), "<u4").view(np.int32)
-            lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-            at = coded.indices.to_numpy()
-            counts = lengths[at]
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            places = np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], counts) + np.arange(ends[-1])
-            lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(once[places]))
-            columns = [*(c[start:stop] for c in batch.columns[:-1]), lists]
-            del places, ends, blobs, once
-            if decode:
-                shown = counts > 0  # a piece without tokens leaves no gap in the text
-                named = pa.array(list(map(memory.names.__getitem__, pieces)), pa.string()).take(pa.array(at[shown]))
-                kept = np.concatenate(([0], np.cumsum(shown)))[bounds]
-                columns.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), named), " "))
-            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+    try:
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            for start, stop in slices(column, BLOCK):
+                lists = _coded_block(memory, column[start:stop])
+                columns = [*(c[start:stop] for c in batch.columns[:-1]), lists]
+                if decode:
+                    columns.append(memory.bpe.decode_lists(lists))
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+    finally:
+        del memory
+        if collected:
+            gc.enable()
+        trimmed()
+
+
+def _coded_block(memory: Remembered, texts: pa.Array) -> pa.ListArray:
+    """The ids of each text."""
+    split = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = split.flatten().dictionary_encode()
+    bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+    # every occurrence takes its piece's ids from where they stand once
+    blobs = memory.coded(coded.dictionary.to_pylist())
+    once = np.frombuffer(b"".join(blobs), "<u4").view(np.int32)
+    lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    at = coded.indices.to_numpy()
+    counts = lengths[at]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    places = np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], counts) + np.arange(ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(once[places]))
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", decode: bool = False, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

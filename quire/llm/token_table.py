@@ -73,8 +73,10 @@ def with_starts(rows: DataFrame, path: str) -> DataFrame:
     order, and the running sum is taken within each file.
     """
     counts = rows.sparkSession.read.parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file"))
+    # a name holds the number of the writing task; as text, part-100000 would stand before part-99999
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
     files = counts.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = files.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    before = files.select("file", (F.sum("total").over(Window.orderBy(number, "file")) - F.col("total")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
     return rows.withColumn("within", within).join(before, "file").withColumn("start", F.col("before") + F.col("within")).drop("within", "before")
 

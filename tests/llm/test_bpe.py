@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -35,11 +37,12 @@ def test_like_the_library(docs, library):
 def test_small_memory_gives_the_same(docs, library, monkeypatch):
     monkeypatch.setattr(bpe, "GENERATION", 3)
     monkeypatch.setattr(bpe, "LEARNT", 2)
-    memory = bpe.Remembered(PATH, True)
+    memory = bpe.Remembered(bpe.vocabulary(PATH))
     for words in (["the", "of", "a"], ["b", "the", "zzzz"], ["the", "q", "of", "b"]):
         for word, raw in zip(words, memory.coded(words)):
             ids = np.frombuffer(raw, "<u4").tolist()
-            assert ids == library.encode(word, add_special_tokens=False).ids and memory.names[word] == library.decode(ids, skip_special_tokens=False)
+            shown = memory.bpe.decode_lists(pa.array([ids], pa.list_(pa.int32()))).to_pylist()
+            assert ids == library.encode(word, add_special_tokens=False).ids and shown == [library.decode(ids, skip_special_tokens=False)]
 
 
 def test_decode(spark, library):
@@ -58,6 +61,38 @@ def test_empty_table(docs):
     assert token_table.round_trip(docs([]), PATH).count() == 0
 
 
+def test_every_code_point(library):
+    """Alone, doubled, within letters, before and after marks."""
+    spaces = set("\t\n\x0b\x0c\r ")
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c) not in spaces]
+    word = bpe.vocabulary(PATH)
+    for form in (lambda c: f"{c}{c}", lambda c: f"a{c}b", lambda c: f"a{c}\u0301", lambda c: f"1\u0334\u0301{c}\u0316"):
+        for k in range(0, len(points), 200_000):
+            texts = list(map(form, points[k : k + 200_000]))
+            for t, ids, e in zip(texts, word.encode_pieces(texts), library.encode_batch(texts, add_special_tokens=False)):
+                assert np.frombuffer(ids, "<u4").tolist() == e.ids, ascii(t)
+
+
+def test_memory_is_bounded_in_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "GENERATION", 50)
+    memory = bpe.Remembered(bpe.vocabulary(PATH))
+    for k in range(8):
+        pieces = [f"p{k}x{i}" for i in range(40)] + ["long" * 100_000, "é" * 60, "w1"]
+        for p, ids in zip(pieces, memory.coded(pieces)):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(p, add_special_tokens=False).ids
+        assert len(memory.ids) <= 50 and len(memory.older) <= 50
+        assert all(len(p.encode()) <= bpe.LONGEST for p in [*memory.ids, *memory.older])
+
+
+def test_files_are_taken_by_number(spark, tmp_path):
+    rows = spark.createDataFrame([(f"part-{n}-x.parquet", 0, 10) for n in (99999, 100000)], "file string, row long, n_tokens long")
+    parts = [str(tmp_path / "t" / f"part-{n}-x.parquet") for n in (99999, 100000)]
+    (tmp_path / "t").mkdir()
+    for p in parts:
+        pq.write_table(pa.table({"n_tokens": [10]}), p)
+    assert sorted((r.file, r.start) for r in token_table.with_starts(rows, str(tmp_path / "t")).collect()) == [("part-100000-x.parquet", 10), ("part-99999-x.parquet", 0)]
+
+
 def test_op2_query(spark, sf_dir, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op2_bpe(spark, sf_dir).collect():
