@@ -7,7 +7,9 @@ phone) start at or above it, so context never removes them; the others need
 their checksum or a word nearby.
 
 Every pattern begins with a class of few characters and takes its runs
-possessively, so a scan is linear in the text.
+possessively, so a scan is linear in the text.  Positions of matches are running
+sums by doubling, and parts of a text are taken from a list of its chunks, so
+the work grows as n log n with the matches of a text and not with their square.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 #: Code points on either side of a span in which words count as near.
 NEAR = 48
+#: Code points of a chunk.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -60,22 +64,44 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+def _bound(body: str, **values: str) -> str:
+    """SQL: ``body`` over ``o.name`` for each value, each worked out once.
+
+    A column that only a lambda function names would be worked out for every element.
+    """
+    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    return f"transform(array(named_struct({fields})), o -> {body})[0]"
+
+
+def _running(values: str, combined: str) -> str:
+    """SQL: the running combination (of ``x`` and an earlier ``y``) over an array, by doubling: log(n) rounds of n steps."""
+    earlier = combined.replace("y", "r[i - shiftleft(1, k)]")
+    return f"aggregate(sequence(0, 30), {values}, (r, k) -> if(shiftleft(1, k) >= size(r), r, transform(r, (x, i) -> if(i >= shiftleft(1, k), {earlier}, x))))"
+
+
+def _chunks(text: str) -> str:
+    """SQL: a text as a list of chunks."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0)"
+
+
+def _part(chunks: str, start: str, length: str) -> str:
+    """SQL: ``length`` code points from ``start`` (0 is the first), out of the chunks that hold them."""
+    first = f"int(({start}) div {CHUNK})"
+    return f"substring(array_join(slice({chunks}, {first} + 1, int((({start}) + ({length})) div {CHUNK}) - {first} + 1), ''), ({start}) % {CHUNK} + 1, {length})"
+
+
 def _located(kind: Kind, order: int) -> str:
-    """SQL: the confirmed matches of a kind as structs, from ``text``, ``m_kind`` (matches) and ``g_kind`` (what lies between)."""
-    m, g = f"m_{kind.name}", f"g_{kind.name}"
-    holds = kind.holds.replace("\\\\", "\\\\")
-    span = f"named_struct('start', a.at + length({g}[i]), 'kind_order', {order}, 'kind', '{kind.name}', 'end', a.at + length({g}[i]) + length({m}[i]), 'value', {m}[i])"
-    near = rf"regexp_like(lower(substring(text, greatest(s.start - {NEAR}, 0) + 1, s.end + {NEAR} - greatest(s.start - {NEAR}, 0))), '(?<![a-z])(?:{kind.near})(?![a-z])')"
-    return f"""if(size({m}) = 0, {_NONE},
-        transform(
-            filter(
-                aggregate(sequence(0, size({m}) - 1), named_struct('at', 0, 'found', {_NONE_FOUND}),
-                    (a, i) -> named_struct('at', a.at + length({g}[i]) + length({m}[i]), 'found', concat(a.found, array({span}))), a -> a.found),
-                s -> exists(array(s.value), v -> {holds})),
-            s -> named_struct('start', s.start, 'kind_order', s.kind_order, 'kind', s.kind, 'end', s.end, 'value', s.value, 'score', double(least(1.0D, {kind.score}D + if({near}, {kind.lift}D, 0D))))))"""
-
-
-_NONE_FOUND = "cast(array() as array<struct<start:int,kind_order:int,kind:string,end:int,value:string>>)"
+    """SQL: the confirmed matches of a kind as structs, from ``chunks``, ``m_kind`` (matches) and ``e_kind`` (where each ends)."""
+    around = _part("o.chunks", f"greatest(s.start - {NEAR}, 0)", f"s.end + {NEAR} - greatest(s.start - {NEAR}, 0)")
+    near = rf"regexp_like(lower({around}), '(?<![a-z])(?:{kind.near})(?![a-z])')"
+    body = f"""transform(
+        filter(
+            transform(o.m, (v, i) -> named_struct('start', o.e[i] - length(v), 'kind_order', {order}, 'kind', '{kind.name}', 'end', o.e[i], 'value', v)),
+            s -> exists(array(s.value), v -> {kind.holds})),
+        s -> named_struct('start', s.start, 'kind_order', s.kind_order, 'kind', s.kind, 'end', s.end, 'value', s.value, 'score', double(least(1.0D, {kind.score}D + if({near}, {kind.lift}D, 0D)))))"""
+    return f"if(size(m_{kind.name}) = 0, {_NONE}, {_bound(body, m=f'm_{kind.name}', e=f'e_{kind.name}', chunks='chunks')})"
+
+
 _NONE = "cast(array() as array<struct<start:int,kind_order:int,kind:string,end:int,value:string,score:double>>)"
 
 
@@ -89,13 +115,23 @@ def find(docs: DataFrame, text: str = "text", spans: str = "spans", kinds: tuple
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != spans]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     matched = own.select("row", "text", *[F.expr(f"if({k.gate}, regexp_extract_all(text, {_quoted(k.pattern)}, 0), cast(array() as array<string>))").alias(f"m_{k.name}") for k in kinds])
-    cut = matched.select("*", *[F.expr(f"if(size(m_{k.name}) > 0, split(text, {_quoted(k.pattern)}, -1), cast(array() as array<string>))").alias(f"g_{k.name}") for k in kinds])
-    located = cut.select("row", *[F.expr(_located(k, i)).alias(f"s_{k.name}") for i, k in enumerate(kinds)])
-    base = "concat(" + ", ".join([_NONE, *[f"s_{k.name}" for k in kinds if k.base]]) + ")"
-    more = "concat(" + ", ".join([_NONE, *[f"s_{k.name}" for k in kinds if not k.base]]) + ")"
-    joined = located.select("row", F.expr(base).alias("base"), F.expr(more).alias("more"))
-    kept = f"filter(more, s -> s.score >= {THRESHOLD}D and not exists(base, b -> b.start < s.end and s.start < b.end))"
-    return joined.select("row.*", F.expr(f"array_sort(concat(base, if(size(more) = 0, more, {kept})))").alias(spans))
+    found = " or ".join(f"size(m_{k.name}) > 0" for k in kinds)
+    between = [F.expr(f"if(size(m_{k.name}) > 0, split(text, {_quoted(k.pattern)}, -1), cast(array() as array<string>))").alias(f"g_{k.name}") for k in kinds]
+    cut = matched.select("*", F.expr(f"if({found}, {_chunks('text')}, cast(array() as array<string>))").alias("chunks"), *between)
+    lengths = "transform(o.m, (v, j) -> length(o.g[j]) + length(v))"
+    ends = [F.expr(_bound(_running(lengths, "x + y"), m=f"m_{k.name}", g=f"g_{k.name}")).alias(f"e_{k.name}") for k in kinds]
+    placed = cut.select("row", "chunks", *[f"m_{k.name}" for k in kinds], *ends)
+    located = placed.select("row", *[F.expr(_located(k, i)).alias(f"s_{k.name}") for i, k in enumerate(kinds)])
+    more = "concat(" + ", ".join([_NONE, *[f"filter(s_{k.name}, s -> s.score >= {THRESHOLD}D)" for k in kinds if not k.base]]) + ")"
+    every = "array_sort(concat(" + ", ".join([_NONE, *[f"s_{k.name}" for k in kinds if k.base], "more"]) + "))"
+    joined = located.select("row", *[f"s_{k.name}" for k in kinds if k.base], F.expr(more).alias("more")).select("row", F.expr("size(more) > 0").alias("mixed"), F.expr(every).alias("every"))
+    base = "s.kind in (" + ", ".join(f"'{k.name}'" for k in kinds if k.base) + ")"
+    # the furthest end of a base span up to each place, and the nearest begin of one from it on
+    reach = _running(f"transform(every, s -> if({base}, s.end, 0))", "greatest(x, y)")
+    ahead = _running(f"reverse(transform(every, s -> if({base}, s.start, {2**31 - 1})))", "least(x, y)")
+    seen = f"filter(o.every, (s, i) -> {base} or (o.reach[i] <= s.start and o.ahead[size(o.every) - 1 - i] >= s.end))"
+    kept = _bound(seen, every="every", reach=reach, ahead=ahead)
+    return joined.select("row.*", F.expr(f"if(mixed, {kept}, every)").alias(spans))
 
 
 def as_text(spans: str = "spans", kinds: tuple[str, ...] | None = None) -> F.Column:
@@ -113,9 +149,9 @@ def redacted(text: str = "text", spans: str = "spans") -> F.Column:
 
     A null text stays null.
     """
-    return F.expr(f"""if(size({spans}) = 0, `{text}`,
-        aggregate({spans}, named_struct('at', 0, 'made', ''),
-            (a, s) -> named_struct(
-                'at', greatest(a.at, s.end),
-                'made', if(s.start >= a.at, concat(a.made, substring(`{text}`, a.at + 1, s.start - a.at), '[', upper(s.kind), ']'), a.made)),
-            a -> concat(a.made, substring(`{text}`, a.at + 1))))""")
+    before = "if(i = 0, 0, o.ends[i - 1])"
+    piece = f"if(s.start >= {before}, concat({_part('o.chunks', before, f's.start - {before}')}, '[', upper(s.kind), ']'), '')"
+    last = "o.ends[size(o.ends) - 1]"
+    body = f"concat(array_join(transform(o.spans, (s, i) -> {piece}), ''), {_part('o.chunks', last, f'o.length - {last}')})"
+    ends = _running(f"transform({spans}, s -> s.end)", "greatest(x, y)")
+    return F.expr(f"if(size({spans}) = 0, `{text}`, {_bound(body, chunks=_chunks(f'`{text}`'), length=f'length(`{text}`)', spans=spans, ends=ends)})")

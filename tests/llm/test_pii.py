@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -47,6 +48,23 @@ def test_base_spans_like_brute_force(docs):
         assert (row.tag, row.score) == ("x", 0.5)
 
 
+def test_many_matches_in_one_text(docs):
+    """50,000 matches of base kinds and 20,000 others; work must not grow with their square."""
+    r = random.Random(6)
+    one = lambda i: r.choice([f"user{i}@mail{i}.example.org ", f"10.{i % 256}.0.{i % 250} ", "4111 1111 1111 1111, ", f"+1 555 {1000000 + i} "])
+    text = "".join(one(i) for i in range(50_000)) + "my ssn 123-45-6789; " * 20_000
+    began = time.time()
+    row = pii.find(docs([(0, text), (1, "x@y.zz")])).select("doc_id", pii.as_text(kinds=pii.BASE).alias("b"), F.size("spans").alias("n"), F.length(pii.redacted()).alias("left")).where("doc_id = 0").first()
+    assert time.time() - began < 60
+    assert row.b == brute(text) and row.n == 20_000 + row.b.count(",") + 1 and row.left < len(text)
+
+
+def test_others_never_overlap_base_spans(docs):
+    texts = ["ssn 123-45-6789@x.org", "ssn a@b.c-123-45-6789", "ssn 123-45-6789 a@b.cd", "iban DE89370400440532013000@x.org 4111111111111111", "é" * 300 + " ssn 123-45-6789 " + "é" * 300 + " a@b.cd"]
+    rows = {r.doc_id: r.s for r in pii.find(docs(list(enumerate(texts)))).select("doc_id", pii.as_text().alias("s")).collect()}
+    assert rows == {0: "email:4:21", 1: "email:4:21", 2: "ssn:4:15,email:16:22", 3: "email:5:33,card:34:50", 4: "ssn:305:316,email:618:624"}
+
+
 def test_checksums_and_context(docs):
     texts = ["IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE88 3704 0044 0532 0130 00 ok", "GB82WEST12345698765432", "my ssn 123-45-6789.", "it is 123-45-6789.", "my ssn 000-45-6789"]
     rows = {r.doc_id: (r.s, r.t) for r in pii.find(docs(list(enumerate(texts)))).select("doc_id", pii.as_text().alias("s"), pii.redacted().alias("t")).collect()}
