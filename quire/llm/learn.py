@@ -26,6 +26,17 @@ def sample_of(labels: DataFrame, key: str, label: str, modulus: int, held_out: i
     return hashed.orderBy("h", "key").limit(bound).select("key", "label", F.pmod("h", F.lit(100)).cast("int").alias("part"))
 
 
+def one_a_key(rows: DataFrame) -> DataFrame:
+    """Of the rows (key, text, ...) of one key the one of the least text hash.
+
+    A labelled key may stand on any number of documents; this bounds the rows to
+    learn from by the labels, with at most one row a key and task before the shuffle.
+    """
+    others = [c for c in rows.columns if c not in ("key", "text")]
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", *others)).alias("row")
+    return rows.groupBy("key").agg(least).select("key", "row.text", *[f"row.{c}" for c in others])
+
+
 @dataclass(frozen=True)
 class Tree:
     """A complete binary tree: node i has children 2i+1 and 2i+2; feature -1 marks a leaf; x <= threshold goes left."""

@@ -34,7 +34,8 @@ _LOWER = bytes(range(97, 123))
 _DIGITS = bytes(range(48, 58))
 _SIGNS = b"#$%&*+/<=>@\\^_`{}~"
 _HIGH = bytes(range(128, 256))
-_TAIL = re.compile(r"[^\w\s.,;:?'\")\]]{2,}(?=\s|$)")
+#: A run of signs at the end of a word; only where a run begins, so that a long one is read once.
+_TAIL = re.compile(r"""(?<![^\w\s.,;:?'")\]])[^\w\s.,;:?'")\]]{2,}+(?=\s|$)""")
 
 STATISTICS = (
     "log_words", "word_length", "upper_share", "digit_share", "sign_share", "bar_rate", "exclamation_rate", "tail_rate", "distinct_share",
@@ -131,11 +132,12 @@ def _holding(rules: list[Rule], x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text", penalty: float = 0.001) -> Model:
     """A model from :func:`learn.sample_of` rows and the texts of their documents.
 
-    Only the sample's statistics come to the driver, at most :data:`SAMPLE` rows.
+    Of rows that share a key one is learnt from (:func:`learn.one_a_key`).  Only the
+    sample's statistics come to the driver, at most :data:`SAMPLE` rows.
     Without labels of both kinds every text scores the mean.
     """
-    labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(sample), "key").select("text", "label")
-    got = measured(labelled).drop("text").toPandas()
+    labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(sample), "key")
+    got = measured(learn.one_a_key(labelled).select("text", "label")).drop("text").toPandas()
     names = [f"q_{s}" for s in STATISTICS]
     got = got.sort_values([*names, "label"], ignore_index=True)  # the same model whatever the order of rows
     x, y = got[names].to_numpy(float).reshape(-1, len(names)), got["label"].to_numpy(float)

@@ -5,12 +5,11 @@ toxic than of the other rows of a bounded labelled sample.  The sample is cut in
 :data:`FOLDS`: a row's features come from the lexicon of the other folds, and
 the calibration from scores of trees of the other folds, so neither sees the
 label that it is fitted to.  A piece of text between white space is classed once
-per worker; a document's features are then counts over those classes.
+a task; a document's features are then counts over those classes.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import learn
-from quire.llm.common import slices, texts_of, written
+from quire.llm.common import slices, texts_of, trimmed, written
 from quire.llm.minhash import near_duplicates
 
 #: Labelled rows that a model is fitted on, at most.
@@ -35,8 +34,8 @@ FOLDS = 5
 STEMS = (4, 5, 6, 7, 8)
 #: Parts that a row is counted in; whole numbers, so that sums do not hang on the order of rows.
 PARTS = 1 << 40
-#: Pieces that a worker remembers, at most.
-REMEMBERED = 100_000
+#: Pieces that a task remembers, at most, and the letters of the longest.
+REMEMBERED, LONGEST = 100_000, 64
 #: Words from a second-person word within which a lexicon word counts as aimed at someone.
 NEAR = 5
 
@@ -144,7 +143,7 @@ class Classes(dict):
             plain = "".join(_LETTERS.findall(low.translate(SIGNS)))
             found = max(found, self.weight(plain))
         code = found | _YOU * any(w in SECOND_PERSON for w in words) | _CAPS * (len(piece) > 2 and piece.isupper()) | _HIDDEN * hidden | _EXCLAIM * ("!" in piece) | _SINGLE * (len(piece) == 1 and piece.isalpha())
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED and len(piece) <= LONGEST:
             self[piece] = code
         return code
 
@@ -174,36 +173,32 @@ def features(text: str, classes: Classes) -> list[float]:
     ]
 
 
-@functools.lru_cache(maxsize=1)
-def _classes(lexicon: tuple[tuple[str, float], ...]) -> Classes:
-    return Classes(dict(lexicon))
-
-
-def _matrix(texts: list[str], lexicon: tuple[tuple[str, float], ...]) -> np.ndarray:
-    classes = _classes(lexicon)
-    return np.array([features(t, classes) for t in texts]).reshape(-1, len(FEATURES))
-
-
 class Model:
     """A lexicon, trees and a calibration curve; small, and the same for every row."""
 
     def __init__(self, lexicon: dict[str, float], trees: tuple[float, list[learn.Tree]], curve: tuple[np.ndarray, np.ndarray]):
         self.lexicon, self.trees, self.curve = tuple(lexicon.items()), trees, curve
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        return learn.calibrated(self.curve, learn.raw_scores(self.trees, _matrix(texts, self.lexicon)))
+    def classes(self) -> Classes:
+        """An empty memory of pieces; a task has one for all its texts."""
+        return Classes(dict(self.lexicon))
+
+    def __call__(self, texts: list[str], classes: Classes | None = None) -> np.ndarray:
+        classes = self.classes() if classes is None else classes
+        x = np.array([features(t, classes) for t in texts]).reshape(-1, len(FEATURES))
+        return learn.calibrated(self.curve, learn.raw_scores(self.trees, x))
 
 
 def fit(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """A model from :func:`learn.sample_of` rows and the texts of their documents.
 
-    Only the lexicons and the sample's features come to the driver; both are
-    bounded by :data:`ENTRIES` and :data:`SAMPLE`.  Without labels of both kinds
-    every text scores the mean.
+    Of rows that share a key one is learnt from (:func:`learn.one_a_key`), so the
+    rows are bounded as the labels are.  Only the lexicons and the sample's
+    features come to the driver; both are bounded by :data:`ENTRIES` and
+    :data:`SAMPLE`.  Without labels of both kinds every text scores the mean.
     """
     small = F.broadcast(sample.select("key", "label", (F.col("part") % FOLDS).alias("fold")))
-    labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(small, "key")
-    labelled = weighed(labelled)
+    labelled = weighed(learn.one_a_key(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(small, "key")))
     lexicons = [tuple(x.items()) for x in learn_lexicons(labelled)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +230,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{to}` double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = model.classes()
         for batch in batches:
             for start, stop in slices(batch.column(place)):
-                scores = model(texts_of(batch.column(place)[start:stop]))
+                scores = model(texts_of(batch.column(place)[start:stop]), classes)
                 yield pa.RecordBatch.from_arrays([*(c[start:stop] for c in batch.columns), pa.array(scores, pa.float64())], [*batch.schema.names, to])
+        classes.clear()
+        trimmed()
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
