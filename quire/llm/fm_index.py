@@ -11,52 +11,68 @@ from __future__ import annotations
 import numpy as np
 
 
+class PackedBits:
+    """Bits in 64-bit words with running counts."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.concatenate((bits, np.zeros(64 + -len(bits) % 64, bool))), bitorder="little").view(np.uint64)
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.int64))).astype(np.int32)
+
+    def rank(self, places: np.ndarray) -> np.ndarray:
+        """How many bits are set before each place."""
+        below = (np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[places >> 6] + np.bitwise_count(self.words[places >> 6] & below).astype(np.int64)
+
+
 class WaveletMatrix:
-    """Bit levels of a sequence, most significant first, packed in 64-bit words with running counts."""
+    """Bit levels of a sequence, most significant first, packed."""
 
     def __init__(self, values: np.ndarray, bits: int):
         self.bits = bits
-        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.levels: list[tuple[PackedBits, int]] = []
         for level in range(bits - 1, -1, -1):
             bit = (values >> level & 1).astype(bool)
-            packed = np.packbits(np.concatenate((bit, np.zeros(64 + -len(bit) % 64, bool))), bitorder="little").view(np.uint64)
-            before = np.concatenate(([0], np.cumsum(np.bitwise_count(packed[:-1]), dtype=np.int64)))
-            self.levels.append((packed, before, int(len(bit) - bit.sum())))
+            self.levels.append((PackedBits(bit), int(len(bit) - bit.sum())))
             values = np.concatenate((values[~bit], values[bit]))
 
     def rank(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place."""
         start, stop = np.zeros(len(places), np.int64), places.astype(np.int64)
-        for level, (packed, before, zeros) in enumerate(self.levels):
+        for level, (packed, zeros) in enumerate(self.levels):
             ones = (symbols >> (self.bits - 1 - level) & 1).astype(bool)
-            first, last = (before[x >> 6] + np.bitwise_count(packed[x >> 6] & ((np.uint64(1) << (x & 63).astype(np.uint64)) - np.uint64(1))) for x in (start, stop))
+            first, last = packed.rank(start), packed.rank(stop)
             start = np.where(ones, zeros + first, start - first)
             stop = np.where(ones, zeros + last, stop - last)
         return stop - start
 
 
 class FmIndex:
-    """An index of texts given as one array of word codes and the texts' lengths; matches are followed to ``depth`` words."""
+    """An index of texts given as one array of word codes and the texts' lengths; matches are followed to ``depth`` words.
+
+    What is kept of them is the wavelet matrix, the counts of its symbols, and of
+    each group of suffixes that agree in ``depth`` words where it begins (a bit a
+    place, and 4 bytes) and where its words stand first (4 bytes); neither the
+    words nor the sorted suffixes.
+    """
 
     def __init__(self, words: np.ndarray, lengths: np.ndarray, depth: int):
-        self.depth, self.lengths = depth, lengths
+        self.depth = depth
         stops = np.cumsum(lengths)
         self.alphabet, codes = np.unique(words, return_inverse=True)
         # a mark, code 0, ends every text
-        self.starts = stops - lengths + np.arange(len(lengths))
         n = len(words) + len(lengths)
         text = np.zeros(n, np.int64)
         inner = np.ones(n, bool)
         inner[stops + np.arange(len(lengths))] = False
         text[inner] = codes + 1
-        self.text = text
         order, rank = self._sorted(text, depth)
-        # groups of suffixes that agree in ``depth`` words
-        firsts = np.flatnonzero(np.concatenate(([True], np.diff(rank[order]) != 0)))
-        self.group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, n)))
-        self.group_start, self.group_stop = firsts, np.append(firsts[1:], n)
-        #: the first place in the texts of each group
-        self.group_first = np.minimum.reduceat(order, firsts)
+        self.size = n
+        begins = np.concatenate(([True], np.diff(rank[order]) != 0))
+        self.groups = PackedBits(begins)
+        firsts = np.flatnonzero(begins)
+        self.group_start = np.append(firsts, n).astype(np.int32)
+        #: the first place in the words of each group
+        self.group_first = np.minimum.reduceat((np.cumsum(inner) - 1)[order], firsts).astype(np.int32)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))))
         self.transform = WaveletMatrix(text[order - 1], max(1, int(len(self.alphabet)).bit_length()))
 
@@ -89,39 +105,48 @@ class FmIndex:
         n = len(symbols)
         return self.before[symbols] + ranks[:n], self.before[symbols] + ranks[n:]
 
-    def first_places(self) -> np.ndarray:
-        """For every place of the indexed texts where ``depth`` words begin, the first place with the same words; -1 elsewhere.
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """The code of each word, 0 for one that no indexed text has."""
+        if not len(self.alphabet):
+            return np.zeros(len(words), np.int64)
+        where = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
+        return np.where(self.alphabet[where] == words, where + 1, 0)
+
+    def first_places(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For every place of streamed texts where ``depth`` words begin, the first place with the same words in the indexed texts; -1 elsewhere.
 
-        Each text is streamed from its right end.  While a match is shorter than
-        ``depth`` a step lengthens it; from then on the interval is widened after
-        each step to all matches of ``depth`` words, so one step a word is enough.
+        The streamed texts must be among the indexed ones.  Each is streamed from
+        its right end.  While a match is shorter than ``depth`` a step lengthens it;
+        from then on the interval is widened after each step to all matches of
+        ``depth`` words, so one step a word is enough.
         """
-        found = np.full(len(self.text), -1, np.int64)
-        at = np.flatnonzero(self.lengths >= self.depth)
-        start, stop = np.zeros(len(at), np.int64), np.full(len(at), len(self.text), np.int64)
-        for taken in range(1, int(self.lengths.max(initial=0)) + 1):
-            going = self.lengths[at] >= taken
+        codes = self.codes(words)
+        starts = np.cumsum(lengths) - lengths
+        found = np.full(len(words), -1, np.int64)
+        at = np.flatnonzero(lengths >= self.depth)
+        start, stop = np.zeros(len(at), np.int64), np.full(len(at), self.size, np.int64)
+        for taken in range(1, int(lengths.max(initial=0)) + 1):
+            going = lengths[at] >= taken
             if not going.all():
                 at, start, stop = at[going], start[going], stop[going]
-            place = self.starts[at] + self.lengths[at] - taken
-            symbols = self.text[place]
+            place = starts[at] + lengths[at] - taken
+            symbols = codes[place]
             if taken <= self.depth:
                 start, stop = self.step(symbols, start, stop)
             else:
                 start = self.before[symbols] + self.transform.rank(symbols, start)
             if taken >= self.depth:
-                group = self.group[start]
-                start, stop = self.group_start[group], self.group_stop[group]
+                group = self.groups.rank(start + 1) - 1
+                start, stop = self.group_start[group].astype(np.int64), self.group_start[group + 1].astype(np.int64)
                 found[place] = self.group_first[group]
         return found
 
     def matching(self, words: np.ndarray) -> np.ndarray:
         """Matching statistics of any text: for each end, the words before it that the index holds in a row, at most ``depth``."""
-        where = np.minimum(np.searchsorted(self.alphabet, words), max(0, len(self.alphabet) - 1))
-        codes = np.where(self.alphabet[where] == words, where + 1, 0) if len(self.alphabet) else np.zeros(len(words), np.int64)
+        codes = self.codes(words)
         lengths = np.zeros(len(words), np.int64)
         ends = np.arange(len(words))
-        start, stop = np.zeros(len(words), np.int64), np.full(len(words), len(self.text), np.int64)
+        start, stop = np.zeros(len(words), np.int64), np.full(len(words), self.size, np.int64)
         for taken in range(self.depth):
             going = ends - taken >= 0
             going[going] = codes[ends[going] - taken] > 0

@@ -12,7 +12,12 @@ segment.
    of all their words, so no shard gathers a common phrase.
 3. Each shard indexes its segments a bounded batch at a time and streams them
    against the index; the interval of every window tells its first occurrence.
+   Windows of hot anchors are dealt over :data:`SALT` shards first, and only the
+   first of each shard goes on to the one that compares those.
 4. Words covered by windows that are not the first go.
+
+:data:`HOT` only decides how windows are dealt; the result does not hang on it.
+Tables in the shared folder go as soon as what is made of them stands.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, written
+from quire.llm.common import discard, slices, trimmed, written
 from quire.llm.fm_index import FmIndex
 
-WINDOW, GRAM = 20, 4
-#: Occurrences from which an anchor's windows are dealt singly.
-HOT = 5_000
+WINDOW, GRAM = 20, 8
+#: Occurrences from which an anchor's windows are dealt singly, and shards over which equal ones are dealt.
+HOT, SALT = 5_000, 64
 #: Words that one index holds; a shard's batch ends with the group of an anchor that reaches it.
 BATCH = 100_000
 
@@ -82,13 +87,13 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _pieces(docs: DataFrame, flagged: DataFrame, window: int, gram: int) -> DataFrame:
-    """Segments (key, id, tag, start, words) with repeated anchors, and as rows without words the repeats (id, tag, start, n windows in key) that a block shows by itself."""
-    names = ["key", "id", "tag", "start", "words"]
+    """Segments (key, salt, id, tag, start, words) with repeated anchors, salt -1 for those dealt by key alone, and as rows without words the repeats (id, tag, start, n windows in key) that a block shows by itself."""
+    names = ["key", "salt", "id", "tag", "start", "words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(1)):
-                first: dict[bytes, tuple[int, int, int, int]] = {}
+                first: dict[bytes, tuple[int, int, int, int, int]] = {}
                 repeats: list[tuple[int, int, int, int]] = []
                 columns = [c[start:stop] for c in batch.columns]
                 for id_, text, common, hot in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3]):
@@ -98,61 +103,69 @@ def _pieces(docs: DataFrame, flagged: DataFrame, window: int, gram: int) -> Data
                     anchors, begins, counts = segments(hashes, window, gram)
                     singly = np.isin(anchors.view(np.int64), hot.values.to_numpy())
                     met = np.isin(anchors.view(np.int64), common.values.to_numpy()) & ~singly
-                    pieces = list(zip(anchors[met].view(np.int64).tolist(), begins[met].tolist(), counts[met].tolist()))
+                    pieces = [(*p, -1) for p in zip(anchors[met].view(np.int64).tolist(), begins[met].tolist(), counts[met].tolist())]
                     if singly.any():
                         alone = np.repeat(begins[singly] - np.cumsum(counts[singly]) + counts[singly], counts[singly]) + np.arange(counts[singly].sum())
-                        pieces += [(int(k), w, 1) for k, w in zip(_rolled(hashes, window)[alone].view(np.int64).tolist(), alone.tolist())]
-                    for key, begin, n in pieces:
+                        pieces += [(k, w, 1, tag % SALT) for k, w in zip(_rolled(hashes, window)[alone].view(np.int64).tolist(), alone.tolist())]
+                    for key, begin, n, salt in pieces:
                         words = raw[8 * begin : 8 * (begin + n + window - 1)]
-                        mine = (id_, tag, begin, key)
+                        mine = (id_, tag, begin, key, salt)
                         held = first.setdefault(words, mine)
                         if held != mine:
                             if mine[:3] < held[:3]:
                                 first[words] = mine
                                 mine = held
                             repeats.append((mine[0], mine[1], mine[2], n))
-                rows = [(v[3], v[0], v[1], v[2], w) for w, v in first.items()] + [(n, i, t, b, None) for i, t, b, n in repeats]
+                rows = [(v[3], v[4], v[0], v[1], v[2], w) for w, v in first.items()] + [(n, -1, i, t, b, None) for i, t, b, n in repeats]
                 if rows:
-                    key, ids, tags, begins, words = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, ids, tags, begins)), pa.array(words, pa.binary())], names)
+                    key, salts, ids, tags, begins, words = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(salts, pa.int32()), *(pa.array(x, pa.int64()) for x in (ids, tags, begins)), pa.array(words, pa.binary())], names)
 
     joined = docs.join(flagged, "id").select("id", "text", "common", "hot")
-    return joined.mapInArrow(run, "key long, id long, tag long, start long, words binary")
+    return joined.mapInArrow(run, "key long, salt int, id long, tag long, start long, words binary")
 
 
-def _repeats(pieces: DataFrame, window: int, batch_words: int) -> DataFrame:
-    """(id, tag, start, n): runs of windows that stand earlier, of segments dealt by key."""
-    order = ["key", "id", "tag", "start"]
+def _repeats(pieces: DataFrame, window: int, batch_words: int, dealt_by: tuple[str, ...]) -> DataFrame:
+    """(id, tag, start, n): runs of windows that stand earlier, of segments dealt by some columns; and of salted segments those that stand first, as rows (key, id, tag, start, words) with n 0."""
+    names = ["key", "id", "tag", "start", "salt", "words"]
+    given = ["id", "tag", "start", "n", "key", "words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-            lengths = np.array([len(r[4]) // 8 for r in rows])
-            index = FmIndex(np.frombuffer(b"".join([r[4] for r in rows]), np.uint64), lengths, window)
-            first = index.first_places()
+        def found(rows: list[tuple[int, int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            lengths = np.array([len(r[5]) // 8 for r in rows])
+            words = np.frombuffer(b"".join([r[5] for r in rows]), np.uint64)
+            first = FmIndex(words, lengths, window).first_places(words, lengths)
             repeated = (first >= 0) & (first < np.arange(len(first)))
             edges = np.diff(np.concatenate(([0], repeated.view(np.int8), [0])))
             begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            starts = np.cumsum(lengths) - lengths
             if len(begins):
-                text = np.searchsorted(index.starts, begins, side="right") - 1
+                text = np.searchsorted(starts, begins, side="right") - 1
                 own = np.array([r[1:4] for r in rows], np.int64)[text]
-                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2] + begins - index.starts[text]), pa.array(ends - begins)], ["id", "tag", "start", "n"])
+                n = len(begins)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2] + begins - starts[text]), pa.array(ends - begins), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], given)
+            lone = [r for r, gone in zip(rows, repeated[starts].tolist()) if r[4] >= 0 and not gone]
+            if lone:
+                key, ids, tags, begins, _, words = zip(*lone)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, tags, begins, [0] * len(lone), key)), pa.array(words, pa.binary())], given)
 
         held, words, last = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] == last:
+                if row[:5] == last:
                     continue  # a repeated row of the input is one occurrence
                 if words >= batch_words and row[0] != last[0]:
                     yield from found(held)
                     held, words = [], 0
                 held.append(row)
-                words += len(row[4]) // 8
-                last = row[:4]
+                words += len(row[5]) // 8
+                last = row[:5]
         if held:
             yield from found(held)
+        trimmed()
 
-    dealt = pieces.where("words is not null").select(*order, "words").repartition("key").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "id long, tag long, start long, n long")
+    dealt = pieces.select(*names).repartition(*dealt_by).sortWithinPartitions(*names[:4])
+    return dealt.mapInArrow(run, "id long, tag long, start long, n long, key long, words binary")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, batch_words: int = BATCH) -> DataFrame:
@@ -167,13 +180,20 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     picked = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     whole = picked.where("id is not null and text is not null")
     anchors = written(_anchors(whole, window, gram), "anchors")
-    counts = anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1")
-    flagged = anchors.join(counts, "anchor").groupBy("id").agg(
-        F.collect_list(F.when(F.col("total") <= hot, F.col("anchor"))).alias("common"), F.collect_list(F.when(F.col("total") > hot, F.col("anchor"))).alias("hot")
+    # both sides of the join are tables, so that the partition of an anchor in every document is split
+    counts = written(anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1"), "counts")
+    flagged = written(
+        anchors.join(counts, "anchor").groupBy("id").agg(F.collect_list(F.when(F.col("total") <= hot, F.col("anchor"))).alias("common"), F.collect_list(F.when(F.col("total") > hot, F.col("anchor"))).alias("hot")), "flagged"
     )
+    discard(anchors, counts)
     pieces = written(_pieces(whole, flagged, window, gram), "segments")
-    repeats = _repeats(pieces, window, batch_words).union(pieces.where("words is null").select("id", "tag", "start", F.col("key").alias("n")))
-    covered = repeats.groupBy("id").agg(F.collect_list(F.struct("tag", "start", "n")).alias("repeats"))
+    discard(flagged)
+    found = written(_repeats(pieces.where("words is not null"), window, batch_words, ("key", "salt")), "runs")
+    firsts = found.where("words is not null").withColumn("salt", F.lit(-1))
+    runs = ["id", "tag", "start", "n"]
+    repeats = found.where("words is null").select(*runs).union(_repeats(firsts, window, batch_words, ("key",)).select(*runs)).union(pieces.where("words is null").select("id", "tag", "start", F.col("key").alias("n")))
+    covered = written(repeats.groupBy("id").agg(F.collect_list(F.struct("tag", "start", "n")).alias("repeats")), "covered")
+    discard(pieces, found)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

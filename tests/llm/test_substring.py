@@ -89,9 +89,25 @@ def test_matching_statistics():
 def test_first_places():
     rng = np.random.default_rng(3)
     shard = [rng.integers(0, 3, n).astype(np.uint64) for n in (40, 3, 60)]
-    index = FmIndex(np.concatenate(shard), np.array([len(s) for s in shard]), 5)
-    seen, expected = {}, np.full(len(index.text), -1)
-    for start, s in zip(index.starts, shard):
+    words, lengths = np.concatenate(shard), np.array([len(s) for s in shard])
+    index = FmIndex(words, lengths, 5)
+    seen, expected, at = {}, np.full(len(words), -1), 0
+    for s in shard:
         for i in range(len(s) - 4):
-            expected[start + i] = seen.setdefault(tuple(s[i : i + 5].tolist()), start + i)
-    assert index.first_places().tolist() == expected.tolist()
+            expected[at + i] = seen.setdefault(tuple(s[i : i + 5].tolist()), at + i)
+        at += len(s)
+    assert index.first_places(words, lengths).tolist() == expected.tolist()
+    assert index.first_places(shard[2], lengths[2:]).tolist() == expected[43:].tolist()  # one text alone
+    kept = sum(x.nbytes for x in (index.group_start, index.group_first, index.groups.words, index.groups.before))
+    assert kept <= 12 * index.size and not hasattr(index, "text")
+
+
+def test_tables_go_and_one_window_everywhere(docs, spark):
+    from quire.llm.common import shared_dir
+
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, f"a{i} {passage} b{i}") for i in range(300)]
+    result = substring.deduplicated(docs(rows).repartition(6), hot=10, batch_words=50)
+    assert got(result) == brute(rows)
+    left = spark.sparkContext._jvm.java.io.File(shared_dir(spark).removeprefix("file://")).list()
+    assert not any(x.startswith(("anchors", "counts", "flagged", "segments", "runs")) for x in left)
