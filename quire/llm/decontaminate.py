@@ -19,16 +19,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices
+from quire.llm.common import discard, slices, trimmed, written
 
 #: Share of an item's own score from which it is retrieved, and share of n-grams from which it is verified.
 RETRIEVE, VERIFY = 0.6, 0.8
 #: Words of an n-gram; shorter questions and answers are one n-gram.
 GRAM = 5
-#: Bytes of benchmark text that one index holds, at most; more text makes more indexes, each met by all passages.
+#: Bytes of benchmark text that one index holds, at most; more text makes more indexes, each met by all passages in a pass of its own.
 INDEX_BYTES = 16 << 20
 #: Bytes of texts that bounds are worked out for at once.
 BLOCK_BYTES = 2 << 20
@@ -37,17 +38,19 @@ BLOCK = 32
 #: Share of any item's score that words may give which no bound looks at.
 COMMON = 0.25
 K1, B = 1.2, 0.75
-#: Pieces whose terms a task remembers, at most.
-REMEMBERED = 100_000
+#: Pieces whose terms a task remembers, at most, and the letters of the longest.
+REMEMBERED, LONGEST = 100_000, 64
 
-_EDGES = re.compile(r"^\W+|\W+$")
+_INSIDE = re.compile(r"\w")
 _ANSWER = re.compile(r"^\s*(?:A|Answer|answer|ANSWER)\s*[:.]\s*", re.M)
 
 
 def normal(piece: str) -> str:
     """A word in lower case without signs at its ends; may be empty."""
     low = piece.lower()
-    return low if low.isalnum() else _EDGES.sub("", low)
+    if low.isalnum() or not (first := _INSIDE.search(low)):
+        return low if low.isalnum() else ""
+    return low[first.start() : len(low) - _INSIDE.search(low[::-1]).start()]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -72,10 +75,19 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + span]) for i in range(len(words) - span + 1)} if span else set()
 
 
+def weight(holding: int, items: int) -> float:
+    """The inverse document frequency of a term that some of the items hold."""
+    return math.log(1 + (items - holding + 0.5) / (holding + 0.5))
+
+
 class Index:
-    """Impact-normalised BM25 postings of items, in blocks with their largest impacts."""
+    """Impact-normalised BM25 postings of items, in blocks with their largest impacts.
+
+    ``idf`` and ``mean`` (words of an item) are those of all items, of which an
+    index may hold a part; without them they are taken from the items given.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], idf: dict[str, float] | None = None, mean: float | None = None):
         split = [(i, *parts_of(t)) for i, t in sorted(items, key=lambda x: x[0])]
         split = [(i, q, a) for i, q, a in split if q or a]
         self.ids = [i for i, _, _ in split]
@@ -83,9 +95,10 @@ class Index:
         bags = [Counter(q + a) for _, q, a in split]
         self.sizes = [sum(b.values()) for b in bags]
         self.longest = max(self.sizes, default=0)
-        mean = sum(self.sizes) / max(1, len(self.sizes))
-        frequency = Counter(t for b in bags for t in b)
-        idf = {t: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
+        if mean is None:
+            mean = sum(self.sizes) / max(1, len(self.sizes))
+        if idf is None:
+            idf = {t: weight(n, len(bags)) for t, n in Counter(t for b in bags for t in b).items()}
         postings: dict[str, list[tuple[int, float]]] = {}
         for item, (bag, size) in enumerate(zip(bags, self.sizes)):
             impact = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in bag.items()}
@@ -195,7 +208,7 @@ def matches(texts: pa.Array, index: Index, known: dict[str, int], retrieve: floa
     for k, p in enumerate(pieces):
         if (t := known.get(p)) is None:
             t = index.terms.get(normal(p), none)
-            if len(known) < REMEMBERED:
+            if len(known) < REMEMBERED and len(p) <= LONGEST:
                 known[p] = t
         terms[k] = t
     at = coded.indices.to_numpy()
@@ -237,13 +250,39 @@ def matches(texts: pa.Array, index: Index, known: dict[str, int], retrieve: floa
     return found
 
 
-def indexes(items: DataFrame, item_key: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes of all items, each of about ``index_bytes`` of text at most, one at a time; items with a null key are left out."""
+def _terms(known: DataFrame) -> DataFrame:
+    """(shard, term, n) for the terms of each item (shard, text), and as the term "" the item itself with its words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                question, answer = parts_of(text)
+                if words := question + answer:
+                    terms = ["", *set(words)]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(terms), pa.int64()), pa.array(terms, pa.string()), pa.array([len(words)] + [1] * (len(terms) - 1), pa.int64())], ["shard", "term", "n"])
+
+    return known.select("shard", "text").mapInArrow(run, "shard long, term string, n long")
+
+
+def indexes(items: DataFrame, item_key: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> Iterator[tuple[Index, bool]]:
+    """Indexes of all items, each of about ``index_bytes`` of text at most, one at a time, and whether there are several; items with a null key are left out.
+
+    Frequencies and the mean length are counted over all items, so scores do not
+    hang on how many indexes there are.  An index takes its own terms' to the
+    driver, which are bounded as its text is.
+    """
     known = items.select(F.col(f"`{item_key}`").cast("long").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text")).where("item is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // index_bytes))
+    known = known.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
+    terms = written(_terms(known), "terms")
+    counted, words = terms.where("term = ''").agg(F.count("*"), F.sum("n")).first()
+    holding = written(terms.where("term <> ''").groupBy("term").agg(F.count("*").alias("holding")), "holding")
     for shard in range(shards):
-        yield Index([tuple(r) for r in known.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).collect()])
+        own = terms.where((F.col("shard") == shard) & (F.col("term") != "")).select("term").distinct()
+        idf = {r.term: weight(r.holding, counted) for r in own.join(holding, "term").collect()}
+        yield Index([(r.item, r.text) for r in known.where(F.col("shard") == shard).collect()], idf, (words or 0) / max(1, counted)), shards > 1
+    discard(terms, holding)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", retrieve: float = RETRIEVE, verify: float = VERIFY, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -253,13 +292,14 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     own BM25 score and if, near such a passage, at least ``verify`` of its
     n-grams stand, or of its question's and of its answer's.  Items with a null
     key or without words, and null or empty texts, match nothing; repeated items
-    and repeated rows each give their rows.  Weights come from the items of one
-    index.  Other columns are ignored.
+    and repeated rows each give their rows.  Weights come from all items.  Other
+    columns are ignored.  With several indexes each one's pass is a table, and
+    only one of them is in memory at a time.
     """
     picked = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = picked.schema[0].dataType.simpleString()
     found = []
-    for index in indexes(items, item_key, item_text, index_bytes):
+    for index, several in indexes(items, item_key, item_text, index_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -272,14 +312,22 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                         keys = batch.column(0)[start:stop].take(pa.array(rows))
                         yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for i in of], pa.int64()), *(pa.array(x, pa.float64()) for x in (score, question, answer))], [key, item_key, "score", "question_overlap", "answer_overlap"])
 
-        found.append(picked.mapInArrow(run, f"`{key}` {kind}, `{item_key}` long, score double, question_overlap double, answer_overlap double"))
+        made = picked.mapInArrow(run, f"`{key}` {kind}, `{item_key}` long, score double, question_overlap double, answer_overlap double")
+        found.append(_passed(made, shared) if several else made)
     return functools.reduce(DataFrame.union, found)
 
 
+def _passed(made: DataFrame, shared: Broadcast) -> DataFrame:
+    """A pass as a table, after which its index goes."""
+    table = written(made, "pass")
+    shared.destroy()
+    return table
+
+
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", retrieve: float = RETRIEVE, verify: float = VERIFY, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no item as :func:`contaminated` finds it; in one pass for each index, without a shuffle."""
     place = docs.columns.index(text)
-    for index in indexes(items, item_key, item_text, index_bytes):
+    for index, several in indexes(items, item_key, item_text, index_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -289,6 +337,9 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
                     kept = np.ones(stop - start, bool)
                     kept[[m[0] for m in matches(batch.column(place)[start:stop], index, known, retrieve, verify)]] = False
                     yield batch.slice(start, stop - start).filter(pa.array(kept))
+            known.clear()
+            trimmed()
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = _passed(docs, shared) if several else docs
     return docs
