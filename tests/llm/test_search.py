@@ -1,5 +1,6 @@
 import time
 
+import duckdb
 import numpy as np
 
 from quire.llm import decontaminate, maxscore, queries
@@ -34,12 +35,42 @@ def test_few_or_no_candidates(spark):
 def test_shard_is_exact_with_large_values():
     rng = np.random.default_rng(5)
     vectors, queries_ = rng.integers(-(2**30), 2**30, (200, 6)), rng.integers(-(2**30), 2**30, (5, 6))
-    q, r, s = maxscore.search_shard(np.arange(200), vectors, np.arange(1000, 1005), queries_, 3, probe=2)
+    q, r, s = maxscore.search_shard(np.arange(200), vectors, queries_, 3, probe=2)
     for k in range(5):
         full = [int(sum(int(a) * int(b) for a, b in zip(queries_[k], v))) for v in vectors]
         assert s[q == k].tolist() == sorted(full, reverse=True)[:3]
 
 
+def test_repeated_ids_and_empty_vectors(spark, tmp_path):
+    """Each row is a query and a candidate of its own, whatever its id; against the SQL too."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, -1.0]), (50, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [5.0, 5.0]), (100, []), (7, []), (100, []), (150, None), (200, [float("nan"), 1.0]), (3, [0.5]), (250, [2.0])] + [(9, [0.25, 0.25])] * 4
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = maxscore.quantised(table, "vec_id", "embedding")
+    usable = [(k, np.floor(256 * np.array(v)).astype(int)) for k, v in rows if v is not None and np.isfinite(v).all()]
+    expected = []
+    for i, (k, v) in enumerate(usable):
+        if k % 50 == 0:
+            scores = sorted((-int(v @ w), j) for n, (j, w) in enumerate(usable) if n != i and len(w) == len(v))[:5]
+            expected += [(k, n, j, -s) for n, (s, j) in enumerate(scores, 1)]
+    for block, together in ((16, 1 << 20), (2, 1)):
+        got = maxscore.top_k(vectors.where("key % 50 = 0"), vectors, 5, shard=4, block=block, together=together)
+        assert sorted(map(tuple, got.collect())) == sorted(expected)
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    sql = queries.SQL["op9_maxscore"].replace("embeddings", f"read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(duckdb.sql(sql).fetchall()) == sorted(expected)
+
+
+def test_floors_are_carried():
+    rng = np.random.default_rng(7)
+    vectors, queries_ = rng.integers(-300, 300, (90, 5)), rng.integers(-300, 300, (4, 5))
+    floors, kept = maxscore.Floors(4, 3, None), 0
+    for cut in (0, 30, 60):
+        q, r, s = maxscore.search_shard(np.arange(cut, cut + 30), vectors[cut : cut + 30], queries_, 3, floors(), probe=2)
+        floors.raised(q, s)
+        kept += len(q)
+    assert (floors.best == -np.sort(-(queries_ @ vectors.T), axis=1)[:, :3]).all() and kept < 36
+
+
 def test_op9_query(spark, sf_dir):
     compare_sql(spark, sf_dir, "op9_maxscore")
 
