@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import slices, trimmed
 
-#: Pieces in one generation of a task's memory, and bytes of the longest that it holds.
-GENERATION, LONGEST = 100_000, 64
-#: Bytes of text in a block, and bytes of new pieces that are encoded together.
-BLOCK, LEARNT = 4 << 20, 1 << 20
+#: Pieces in one generation of a task's memory, and letters of the longest that it holds.
+GENERATION, LONGEST = 150_000, 64
+#: Bytes of text in a block, and letters of new pieces that are encoded together.
+BLOCK, LEARNT = 8 << 20, 1 << 20
 
 # Marks that Unicode got after version 9, as ranges.  The library's
 # tables of canonical order do not know them, so nothing is moved or composed
@@ -54,7 +54,8 @@ LATE_LETTERS = (
 LATE_CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
 
 _LATE_MARK, _LATE_LETTER = (re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "])") for ranges in (LATE_MARKS, LATE_LETTERS))
-_LATE_CAPITAL = {a + k: chr(small + k) for a, b, small in LATE_CAPITALS for k in range(b - a + 1)}
+_LATE_CAPITAL = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in LATE_CAPITALS) + "]")
+_LATE_SMALL = {a + k: chr(small + k) for a, b, small in LATE_CAPITALS for k in range(b - a + 1)}
 
 
 def _byte_symbols() -> list[str]:
@@ -198,10 +199,12 @@ class WordBpe:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Each piece between white space as little-endian ids."""
-        plain = [p for p in pieces if "<|" not in p]
+        joined = "\n".join(pieces)
+        if special := "<|" in joined:
+            joined = "\n".join(p for p in pieces if "<|" not in p)
         words, bounds = [], [0]
         # no form of normalisation reaches across a line end, and pieces hold none
-        for low in _normal("\n".join(plain)).split("\n") if plain else ():
+        for low in _normal(joined).split("\n") if joined else ():
             if low.isalpha():
                 words.append(low.encode())
             else:
@@ -210,8 +213,11 @@ class WordBpe:
         flat, starts = self.merge(words)
         raw = flat.astype("<u4").tobytes()
         at = (4 * starts[bounds]).tolist()
-        found = iter([raw[a:b] for a, b in zip(at, at[1:])])
-        return [next(found) if "<|" not in p else self._special(p) for p in pieces]
+        found = [raw[a:b] for a, b in zip(at, at[1:])]
+        if not special:
+            return found
+        plain = iter(found)
+        return [next(plain) if "<|" not in p else self._special(p) for p in pieces]
 
     def _special(self, piece: str) -> bytes:
         parts = self._parts(piece)
@@ -233,7 +239,9 @@ def _normal(text: str) -> str:
     if text.isascii():
         return text.lower()
     composed = "".join(unicodedata.normalize("NFC", part) for part in _LATE_MARK.split(text))
-    return composed.translate(_LATE_CAPITAL).replace("\u03a3", "\u03c3").lower()
+    if _LATE_CAPITAL.search(composed):
+        composed = composed.translate(_LATE_SMALL)
+    return composed.replace("\u03a3", "\u03c3").lower()
 
 
 @functools.lru_cache(maxsize=2)
@@ -247,7 +255,7 @@ class Remembered:
 
     Once a generation is full it becomes the older one, from which pieces come
     back when they are met again; what was not met by then is forgotten.  Only
-    pieces of at most :data:`LONGEST` bytes are held, so its size is bounded in bytes.
+    pieces of at most :data:`LONGEST` letters are held, so its size is bounded in bytes.
     """
 
     def __init__(self, bpe: WordBpe):
@@ -262,19 +270,19 @@ class Remembered:
         if self.older:
             for k in lacking:
                 found[k] = self.older.get(pieces[k])
-        start, size = 0, 0
         new = [k for k in lacking if found[k] is None]
-        for stop, k in enumerate(new, 1):
-            size += len(pieces[k]) + 1
-            if size >= LEARNT or stop == len(new):
-                for at, ids in zip(new[start:stop], self.bpe.encode_pieces([pieces[i] for i in new[start:stop]])):
-                    found[at] = ids
-                start, size = stop, 0
-        for k in lacking:
-            if len(found[k]) <= 4 * LONGEST and len(pieces[k].encode()) <= LONGEST:
-                if len(self.ids) >= GENERATION:
-                    self.older, self.ids = self.ids, {}
-                self.ids[pieces[k]] = found[k]
+        if new:
+            before = np.cumsum([len(pieces[k]) for k in new]) // LEARNT
+            cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(new)]
+            for start, stop in zip(cuts, cuts[1:]):
+                for k, ids in zip(new[start:stop], self.bpe.encode_pieces([pieces[k] for k in new[start:stop]])):
+                    found[k] = ids
+        held = [(pieces[k], found[k]) for k in lacking if len(pieces[k]) <= LONGEST]
+        for start in range(0, len(held), GENERATION):
+            some = held[start : start + GENERATION]
+            if len(self.ids) + len(some) > GENERATION:
+                self.older, self.ids = self.ids, {}
+            self.ids.update(some)
         return found
 
 

@@ -81,7 +81,7 @@ def test_memory_is_bounded_in_bytes(library, monkeypatch):
         for p, ids in zip(pieces, memory.coded(pieces)):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(p, add_special_tokens=False).ids
         assert len(memory.ids) <= 50 and len(memory.older) <= 50
-        assert all(len(p.encode()) <= bpe.LONGEST for p in [*memory.ids, *memory.older])
+        assert all(len(p) <= bpe.LONGEST for p in [*memory.ids, *memory.older])
 
 
 def test_files_are_taken_by_number(spark, tmp_path):
