@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -65,6 +66,56 @@ def test_hot_groups_in_small_regions_and_blocks(docs):
     assert got(minhash.near_duplicates(docs(rows), words=2, region=16, block=600)) == brute(rows, 2)
 
 
+def templated(n):
+    """Pages of one template (Jaccard similarity 0.6 to each other) in pairs of 0.802."""
+    base = " ".join(f"t{i}" for i in range(150))
+    page = lambda p, k: " ".join([base, *(f"p{p}s{i}" for i in range(28)), *(f"p{p}k{k}u{i}" for i in range(22))])
+    return [(2 * p + k, page(p, k)) for p in range(n // 2) for k in (0, 1)]
+
+
+@pytest.mark.parametrize(("n", "region"), [(5_000, 64), (20_000, minhash.REGION)])
+def test_pairs_in_a_dense_region(spark, n, region):
+    """Thousands of distinct sets share regions that are cut; pairs just above the threshold are found, in linear time."""
+    began = time.time()
+    table = spark.createDataFrame(templated(n), "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(table, words=1, region=region).collect()}
+    assert sum(found[i] == i - i % 2 for i in range(n)) >= 0.999 * n
+    assert time.time() - began < 150
+
+
+def test_exact_links_like_all_pairs():
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        base = [rng.choice(60, rng.integers(1, 30), replace=False) for _ in range(4)]
+        sets = [np.unique(np.concatenate((b[rng.random(len(b)) < 0.95], rng.choice(60, rng.integers(0, 3), replace=False), b[:1]))).astype(np.uint64) for b in base for _ in range(6)]
+        left = rng.random(len(sets)) < 0.5 if trial % 2 else np.ones(len(sets), bool)
+        parent = list(range(len(sets)))
+        find = lambda x: x if parent[x] == x else find(parent[x])  # noqa: E731, B023
+        for a in range(len(sets)):
+            for b in range(a):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                if (left[a] or left[b]) and 100 * len(x & y) >= 80 * len(x | y):
+                    parent[max(find(a), find(b))] = min(find(a), find(b))
+        ids = np.arange(len(sets)) * 10
+        got_links = dict(minhash.exact_links(ids, sets, 80, left))
+        assert [got_links.get(int(i), int(i)) for i in ids] == [10 * find(k) for k in range(len(sets))]
+
+
+def test_regions_cut_by_partitions(spark):
+    """Large and small regions over many partitions: what shares a deep region is one candidate component."""
+    rows = [(0, k1, k2, *[i * 37 % 251 - 125, i, -i, i * i], i) for i, (k1, k2) in enumerate([(5, 5)] * 400 + [(5, 6)] * 3 + [(7, 1)] * 2)]
+    table = spark.createDataFrame(rows, minhash._ROW_TYPES)
+    for parts in (1, 7, 60):
+        sorted_rows = table.repartitionByRange(parts, "tree", "k1", "k2", "id").sortWithinPartitions("tree", "k1", "k2", "id")
+        found = minhash._linked_regions(sorted_rows, 64, 8, True).cache()
+        found = found.union(minhash._linked_edges(found, 64, 8, True))
+        links = found.where("kind = 0").selectExpr("id as a", "other as b").distinct()
+        assert {r.component for r in components(links).where("node < 400").collect()} == {0}
+        dense = minhash._linked_regions(sorted_rows, 64, 8, False).cache()
+        dense = dense.union(minhash._linked_edges(dense, 64, 8, False))
+        assert {r.id for r in dense.where("kind = 2").collect()} == set(range(403))
+
+
 def test_null_and_repeated_ids(docs):
     rows = [(None, "a b c"), (3, "a b c"), (3, "a b c"), (2, "z y x"), (3, "z y x"), (9, "q")]
     result = minhash.near_duplicates(docs(rows), words=2)
