@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"\s*(?:(?P<comment>%[^\r\n]*)|(?P<string>\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\))|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<name>/[^\s\[\]<>()/%]*)"
+    r"\s*(?:(?P<comment>%[^\r\n]*)|(?P<string>\()|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<name>/[^\s\[\]<>()/%]*)"
     r"|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?![^\s\[\]<>()/%]))|(?P<open>\[|<<)|(?P<close>\]|>>)|(?P<operator>[^\s\[\]<>()/%]+))"
 )
+_BRACKET = re.compile(r"\\.|[()]", re.S)
 _ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
 Matrix = tuple[float, float, float, float, float, float]
@@ -40,13 +41,31 @@ def quoted(text: str) -> str:
     return "(" + re.sub(r"([\\()])", r"\\\1", text) + ")"
 
 
+def tokens(stream: str) -> Iterator[tuple[str, str]]:
+    """(kind, token) in a row; brackets in strings nest to any depth, and a string that never ends ends the stream."""
+    at = 0
+    while found := _TOKEN.match(stream, at):
+        kind, at = found.lastgroup, found.end()
+        if kind != "string":
+            yield kind, found[kind]
+            continue
+        depth = 1
+        for one in _BRACKET.finditer(stream, at):
+            depth += {"(": 1, ")": -1}.get(one[0], 0)
+            if not depth:
+                yield kind, stream[at - 1 : one.end()]
+                at = one.end()
+                break
+        else:
+            return
+
+
 def operators(stream: str | None) -> Iterator[tuple[str, list[str]]]:
     """(operator, operand tokens) in a row; arrays and dictionaries are one operand each; what cannot be read ends the stream."""
     operands: list[str] = []
     depth, nested = 0, []
-    for found in _TOKEN.finditer(stream or ""):
-        kind, token = found.lastgroup, found[0].strip()
-        if kind is None or kind == "comment":
+    for kind, token in tokens(stream or ""):
+        if kind == "comment":
             continue
         if kind == "open":
             depth += 1
@@ -96,15 +115,18 @@ class Interpreter:
 
     widths: Callable[[str, str], float] = field(default=lambda font, char: 0.5)
     forms: dict[str, str] = field(default_factory=dict)
-    most_nested: int = 16
+    graphics: bool = False
 
     def run(self, stream: str | None) -> list[tuple]:
         self.state, self.stack, self.shown = State(), [], []
         self.text = self.line = IDENTITY
-        self._run(stream, 0)
+        self.points: list[tuple[float, float]] = []
+        self.segments, self.clip, self.tags = 0, "", []
+        self._run(stream, ())
         return self.shown
 
-    def _run(self, stream: str | None, nested: int) -> None:
+    def _run(self, stream: str | None, nested: tuple[str, ...]) -> None:
+        """``nested``: the forms that are being drawn."""
         for operator, operands in operators(stream):
             numbers = [float(o) for o in operands if re.fullmatch(r"[+-]?(?:\d+\.?\d*|\.\d+)", o)]
             s = self.state
@@ -156,14 +178,25 @@ class Interpreter:
                     self._move(0, -s.leading)
                     self._show(operands[-1])
                 case "TJ", _ if operands:
-                    for found in _TOKEN.finditer(operands[-1][1:-1]):
-                        token = found[0].strip()
-                        if found.lastgroup == "number":
+                    for kind, token in tokens(operands[-1][1:-1]):
+                        if kind == "number":
                             self.text = multiplied((1, 0, 0, 1, -float(token) / 1000 * s.size * s.scale, 0), self.text)
-                        elif found.lastgroup in ("string", "hex"):
+                        elif kind in ("string", "hex"):
                             self._show(token)
                 case "Do", _ if operands:
                     self._do(operands[-1], nested)
+                case "m" | "l" | "c" | "v" | "y" | "h" | "re", _:
+                    self._path(operator, numbers)
+                case "W" | "W*", _:
+                    self.clip = operator
+                case "S" | "s" | "f" | "F" | "f*" | "B" | "B*" | "b" | "b*" | "n", _:
+                    self._paint(operator)
+                case "sh", _ if operands:
+                    self._shading(operands[-1])
+                case "BMC" | "BDC", _ if operands:
+                    self.tags.append(operands[0])
+                case "EMC", _ if self.tags:
+                    self.tags.pop()
 
     def _move(self, x: float, y: float) -> None:
         self.text = self.line = multiplied((1, 0, 0, 1, x, y), self.line)
@@ -176,17 +209,46 @@ class Interpreter:
         width = sum((self.widths(s.font, c) * s.size + s.char_space + s.word_space * (c == " ")) * s.scale for c in text)
         self.text = multiplied((1, 0, 0, 1, width, 0), self.text)
 
-    def _do(self, name: str, nested: int) -> None:
+    def _do(self, name: str, nested: tuple[str, ...]) -> None:
         if name in self.forms:
-            # a form that draws itself stops at a depth
-            if nested < self.most_nested:
+            # a form that draws itself, however far down, is passed over there
+            if name not in nested:
                 held = replace(self.state)
-                self._run(self.forms[name], nested + 1)
+                self._run(self.forms[name], (*nested, name))
                 self.state = held
         else:
             m = self.state.ctm
             self.shown.append(("image", name, m[4], m[5], (m[0] ** 2 + m[1] ** 2) ** 0.5, "", len(self.stack)))
 
+    def _path(self, operator: str, numbers: list[float]) -> None:
+        """Points of the path under construction, in page space; control points of curves count for its hull."""
+        if operator == "re" and len(numbers) == 4:
+            x, y, w, h = numbers
+            corners = [x, y, x + w, y, x + w, y + h, x, y + h]
+            self.segments += 5
+        else:
+            corners = numbers
+            self.segments += 1
+        for x, y in zip(corners[::2], corners[1::2]):
+            at = multiplied((1, 0, 0, 1, x, y), self.state.ctm)
+            self.points.append((at[4], at[5]))
+
+    def _paint(self, operator: str) -> None:
+        """A path object (or a clip) at the lower left of its hull, its size the larger side, its text the operator and the segments."""
+        if self.graphics and self.points:
+            xs, ys = zip(*self.points)
+            side = max(max(xs) - min(xs), max(ys) - min(ys))
+            if operator != "n":
+                self.shown.append(("path", f"{operator} {self.segments}", min(xs), min(ys), side, "", len(self.stack)))
+            if self.clip:
+                self.shown.append(("clip", f"{self.clip} {self.segments}", min(xs), min(ys), side, "", len(self.stack)))
+        self.points, self.segments, self.clip = [], 0, ""
+
+    def _shading(self, name: str) -> None:
+        if self.graphics:
+            m = self.state.ctm
+            self.shown.append(("shading", name, m[4], m[5], 0.0, "", len(self.stack)))
+
 
 def parsed(pages: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id", "pageno")) -> DataFrame:
     """One row an operator: keep, seq (from 1), op, args (operands joined by a space)."""
@@ -200,11 +262,11 @@ def parsed(pages: DataFrame, content: str = "content", keep: tuple[str, ...] = (
     return pages.select(*keep, content).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "seq int, op string, args string"]))
 
 
-def shown(pages: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id", "pageno"), forms: dict[str, str] | None = None) -> DataFrame:
-    """One row an object that a page shows: keep, seq, kind (text or image), text, x, y, size, font, depth of saved states."""
+def shown(pages: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id", "pageno"), forms: dict[str, str] | None = None, graphics: bool = False) -> DataFrame:
+    """One row an object that a page shows: keep, seq, kind (text or image; with ``graphics`` path, clip and shading too), text, x, y, size, font, depth of saved states."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        interpreter = Interpreter(forms=forms or {})
+        interpreter = Interpreter(forms=forms or {}, graphics=graphics)
         for pdf in batches:
             rows = [(*row[:-1], i, *made) for row in pdf.itertuples(index=False, name=None) for i, made in enumerate(interpreter.run(row[-1]), 1)]
             yield pd.DataFrame(rows, columns=[*keep, "seq", "kind", "text", "x", "y", "size", "font", "depth"])
@@ -351,3 +413,61 @@ def bounds_shown(pages: DataFrame, content: str = "content", keep: tuple[str, ..
     """keep, seq and the box of every text a page shows: from where it begins, ``width`` of its size a character."""
     made = shown(pages, content, keep).where("kind = 'text'")
     return made.select(*keep, "seq", F.col("x").alias("minx"), F.col("y").alias("miny"), (F.col("x") + F.length("text") * F.col("size") * width).alias("maxx"), (F.col("y") + F.col("size") * height).alias("maxy"))
+
+
+#: Operators that set a state which a painting operator may use, by what they set.
+_SETS = {"g": "fill", "rg": "fill", "k": "fill", "G": "stroke", "RG": "stroke", "K": "stroke", "w": "width", "J": "cap", "j": "join", "M": "miter", "d": "dash", "Tf": "font", "Tr": "mode", "Tc": "char", "Tw": "word", "Tz": "scale", "TL": "leading", "Ts": "rise"}
+
+
+def without_noops(pages: DataFrame, content: str = "content") -> DataFrame:
+    """``pages`` without operators that change nothing: those that set what is set already, and saved states in which nothing is left."""
+
+    @F.pandas_udf("string")
+    def made(streams: pd.Series) -> pd.Series:
+        def one(stream: str | None) -> str | None:
+            if stream is None:
+                return None
+            state: dict[str, tuple] = {}
+            stack: list[dict[str, tuple]] = []
+            kept: list[tuple[str, list[str]]] = []
+            for op, args in operators(stream):
+                if op == "q":
+                    stack.append(dict(state))
+                elif op == "Q":
+                    state = stack.pop() if stack else {}
+                    if kept and kept[-1][0] == "q":
+                        kept.pop()
+                        continue
+                elif op in _SETS:
+                    if state.get(_SETS[op]) == (op, *args):
+                        continue
+                    state[_SETS[op]] = (op, *args)
+                elif op in ("gs", "Do", "BT", "ET"):
+                    if op in ("gs", "Do"):
+                        state = {}
+                elif op in ("cs", "CS", "sc", "scn", "SC", "SCN"):
+                    state.pop("stroke" if op[0] in "CS" else "fill", None)
+                elif op == '"':
+                    state.pop("char", None)
+                    state.pop("word", None)
+                elif op == "TD":
+                    state.pop("leading", None)
+                kept.append((op, args))
+            return "\n".join(" ".join([*args, op]) for op, args in kept)
+
+        return streams.map(one, na_action=None)
+
+    return pages.withColumn(content, made(F.col(content)))
+
+
+def moved(content: Column, matrix: tuple[Column, ...]) -> Column:
+    """Content under a matrix of its own; null content stays null."""
+    return F.concat(F.lit("q\n"), F.format_string("%.6f %.6f %.6f %.6f %.6f %.6f cm", *[m.cast("double") for m in matrix]), F.lit("\n"), content, F.lit("\nQ"))
+
+
+def glyph_boxes(pages: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id", "pageno"), width: float = 0.5) -> DataFrame:
+    """One row a character shown: keep, seq (of its string), place (from 0), char, and the box of its cell; all characters are ``width`` of the size wide."""
+    texts = shown(pages, content, keep).where("kind = 'text'")
+    each = texts.select(*keep, "seq", "x", "y", "size", F.posexplode(F.split("text", "")).alias("place", "char")).where("char <> ''")
+    x = F.col("x") + F.col("place") * F.col("size") * width
+    return each.select(*keep, "seq", "place", "char", x.alias("minx"), F.col("y").alias("miny"), (x + F.col("size") * width).alias("maxx"), (F.col("y") + F.col("size")).alias("maxy"))

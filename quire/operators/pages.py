@@ -7,8 +7,10 @@ windows are per document, so a document's page list is the largest group.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,21 +53,25 @@ def split_at(pages: DataFrame, marked: Column) -> DataFrame:
 def split_by_size(pages: DataFrame, size: str, limit: int) -> DataFrame:
     """Greedy chunks whose sizes sum to ``limit`` at most (a page that is larger stands alone): (doc_id, pageno, chunk).
 
-    A fold, so it runs per document in pages' order.
+    A fold over each document's pages in order, as they stream by; no document is held whole.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(PAGE)
-        chunk, held, chunks = 1, 0, []
-        for i, n in enumerate(pdf["size"].fillna(0).tolist()):
-            if i and held + n > limit:
-                chunk, held = chunk + 1, 0
-            held += n
-            chunks.append(chunk)
-        return pd.DataFrame({DOC: pdf[DOC], PAGE: pdf[PAGE], "chunk": chunks})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, held = None, 1, 0
+        for batch in batches:
+            chunks = []
+            for doc, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if doc != at:
+                    at, chunk, held = doc, 1, 0
+                elif held + n > limit:
+                    chunk, held = chunk + 1, 0
+                held += n
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.int32())], [DOC, PAGE, "chunk"])
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return pages.select(DOC, PAGE, F.col(size).alias("size")).groupBy(DOC).applyInPandas(fold, f"{DOC} {kind[DOC]}, {PAGE} {kind[PAGE]}, chunk int")
+    sorted_pages = pages.where(F.col(DOC).isNotNull()).select(DOC, PAGE, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")).repartition(DOC).sortWithinPartitions(DOC, PAGE)
+    return sorted_pages.mapInArrow(fold, f"{DOC} {kind[DOC]}, {PAGE} {kind[PAGE]}, chunk int")
 
 
 def sprayed(pages: DataFrame, k: int, pos: str = PAGE) -> DataFrame:
@@ -161,24 +167,27 @@ def current_mark(pages: DataFrame, marks: DataFrame, level: int) -> DataFrame:
     level (a smaller number) follows.
     """
     ordered = Window.partitionBy(DOC).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    reached = marks.where((F.col("level") <= level) & F.col("target").isNotNull()).withColumn("upto", F.max("target").over(ordered))
     # upto: the least page from which this mark is read
-    pairs = pages.select(DOC, PAGE).join(reached, DOC).where(F.col("upto") <= F.col(PAGE))
-    here = F.when((F.col("level") == level) & (F.col("target") == F.col(PAGE)), F.struct(-F.col("seq"), F.col("text")))
-    best = pairs.groupBy(DOC, PAGE).agg(
-        F.max(here)["text"].alias("on_page"),
-        F.max(F.when((F.col("level") == level) & (F.col("target") < F.col(PAGE)), F.struct("seq", "text"))).alias("earlier"),
-        F.max(F.when((F.col("level") < level) & (F.col("target") <= F.col(PAGE)), F.col("seq"))).alias("reset"),
-    )
-    chosen = F.when(F.col("on_page").isNotNull(), F.col("on_page")).when(F.col("reset").isNull() | (F.col("earlier.seq") > F.col("reset")), F.col("earlier.text"))
-    return pages.join(best.select(DOC, PAGE, chosen.alias("mark")), [DOC, PAGE], "left")
+    reached = marks.where((F.col("level") <= level) & F.col("target").isNotNull()).withColumn("upto", F.max("target").over(ordered))
+    here = reached.where((F.col("level") == level) & (F.col("upto") == F.col("target"))).groupBy(DOC, F.col("target").alias(PAGE)).agg(F.min(F.struct("seq", "text")).alias("here"))
+    # marks and pages in one order; without a mark on the page itself those before it decide
+    both = reached.select(DOC, F.col("upto").alias(PAGE), "seq", "level", "text", F.lit(False).alias("is_page")).unionByName(pages.select(DOC, PAGE).distinct().withColumn("is_page", F.lit(True)), True)
+    so_far = Window.partitionBy(DOC).orderBy(PAGE, "is_page", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = F.last(F.when(F.col("level") == level, F.struct("seq", "text")), True).over(so_far)
+    reset = F.max(F.when(F.col("level") < level, F.col("seq"))).over(so_far)
+    before = both.select(DOC, PAGE, "is_page", earlier.alias("earlier"), reset.alias("reset")).where("is_page")
+    found = before.join(here, [DOC, PAGE], "left").select(DOC, PAGE, F.when(F.col("here").isNotNull(), F.col("here.text")).when(F.col("reset").isNull() | (F.col("earlier.seq") > F.col("reset")), F.col("earlier.text")).alias("mark"))
+    return pages.join(found, [DOC, PAGE], "left")
 
 
 def labelled(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """Page labels: the range (style, prefix, startpage, startvalue) that begins at or before each page last; without one a page's label is its number."""
     from quire.functions.text import label
 
-    latest = pages.select(DOC, PAGE).join(ranges, DOC).where(F.col("startpage") <= F.col(PAGE)).groupBy(DOC, PAGE).agg(F.max(F.struct("startpage", "style", "prefix", "startvalue")).alias("r"))
+    both = ranges.select(DOC, F.col("startpage").alias(PAGE), F.struct("startpage", "style", "prefix", "startvalue").alias("r"), F.lit(False).alias("is_page"))
+    both = both.unionByName(pages.select(DOC, PAGE).distinct().withColumn("is_page", F.lit(True)), True)
+    so_far = Window.partitionBy(DOC).orderBy(PAGE, "is_page", "r").rowsBetween(Window.unboundedPreceding, 0)
+    latest = both.select(DOC, PAGE, "is_page", F.last("r", True).over(so_far).alias("r")).where("is_page").drop("is_page")
     number = F.col("r.startvalue") + F.col(PAGE) - F.col("r.startpage")
     text = F.when(F.col("r").isNull(), F.col(PAGE).cast("string")).otherwise(label(F.col("r.style"), F.col("r.prefix"), number))
     return pages.join(latest, [DOC, PAGE], "left").withColumn("label", text).drop("r")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,27 +48,42 @@ def missing(things: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return things.join(present.select(key).distinct(), key, "left_anti")
 
 
-def closure(edges: DataFrame, roots: DataFrame, skip: Column | None = None, most: int = 200) -> DataFrame:
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _until_empty(first: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """``first`` and what ``step`` (of the newest rows, all rows so far and the round) adds, until it adds nothing.
+
+    Only the newest rows are checkpointed in a round; the parts are put together now and then.
+    """
+    newest = cut(first)
+    parts, n = [newest], 0
+    while True:
+        n += 1
+        newest = cut(step(newest, _all(parts), n))
+        if newest.isEmpty():
+            return _all(parts)
+        parts = [cut(_all([*parts, newest]))] if len(parts) == 24 else [*parts, newest]
+
+
+def closure(edges: DataFrame, roots: DataFrame, skip: Column | None = None) -> DataFrame:
     """(node, depth): what is reachable from roots (node) over edges (src, dst), and in how many steps.
 
     Edges that ``skip`` holds for are not followed.  Each round joins only what
-    the last one found; cycles end because a node is found once.  A checkpoint ends
-    each round.
+    the last one found; cycles end because a node is found once.
     """
     followed = cut(edges.where(~skip) if skip is not None else edges)
-    found = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    newest = found
-    for depth in range(1, most + 1):
+
+    def step(newest: DataFrame, found: DataFrame, n: int) -> DataFrame:
         reached = newest.join(followed, newest["node"] == followed["src"]).select(F.col("dst").alias("node")).distinct()
-        newest = cut(reached.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if newest.isEmpty():
-            return found
-        found = cut(found.unionByName(newest))
-    raise ValueError(f"not closed after {most} steps")
+        return reached.join(found, "node", "left_anti").withColumn("depth", F.lit(n))
+
+    return _until_empty(roots.select("node").distinct().withColumn("depth", F.lit(0)), step)
 
 
 def duplicates(objects: DataFrame, key: str, content: str) -> DataFrame:
-    """Groups of equal contents: the first key, how many there are, and the bytes that keeping one saves; compared whole, grouped by digest."""
+    """Groups of equal contents, told by their SHA-256: the first key, how many there are, and the bytes that keeping one saves."""
     digested = objects.select(F.col(key), F.sha2(content, 256).alias("digest"), F.octet_length(content).alias("size"))
     groups = digested.groupBy("digest").agg(F.min(key).alias("kept"), F.count("*").alias("copies"), F.max("size").alias("size"))
     return groups.where("copies > 1").select("kept", "copies", ((F.col("copies") - 1) * F.col("size")).alias("saved"))
@@ -80,34 +98,54 @@ def remapped(refs: DataFrame, objects: DataFrame, key: str, content: str, column
 
 
 def text_width(texts: DataFrame, key: str, text: str, widths: DataFrame, size: float, default: int) -> DataFrame:
-    """Each text's width at a font size, from a table (char, width) of thousandths; characters not in it have the default."""
-    counted = texts.select(key, F.explode(F.split(text, "")).alias("char")).where("char <> ''").groupBy(key, "char").agg(F.count("*").alias("n"))
-    wide = counted.join(F.broadcast(widths), "char", "left").groupBy(key).agg(F.sum(F.col("n") * F.coalesce("width", F.lit(default))).alias("units"))
-    return wide.select(key, F.round(F.col("units") * size / 1000, 3).alias("width"))
+    """Each text's width at a font size, from a table (char, width) of thousandths; characters not in it have the default.
 
+    The table is that of one font: one row to join, so no text is shuffled.  An
+    empty or null text has no row.
+    """
+    table = widths.agg(F.map_from_entries(F.collect_list(F.struct("char", "width"))).alias("table"))
+    units = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda a, c: a + F.when(c == "", 0).otherwise(F.coalesce(F.try_element_at("table", c), F.lit(default))))
+    wide = texts.where(F.length(text) > 0).join(F.broadcast(table), how="cross")
+    return wide.select(key, F.round(units * size / 1000, 3).alias("width"))
 
-def closure_pairs(edges: DataFrame, roots: DataFrame, most: int = 200) -> DataFrame:
+
+def closure_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): what each root (root) reaches over edges (src, dst), itself included; as :func:`closure`, for many roots at once."""
     followed = cut(edges.select("src", "dst").distinct())
-    found = newest = cut(roots.select("root", F.col("root").alias("node")).distinct())
-    for _ in range(most):
+
+    def step(newest: DataFrame, found: DataFrame, _: int) -> DataFrame:
         reached = newest.join(followed, newest["node"] == followed["src"]).select("root", F.col("dst").alias("node")).distinct()
-        newest = cut(reached.join(found, ["root", "node"], "left_anti"))
-        if newest.isEmpty():
-            return found
-        found = cut(found.unionByName(newest))
-    raise ValueError(f"not closed after {most} steps")
+        return reached.join(found, ["root", "node"], "left_anti")
 
+    return _until_empty(roots.select("root", F.col("root").alias("node")).distinct(), step)
 
-def tree_paths(nodes: DataFrame, most: int = 200) -> DataFrame:
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """(node, depth, path) of a forest (node, parent, ord); path orders nodes as a listing does, roots have a null parent."""
     width = max(6, nodes.agg(F.max(F.length(F.col("ord").cast("string")))).first()[0] or 0)  # of the longest, as lpad cuts
-    step = lambda c: F.lpad(c.cast("string"), width, "0")
-    found = newest = cut(nodes.where("parent is null").select("node", F.lit(0).alias("depth"), step(F.col("ord")).alias("path")))
-    for depth in range(1, most + 1):
-        below = newest.select(F.col("node").alias("parent"), F.col("path").alias("above")).join(nodes, "parent")
-        newest = cut(below.select("node", F.lit(depth).alias("depth"), F.concat("above", F.lit("/"), step(F.col("ord"))).alias("path")))
-        if newest.isEmpty():
-            return found
-        found = cut(found.unionByName(newest))
-    raise ValueError(f"deeper than {most}")
+    steps = cut(nodes.select("node", "parent", F.lpad(F.col("ord").cast("string"), width, "0").alias("step")))
+
+    def below(newest: DataFrame, _: DataFrame, n: int) -> DataFrame:
+        above = newest.select(F.col("node").alias("parent"), F.col("path").alias("above"))
+        return above.join(steps, "parent").select("node", F.lit(n).alias("depth"), F.concat("above", F.lit("/"), "step").alias("path"))
+
+    return _until_empty(steps.where("parent is null").select("node", F.lit(0).alias("depth"), F.col("step").alias("path")), below)
+
+
+def drawn_tree(nodes: DataFrame, label: str) -> DataFrame:
+    """(node, path, line): a forest (node, parent, ord, label) as a listing with lines between parents and children, in the order of path.
+
+    A node's line has for each ancestor a bar if that one has later brothers, then its own corner.
+    """
+    paths = tree_paths(nodes)
+    last = F.lead("node").over(Window.partitionBy("parent").orderBy("ord")).isNull()
+    placed = cut(nodes.select("node", "parent", F.when(F.col("parent").isNull(), F.lit(None)).otherwise(last).alias("last"), F.col(label).alias("label")))
+    roots = placed.where("parent is null").select("node", F.lit("").alias("lead"), F.col("label").alias("line"))
+
+    def below(newest: DataFrame, _: DataFrame, n: int) -> DataFrame:
+        above = newest.select(F.col("node").alias("parent"), F.col("lead").alias("above"))
+        made = above.join(placed, "parent")
+        corner, lead = F.when(F.col("last"), "\u2514\u2500\u2500 ").otherwise("\u251c\u2500\u2500 "), F.when(F.col("last"), "    ").otherwise("\u2502   ")
+        return made.select("node", F.concat("above", lead).alias("lead"), F.concat("above", corner, "label").alias("line"))
+
+    return _until_empty(roots, below).select("node", "line").join(paths.select("node", "path"), "node")

