@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,22 +15,27 @@ def components(edges: DataFrame) -> DataFrame:
     rounds; each is a partially aggregated minimum and one join, and its results
     are tables in the shared folder.  A hub's rows meet only its minimum, and both
     sides of a join are read from tables, so a skewed hub's partition is split.
-    Only a count and a checksum of the edges reach the driver.
+    Only a count and a checksum of the edges reach the driver, and the tables of a
+    round go when the next one stands.
     """
-    held = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    def summed(rows: DataFrame, label: str) -> tuple[DataFrame, dict]:
+        """A table of edges, with their number and a checksum, taken as it is written."""
+        seen = Observation()
+        table = written(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), label)
+        return table, seen.get
+
+    held, state = summed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         # large star: a node's larger neighbours go to the least of its neighbourhood
         both = held.union(held.select(F.col("b"), F.col("a")))
         least = written(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         # small star: a node and its smaller neighbours go to the least of those
-        large = written(large, "large")
-        least = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
-        small = large.join(least, large["a"] == least["u"]).select("a", "b", "m")
+        smaller = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
+        small = large.join(smaller, large["a"] == smaller["u"]).select("a", "b", "m")
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        held = written(moved, "stars")
-        now = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before, (held, now) = held, summed(moved, "stars")
+        discard(before, least, large, smaller)
         if now == state:
             break
         state = now

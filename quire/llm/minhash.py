@@ -105,8 +105,10 @@ def _signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 _ROW = ("tree", "k1", "k2", "s0", "s1", "s2", "s3", "id")
 _ROW_TYPES = "tree int, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long, id long"
-#: Kinds of rows that regions give: links, rows of a region at an edge of a partition, rows of dense regions, and marks of large regions at an edge.
-_LINK, _EDGE, _DENSE, _LARGE = range(4)
+#: Kinds of rows that regions give: links, rows of a region at an edge of a partition, rows of dense regions, marks of large regions at an edge; and of those at an edge whose rows are one group there: a mark, the rows, and marks of those that are no group over all partitions.
+_LINK, _EDGE, _DENSE, _LARGE, _GROUP, _PENDING, _BROKEN = range(7)
+#: Rows of a region at an edge that go on themselves, at most.
+EDGE_ROWS = 256
 
 
 def _deep_signed(docs: DataFrame, rows: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -224,13 +226,45 @@ class _Regions:
         if over and not self.deep:
             self.put(_DENSE, rows)
 
+    def one_group(self, rows: list[np.ndarray]) -> bool:
+        """Link sorted rows, if a short forest makes them one group."""
+        links = _forest(np.stack(rows[3:7], axis=1), rows[7], self.equal, self.region)
+        one = links is not None and len(links) == len(np.unique(rows[7])) - 1
+        if one:
+            self.link(links)
+        return one
+
+    def mark(self, kind: int, rows: list[np.ndarray]) -> None:
+        """One row for a region: that of its least id."""
+        least = int(np.argmin(rows[7]))
+        self.put(kind, [c[least : least + 1] for c in rows])
+
     def edge(self, rows: list[np.ndarray], over: bool) -> None:
         """A region that an edge of a partition may cut: its rows meet those beyond, or if they are many a mark of them does."""
-        if over or len(rows[0]) > self.region:
-            self.settle(rows, True)
-            self.put(_LARGE, [c[:1] if k < 7 else c.min(keepdims=True) for k, c in enumerate(rows)])
-        else:
+        if not over and len(rows[0]) <= EDGE_ROWS:
             self.put(_EDGE, rows)
+        elif not over and not self.deep and self.one_group(rows):
+            self.mark(_GROUP, rows)
+            self.put(_PENDING, rows)
+        else:
+            self.settle(rows, True)
+            self.mark(_LARGE, rows)
+
+    def joined(self, kind: np.ndarray, rows: list[np.ndarray]) -> None:
+        """A region put together from the edges of partitions."""
+        marked = kind != _EDGE
+        if len(kind) < 2:
+            return
+        if not marked.any() and not self.deep:
+            self.settle(rows)
+        elif self.deep:
+            # a mark stands for all that are linked to it, so here all are linked
+            self.settle(rows, marked.any() or len(kind) > self.region)
+        elif (kind == _LARGE).any() or not self.one_group(rows):
+            self.mark(_BROKEN, rows)
+            plain = [c[~marked] for c in rows]
+            if len(plain[0]):
+                self.settle(plain, True)
 
     def handed_on(self) -> Iterator[pa.RecordBatch]:
         if self.made:
@@ -276,7 +310,7 @@ def _linked_regions(rows: DataFrame, equal: int, region: int, deep: bool) -> Dat
                 # too many rows to hold: settle these and go on, in the deep forest with the one that all are linked to
                 made.settle(held, True)
                 if first:
-                    made.put(_LARGE, [c[:1] if k < 7 else c.min(keepdims=True) for k, c in enumerate(held)])
+                    made.mark(_LARGE, held)
                 least = int(np.argmin(held[7]))
                 held, over = [c[least : least + 1].copy() for c in held], True
             yield from made.handed_on()
@@ -288,24 +322,12 @@ def _linked_regions(rows: DataFrame, equal: int, region: int, deep: bool) -> Dat
 
 
 def _linked_edges(found: DataFrame, equal: int, region: int, deep: bool) -> DataFrame:
-    """The same for the regions that edges of partitions cut, put together: one with a mark, or of too many rows, is large."""
+    """The same for the regions that edges of partitions cut, put together."""
     key = _ROW[: 3 if deep else 2]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _Regions(equal, region, deep)
 
-        def settled(rows: list[np.ndarray]) -> None:
-            marked = rows[0] == _LARGE
-            if len(marked) < 2:
-                return
-            if marked.any() or len(marked) > region:
-                # marked rows are dense already, and in the deep forest stand for all that are linked to them
-                plain = [c if deep else c[~marked] for c in rows[1:]]
-                if len(plain[0]):
-                    made.settle(plain, True)
-            else:
-                made.settle(rows[1:])
-
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -314,30 +336,37 @@ def _linked_edges(found: DataFrame, equal: int, region: int, deep: bool) -> Data
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             starts = _starts(rows[1:], made.key)
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                settled([c[a:b] for c in rows])
+                made.joined(rows[0][a:b], [c[a:b] for c in rows[1:]])
             held = [c[starts[-1] :].copy() for c in rows]
             yield from made.handed_on()
         if held is not None:
-            settled(held)
+            made.joined(held[0], held[1:])
             yield from made.handed_on()
 
-    cut = found.where(F.col("kind").isin(_EDGE, _LARGE)).repartition(*key).sortWithinPartitions(*_ROW[:3], "id")
+    cut = found.where(F.col("kind").isin(_EDGE, _LARGE, _GROUP)).repartition(*key).sortWithinPartitions(*_ROW[:3], "id")
     return cut.select("kind", *_ROW).mapInArrow(run, f"kind int, {_ROW_TYPES}, other long")
 
 
-def _planted_links(reps: DataFrame, equal: int, region: int, deep: bool) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of one forest over classes (id, sig), and the rows (id) of its dense regions."""
+def _planted_links(reps: DataFrame, equal: int, region: int, deep: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) of one forest over classes (id, sig), and the rows (id) of its dense regions, if there are any."""
     order = ["tree", "k1", "k2", "id"]
     found = written(_linked_regions(_planted(reps).repartitionByRange(*order).sortWithinPartitions(*order), equal, region, deep), "regions")
     found = found.union(written(_linked_edges(found, equal, region, deep), "edges-of-regions"))
-    return found.where(F.col("kind") == _LINK).select(F.col("id").alias("a"), F.col("other").alias("b")), found.where(F.col("kind") == _DENSE).select("id").distinct()
+    links = found.where(F.col("kind") == _LINK).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    kinds = {r.kind for r in found.where(F.col("kind").isin(_DENSE, _BROKEN)).select("kind").distinct().collect()}
+    if deep or not kinds:
+        return links, None
+    dense = found.where(F.col("kind") == _DENSE).select("id")
+    if _BROKEN in kinds:
+        broken = found.where(F.col("kind") == _BROKEN).select("tree", "k1").distinct()
+        dense = dense.union(found.where(F.col("kind") == _PENDING).join(broken, ["tree", "k1"]).select("id"))
+    return links, written(dense.distinct(), "dense")
 
 
 def candidates(reps: DataFrame, equal: int, region: int, deep_signed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Distinct candidate links (a, b) between classes (id, sig); ``deep_signed`` gives the deep signatures of some classes (id)."""
     links, dense = _planted_links(reps, equal, region, False)
-    dense = written(dense, "dense")
-    if not dense.isEmpty():
+    if dense is not None:
         links = links.union(_planted_links(written(deep_signed(dense), "deep"), equal, region, True)[0])
     return links.distinct()
 
@@ -474,13 +503,14 @@ def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: i
     totals = members.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     spread = F.when((F.col("rows") <= SPREAD) & (F.col("total") <= block), 1).otherwise(F.greatest(F.ceil(F.col("total") / block), F.least(F.lit(PARTS), F.ceil(F.col("rows") / SPREAD)), F.lit(2)))
     parted = written(members.join(totals, "component").select("id", "n", "component", spread.cast("int").alias("parts")), "members")
-    small = parted.where("parts = 1").select("id", "component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("is_left"))
-    links = written(_linked_groups(_sets(docs, small, key, text, words), percent), "links")
+    every = written(_sets(docs, parted, key, text, words), "sets")  # the texts are shuffled once
+    small = every.where("parts = 1").select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", F.lit(True).alias("is_left"), "set")
+    links = written(_linked_groups(small, percent), "links")
     large = parted.where("parts > 1")
     if large.isEmpty():
-        discard(parted)
+        discard(parted, every)
         return links
-    rows = written(_sets(docs, large, key, text, words), "sets")
+    rows = every.where("parts > 1")
     near = written(_linked_to_least(rows, percent), "near")
     rest = near.where("not near")
     # rows that do not link to the least member meet all others: their blocks against all blocks
@@ -490,7 +520,7 @@ def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: i
     right = sets.select("component", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("j"), "id", F.lit(False).alias("is_left"), "set")
     to_least = near.where("near and id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     across = written(_linked_groups(left.union(right), percent).union(to_least), "across")
-    discard(parted, rows, near)
+    discard(parted, every, near)
     return links.union(across)
 
 
