@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import slices, trimmed
 
-#: Pieces in one generation of a task's memory, and letters of the longest that it holds.
-GENERATION, LONGEST = 150_000, 64
+#: Pieces in one generation of a task's memory, the same for one that the worker keeps, and letters of the longest that either holds.
+GENERATION, KEPT, LONGEST = 150_000, 400_000, 64
 #: Bytes of text in a block, and letters of new pieces that are encoded together.
-BLOCK, LEARNT = 8 << 20, 1 << 20
+BLOCK, LEARNT = 8 << 20, 2 << 20
 
 # Marks that Unicode got after version 9, as ranges.  The library's
 # tables of canonical order do not know them, so nothing is moved or composed
@@ -101,7 +101,7 @@ class WordBpe:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 for those that never merge."""
-        codes = left * self.width + right
+        codes = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         return np.where(self.codes[at] == codes, self.order[at], -1)
 
@@ -114,11 +114,11 @@ class WordBpe:
         raw = np.frombuffer(b"".join(words), np.uint8)
         n = len(raw)
         # one sentinel at either end; symbol -1 joins no pair
-        symbol = np.full(n + 2, -1, np.int64)
+        symbol = np.full(n + 2, -1, np.int32)
         symbol[1:-1] = self.byte_ids[raw]
         symbol[stops] = self.end_ids[raw[stops - 1]]
-        following = np.arange(1, n + 3)
-        before = np.arange(-1, n + 1)
+        following = np.arange(1, n + 3, dtype=np.int32)
+        before = np.arange(-1, n + 1, dtype=np.int32)
         first = np.zeros(n + 2, bool)
         first[stops - lengths + 1] = True
         following[stops] = n + 1
@@ -238,7 +238,10 @@ def _normal(text: str) -> str:
     """Composed and in lower case, letter by letter: no context, so a final sigma stays plain."""
     if text.isascii():
         return text.lower()
-    composed = "".join(unicodedata.normalize("NFC", part) for part in _LATE_MARK.split(text))
+    if _LATE_MARK.search(text):
+        composed = "".join(unicodedata.normalize("NFC", part) for part in _LATE_MARK.split(text))
+    else:
+        composed = unicodedata.normalize("NFC", text)
     if _LATE_CAPITAL.search(composed):
         composed = composed.translate(_LATE_SMALL)
     return composed.replace("\u03a3", "\u03c3").lower()
@@ -258,8 +261,8 @@ class Remembered:
     pieces of at most :data:`LONGEST` letters are held, so its size is bounded in bytes.
     """
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
+    def __init__(self, bpe: WordBpe, generation: int | None = None):
+        self.bpe, self.generation = bpe, generation or GENERATION
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -278,26 +281,32 @@ class Remembered:
                 for k, ids in zip(new[start:stop], self.bpe.encode_pieces([pieces[k] for k in new[start:stop]])):
                     found[k] = ids
         held = [(pieces[k], found[k]) for k in lacking if len(pieces[k]) <= LONGEST]
-        for start in range(0, len(held), GENERATION):
-            some = held[start : start + GENERATION]
-            if len(self.ids) + len(some) > GENERATION:
+        for start in range(0, len(held), self.generation):
+            some = held[start : start + self.generation]
+            if len(self.ids) + len(some) > self.generation:
                 self.older, self.ids = self.ids, {}
             self.ids.update(some)
         return found
 
 
-def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool) -> Iterator[pa.RecordBatch]:
+@functools.lru_cache(maxsize=1)
+def _kept(path: str) -> Remembered:
+    return Remembered(vocabulary(path), KEPT)
+
+
+def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Add ids (list of int) and, if asked, decoded text to batches whose last column is the text; the text goes.
 
-    What a task remembers ends with it, so a worker that other operators use holds the vocabulary alone.
+    What a task remembers ends with it, so that a worker that other operators use
+    holds the vocabulary alone; with ``keep`` the next task of the worker goes on from it.
     """
-    memory = Remembered(vocabulary(path))
+    memory = _kept(path) if keep else Remembered(vocabulary(path))
     collected = gc.isenabled()
     gc.disable()  # many small live objects and no cycles
     try:
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for start, stop in slices(column, BLOCK):
+            for start, stop in slices(column, BLOCK * (1 + keep)):
                 lists = _coded_block(memory, column[start:stop])
                 columns = [*(c[start:stop] for c in batch.columns[:-1]), lists]
                 if decode:

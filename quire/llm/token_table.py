@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, k
     kind = picked.schema[0].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in encode_batches(vocabulary, batches, False):
+        for out in encode_batches(vocabulary, batches, False, keep=True):
             ids = out.column(1)
             lengths = np.diff(ids.offsets.to_numpy()) + 1
             ends = np.cumsum(lengths)
