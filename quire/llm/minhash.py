@@ -437,9 +437,9 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: np.
 
 
 def _sets(docs: DataFrame, members: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``members`` (id, high, low, ...) with their documents' sets."""
+    """``members`` (id, high, low, ...) with their documents' sets; members grow with the documents, so they are not broadcast at any size."""
     fields = [f for f in members.schema.fields if f.name not in ("high", "low")]
-    joined = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(members.drop("high", "low"), "id").select(*[f.name for f in fields], "text")
+    joined = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(members.drop("high", "low").hint("merge"), "id").select(*[f.name for f in fields], "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
