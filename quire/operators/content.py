@@ -471,3 +471,30 @@ def glyph_boxes(pages: DataFrame, content: str = "content", keep: tuple[str, ...
     each = texts.select(*keep, "seq", "x", "y", "size", F.posexplode(F.split("text", "")).alias("place", "char")).where("char <> ''")
     x = F.col("x") + F.col("place") * F.col("size") * width
     return each.select(*keep, "seq", "place", "char", x.alias("minx"), F.col("y").alias("miny"), (x + F.col("size") * width).alias("maxx"), (F.col("y") + F.col("size")).alias("maxy"))
+
+
+def emptied(pages: DataFrame, chosen: Column) -> DataFrame:
+    """Chosen pages without content and annotations."""
+    return pages.withColumn("content", F.when(chosen, "").otherwise(F.col("content"))).withColumn("annots", F.when(chosen, 0).otherwise(F.col("annots")))
+
+
+def form_drawn(pages: DataFrame, form: DataFrame, chosen: Column) -> DataFrame:
+    """A form (one row, column form: its name) drawn over the chosen pages' content, which keeps its own state."""
+    both = pages.join(F.broadcast(form.limit(1)), how="cross")
+    made = F.concat(F.lit("q\n"), F.col("content"), F.lit("\nQ\nq 1 0 0 1 0 0 cm "), F.col("form"), F.lit(" Do Q"))
+    return both.withColumn("content", F.when(chosen, made).otherwise(F.col("content"))).drop("form")
+
+
+def drawn(program: Column, page: int = 1) -> Column:
+    """The operators of a page of a drawing (see :mod:`quire.functions.drawing`); null for no program or page, an error for one that is wrong."""
+    from quire.functions import drawing
+
+    @F.pandas_udf("string")
+    def made(programs: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            found = [] if text is None else drawing.compiled(text)
+            return found[page - 1] if len(found) >= page else None
+
+        return programs.map(one, na_action=None)
+
+    return made(program)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What page modes and layouts may be, and the preferences of viewers.
 PAGE_MODES = ("UseNone", "UseOutlines", "UseThumbs", "FullScreen", "UseOC", "UseAttachments")
 PAGE_LAYOUTS = ("SinglePage", "OneColumn", "TwoColumnLeft", "TwoColumnRight", "TwoPageLeft", "TwoPageRight")
+NON_FULL_SCREEN = ("UseNone", "UseOutlines", "UseThumbs", "UseOC")
 PREFERENCES = ("HideToolbar", "HideMenubar", "HideWindowUI", "FitWindow", "CenterWindow", "DisplayDocTitle")
 FIELDS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "Created", "Modified", "Trapped")
 
@@ -57,3 +59,48 @@ def mark_conformance(packet: Column, part: int) -> Column:
 def unmark_conformance(packet: Column) -> Column:
     """A packet without that name."""
     return F.regexp_replace(packet, "<pdfuaid:part>[^<]*</pdfuaid:part>", "")
+
+
+def cleared(documents: DataFrame, columns: tuple[str, ...], chosen: Column) -> DataFrame:
+    """Properties (metadata, ids, labels, marks kept as columns) taken from the chosen documents."""
+    kinds = dict(documents.dtypes)
+    return documents.withColumns({c: F.when(chosen, F.lit(None).cast(kinds[c])).otherwise(F.col(c)) for c in columns})
+
+
+def opening(page: Column, view: str = "/Fit") -> Column:
+    """Where a document opens: a page and how it is shown."""
+    return F.concat(F.lit("["), page.cast("string"), F.lit(f" {view}]"))
+
+
+# The standards' name spaces in metadata, and what they are called.
+SUBFORMATS = (
+    ("http://www.aiim.org/pdfe/ns/id/", "ISO_PDFEVersion", "PDF/E"), ("http://www.aiim.org/pdfua/ns/id/", "part", "PDF/UA"), ("http://www.aiim.org/pdfa/ns/id/", "part", "PDF/A"), ("http://www.aiim.org/pdfa/ns/id", "part", "PDF/A"),
+    ("http://www.aiim.org/pdfa/ns/id.html", "part", "PDF/A"), ("http://www.npes.org/pdfx/ns/id/", "GTS_PDFXVersion", "PDF/X"), ("http://www.npes.org/pdfvt/ns/id/", "GTS_PDFVTVersion", "PDF/VT"),
+)
+
+
+def subformats(packet: Column) -> Column:
+    """An array of the standards that a metadata packet names, as PDF/UA-1 or PDF/A-2b; a packet that is no XML names none.
+
+    Elements count by their name space, whatever its prefix.
+    """
+    @F.pandas_udf("array<string>")
+    def made(packets: pd.Series) -> pd.Series:
+        from xml.etree import ElementTree
+
+        def one(text: str | None) -> list[str]:
+            try:
+                root = ElementTree.fromstring(text or "<none/>")
+            except ElementTree.ParseError:
+                return []
+
+            def value(space: str, name: str) -> str:
+                tag = f"{{{space}}}{name}"
+                return next((v for e in root.iter() for v in (e.text if e.tag == tag else None, e.get(tag)) if v), "").strip()
+
+            found = [(kind, value(space, name), value(space, "conformance").lower() if kind == "PDF/A" else "") for space, name, kind in SUBFORMATS]
+            return [f"{kind}-{part}{level}" for kind, part, level in found if part]
+
+        return packets.map(one, na_action=None)
+
+    return made(packet)

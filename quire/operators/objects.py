@@ -92,3 +92,34 @@ def coalesced(groups: DataFrame, by: str, name: str, place: str, key: str) -> Da
     """``groups`` with survivor: of those of one name, the key of the first by place."""
     first = groups.groupBy(by, name).agg(F.min_by(key, place).alias("survivor"))
     return groups.join(first, [by, name])
+
+
+def object_removed(objects: DataFrame, chosen: Column) -> DataFrame:
+    """Objects that become null, without a stream; references to them then stand for nothing."""
+    return objects.withColumn("object", F.when(chosen, "null").otherwise(F.col("object"))).withColumn("stream", F.when(~chosen, F.col("stream")))
+
+
+def stream_replaced(objects: DataFrame, chosen: Column, data: Column) -> DataFrame:
+    """Other data in chosen streams; what is no stream stays none."""
+    return objects.withColumn("stream", F.when(chosen & F.col("stream").isNotNull(), data).otherwise(F.col("stream")))
+
+
+def stream_emptied(objects: DataFrame, chosen: Column) -> DataFrame:
+    """Chosen streams without data."""
+    return stream_replaced(objects, chosen, F.lit("").cast("binary"))
+
+
+def groups_of(texts: DataFrame, by: str, column: str) -> DataFrame:
+    """Groups (by, name, place from 1) in the order of a JSON object's "order", which replaces what there was."""
+    rows = texts.select(by, F.posexplode(F.from_json(column, "order array<string>")["order"]).alias("at", "name"))
+    return rows.select(by, "name", (F.col("at") + 1).alias("place"))
+
+
+def renamed(groups: DataFrame, name: str, chosen: Column, new: str) -> DataFrame:
+    """Groups with another name where a condition holds."""
+    return groups.withColumn(name, F.when(chosen, new).otherwise(F.col(name)))
+
+
+def ordered(groups: DataFrame, by: str, key: str) -> DataFrame:
+    """All groups of each document as its order: their keys in a row, as text."""
+    return groups.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), " ").alias("names"))

@@ -284,3 +284,14 @@ def outline_marks(outlines: DataFrame) -> DataFrame:
     lines = outlines.select(DOC, F.posexplode(F.split("outline", "\n")).alias("seq", "l")).where(F.regexp_like("l", F.lit(pattern)))
     part = lambda k: F.regexp_extract("l", pattern, k)
     return lines.select(DOC, (F.col("seq") + 1).alias("seq"), part(1).cast("int").alias("level"), unescaped(part(2)).alias("text"), part(3).cast("int").alias("target"), (part(4) != "").alias("is_open"))
+
+
+def label_ranges_of(texts: DataFrame, column: str = "json") -> DataFrame:
+    """Label ranges of a JSON list of {"startpage", "style", "prefix", "startvalue"}; a style, prefix or value that is missing is D, empty or 1."""
+    rows = texts.select(DOC, F.explode(F.from_json(column, "array<struct<startpage:int,style:string,prefix:string,startvalue:int>>")).alias("r"))
+    return rows.select(DOC, "r.startpage", F.coalesce("r.style", F.lit("D")).alias("style"), F.coalesce("r.prefix", F.lit("")).alias("prefix"), F.coalesce("r.startvalue", F.lit(1)).alias("startvalue"))
+
+
+def opened_to(marks: DataFrame, level: int) -> DataFrame:
+    """Marks with is_open: those above a level are open, the others closed."""
+    return marks.withColumn("is_open", F.col("level") < level)

@@ -149,3 +149,18 @@ def drawn_tree(nodes: DataFrame, label: str) -> DataFrame:
         return made.select("node", F.concat("above", lead).alias("lead"), F.concat("above", corner, "label").alias("line"))
 
     return _until_empty(roots, below).select("node", "line").join(paths.select("node", "path"), "node")
+
+
+def with_scripts(markup: str) -> Column:
+    """Whether markup holds a script, as an element or as an address."""
+    return F.contains(F.col(markup), F.lit("<script")) | F.contains(F.col(markup), F.lit("javascript:"))
+
+
+def distinct_names(things: DataFrame, name: str, chosen: Column) -> DataFrame:
+    """The names that some things have, such as those of separation colours, each once."""
+    return things.where(chosen).select(F.col(name).alias("name")).distinct()
+
+
+def signed(fields: DataFrame, chosen: Column, signers: DataFrame, key: str, *shown: str) -> DataFrame:
+    """The fields that are signed, with who (key, name) each value refers to."""
+    return fields.where(chosen).join(signers, key).select(*shown)

@@ -169,14 +169,6 @@ def compress_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", ops.inflated(F.col("packed")).cast("string").alias("restored"), (F.octet_length("packed") <= F.octet_length("raw") + 1).alias("bounded"))
 
 
-@query("redact_pages", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN pageno BETWEEN 2 AND 3 THEN '' ELSE text END AS content, CASE WHEN pageno BETWEEN 2 AND 3 THEN 0 ELSE annots END AS annots FROM page")
-def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a range without content and annotations."""
-    p = ranges.member(pages(spark, sf_dir), "2-3")
-    blank = lambda c, e: F.when(F.col("in_range"), e).otherwise(F.col(c)).alias("content" if c == "text" else c)
-    return p.select("doc_id", "pageno", blank("text", F.lit("")), blank("annots", F.lit(0)))
-
-
 @query("remove_javascript", r"SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), 'javascript:[^\"]*', '', 'g') AS html FROM pages")
 def remove_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup without scripts."""

@@ -52,12 +52,12 @@ def coalesce_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rename_groups", "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'one' ELSE p_brand END AS name FROM part")
 def rename_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") == 1, "one").otherwise(F.col("p_brand")).alias("name"))
+    return objects.renamed(table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_brand").alias("name")), "name", F.col("p_size") == 1, "one").select("p_partkey", "name")
 
 
 @query("group_order", "SELECT p_type, string_agg(CAST(p_partkey AS VARCHAR), ' ' ORDER BY p_partkey) AS names FROM part GROUP BY p_type")
 def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), " ").alias("names"))
+    return objects.ordered(table(spark, sf_dir, "part"), "p_type", "p_partkey")
 
 
 @query("set_info", "SELECT c_custkey, 'Author=me;Title=' || c_name AS info FROM customer")

@@ -231,7 +231,7 @@ def bad_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bookmarks_open", f"WITH {PAGES}, {MARKS} SELECT doc_id, seq, level < 1 AS is_open FROM mark")
 def bookmarks_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marks(spark, sf_dir).select("doc_id", "seq", (F.col("level") < 1).alias("is_open"))
+    return ops.opened_to(marks(spark, sf_dir), 1).select("doc_id", "seq", "is_open")
 
 
 @query("current_bookmark", f"""WITH {PAGES}, {MARKS}, j AS (
@@ -273,24 +273,6 @@ def _shown(df: DataFrame, box) -> DataFrame:
     return df.select(*_SHOW, *[F.round(c, 4).alias(n) for c, n in zip(box, ("minx", "miny", "maxx", "maxy"))])
 
 
-@query("crop", f"WITH {PAGES} SELECT doc_id, pageno, round(w / 4, 4) AS minx, round(10 / 2.54 * 7.2, 4) AS miny, round(w / 4 + w / 2, 4) AS maxx, round(10 / 2.54 * 7.2 + (h - 72), 4) AS maxy FROM page WHERE pageno % 2 = 1")
-def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crop box by a rectangle expression, evaluated for each page of a range."""
-    p = ranges.member(_boxes(pages(spark, sf_dir)), "odd").where("in_range")
-    return _shown(p, geometry.rectangle("PW div 4 10mm PW div 2 PH sub 1in", geometry.box("media")))
-
-
-@query("shift_boxes", f"WITH {PAGES} SELECT doc_id, pageno, 36.0::DOUBLE AS minx, -10.0::DOUBLE AS miny, w + 36 AS maxx, h - 10 AS maxy FROM page")
-def shift_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _boxes(pages(spark, sf_dir))
-    return _shown(p, geometry.hull(geometry.translate(F.lit(36.0), F.lit(-10.0)), geometry.box("media")))
-
-
-@query("scale_page", f"WITH {PAGES} SELECT doc_id, pageno, 0.0::DOUBLE AS minx, 0.0::DOUBLE AS miny, w * 2 AS maxx, h / 2 AS maxy FROM page")
-def scale_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_boxes(pages(spark, sf_dir)), geometry.hull(geometry.scale(F.lit(2.0), F.lit(0.5)), geometry.box("media")))
-
-
 @query("scale_to_fit", f"""WITH {PAGES}, s AS (SELECT *, least(210 * 7.2 / 2.54 / w, 297 * 7.2 / 2.54 / h) AS s FROM page)
     SELECT doc_id, pageno, round(s, 6) AS scale, round((210 * 7.2 / 2.54 - w * s) / 2, 4) AS dx, round((297 * 7.2 / 2.54 - h * s) / 2, 4) AS dy FROM s""")
 def scale_to_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,36 +282,6 @@ def scale_to_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select(*_SHOW, F.round(s, 6).alias("scale"), F.round(dx, 4).alias("dx"), F.round(dy, 4).alias("dy"))
 
 
-@query("rotate_contents", f"""WITH {PAGES} SELECT doc_id, pageno, round(w / 2 - h / 2, 3) AS minx, round(h / 2 - w / 2, 3) AS miny, round(w / 2 + h / 2, 3) AS maxx, round(h / 2 + w / 2, 3) AS maxy FROM page""")
-def rotate_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a page's contents lie when turned by 90 degrees about its centre."""
-    x, y = F.col("w") / 2, F.col("h") / 2
-    m = geometry.then(geometry.then(geometry.translate(-x, -y), geometry.rotate(90)), geometry.translate(x, y))
-    p = _boxes(pages(spark, sf_dir))
-    return p.select(*_SHOW, *[F.round(c, 3).alias(n) for c, n in zip(geometry.hull(m, geometry.box("media")), ("minx", "miny", "maxx", "maxy"))])
-
-
-@query("flip", f"WITH {PAGES} SELECT doc_id, pageno, w - 10 AS x, 20.0::DOUBLE AS y, 10.0::DOUBLE AS vx, h - 20 AS vy FROM page")
-def flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the point (10, 20) goes when a page is mirrored, either way."""
-    p = pages(spark, sf_dir)
-    horizontal = geometry.then(geometry.scale(F.lit(-1.0), F.lit(1.0)), geometry.translate(F.col("w"), F.lit(0.0)))
-    vertical = geometry.then(geometry.scale(F.lit(1.0), F.lit(-1.0)), geometry.translate(F.lit(0.0), F.col("h")))
-    (x, y), (vx, vy) = (geometry.applied(m, F.lit(10.0), F.lit(20.0)) for m in (horizontal, vertical))
-    return p.select(*_SHOW, x.alias("x"), y.alias("y"), vx.alias("vx"), vy.alias("vy"))
-
-
-@query("rotate_by", f"WITH {PAGES} SELECT doc_id, pageno, (rotation + 270) % 360 AS rotation FROM page")
-def rotate_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select(*_SHOW, ((F.col("rotation") + 270) % 360).alias("rotation"))
-
-
-@query("copy_box", f"WITH {PAGES} SELECT doc_id, pageno, coalesce(CASE WHEN annots > 0 THEN w / 2 END, w) AS maxx FROM page")
-def copy_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trim box's width where there is one, else the media box's."""
-    return pages(spark, sf_dir).select(*_SHOW, F.coalesce(F.when(F.col("annots") > 0, F.col("w") / 2), F.col("w")).alias("maxx"))
-
-
 @query("anchor_position", f"WITH {PAGES} SELECT doc_id, pageno, w - 36 AS x, h - 36 AS y, w / 2 AS cx, 36.0::DOUBLE AS cy FROM page")
 def anchor_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _boxes(pages(spark, sf_dir))
@@ -376,25 +328,3 @@ def presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitions of the pages of a range."""
     p = ranges.member(pages(spark, sf_dir), "even")
     return p.select("doc_id", "pageno", F.when(F.col("in_range"), "Wipe").otherwise("none").alias("style"), F.when(F.col("in_range"), 2.5).otherwise(0.0).alias("seconds"))
-
-
-@query("remove_boxes", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN w < h THEN -1.0::DOUBLE ELSE w END AS crop FROM page")
-def remove_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crop widths, dropped from portrait pages."""
-    p = pages(spark, sf_dir)
-    p = ranges.member(p, "portrait", ranges.facts(p, width="w", height="h"))
-    return p.select("doc_id", "pageno", F.when(F.col("in_range"), -1.0).otherwise(F.col("w")).alias("crop"))
-
-
-@query("center_to_fit", f"WITH {PAGES} SELECT doc_id, pageno, w / 2 - 300 AS minx, h / 2 - 400 AS miny, w / 2 + 300 AS maxx, h / 2 + 400 AS maxy FROM page")
-def center_to_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of one size about the old centres."""
-    x, y = F.col("w") / 2, F.col("h") / 2
-    return _shown(pages(spark, sf_dir), (x - 300, y - 400, x + 300, y + 400))
-
-
-@query("upright", f"WITH {PAGES} SELECT doc_id, pageno, CASE WHEN rotation % 180 = 90 THEN h ELSE w END AS w, CASE WHEN rotation % 180 = 90 THEN w ELSE h END AS h FROM page")
-def upright(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page sizes with the viewing rotation folded in."""
-    turned = F.col("rotation") % 180 == 90
-    return pages(spark, sf_dir).select("doc_id", "pageno", F.when(turned, F.col("h")).otherwise(F.col("w")).alias("w"), F.when(turned, F.col("w")).otherwise(F.col("h")).alias("h"))

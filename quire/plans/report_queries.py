@@ -98,19 +98,20 @@ def list_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("javascript", "SELECT page_id, contains(html, '<script') OR contains(html, 'javascript:') AS has_script FROM pages")
 def javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", (F.contains("html", F.lit("<script")) | F.contains("html", F.lit("javascript:"))).alias("has_script"))
+    return table(spark, sf_dir, "pages").select("page_id", ops.with_scripts("html").alias("has_script"))
 
 
 @query("signatures", "SELECT o_orderkey, c_name AS name, o_orderpriority AS filter FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'")
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed fields with who their value refers to."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(c, "o_custkey").select("o_orderkey", "name", F.col("o_orderpriority").alias("filter"))
+    orders = table(spark, sf_dir, "orders").withColumn("filter", F.col("o_orderpriority"))
+    return ops.signed(orders, F.col("o_orderstatus") == "F", c, "o_custkey", "o_orderkey", "name", "filter")
 
 
 @query("spot_colours", "SELECT DISTINCT p_brand AS name FROM part WHERE p_size > 25")
 def spot_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_brand").alias("name")).distinct()
+    return ops.distinct_names(table(spark, sf_dir, "part"), "p_brand", F.col("p_size") > 25)
 
 
 @query("revisions", "SELECT user_id, count(DISTINCT event_type) AS revisions FROM events GROUP BY user_id")
@@ -118,13 +119,6 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("revisions"))
 
 
-@query("permission_gate", "SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE (r_regionkey & 1) = 0")
-def permission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations whose forbidden bit a document does not have."""
-    r = table(spark, sf_dir, "region").where(F.col("r_regionkey").bitwiseAND(1) == 0)
-    return table(spark, sf_dir, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
-
-
 @query("nested_fonts", f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT root, dst FROM r JOIN edge ON src = node WHERE via = '/Kids')
     SELECT DISTINCT root, p_brand AS font FROM r JOIN part ON p_partkey = node""")
 def nested_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
