@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import slices, trimmed
 
 #: Pieces in one generation of a task's memory, the same for one that the worker keeps, and letters of the longest that either holds.
-GENERATION, KEPT, LONGEST = 150_000, 400_000, 64
+GENERATION, KEPT, LONGEST = 150_000, 250_000, 64
 #: Bytes of text in a block, and letters of new pieces that are encoded together.
 BLOCK, LEARNT = 8 << 20, 2 << 20
 
