@@ -26,7 +26,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate component over 5-word shingles at 0.8."""
+    """The document of the smallest id of each near-duplicate component over 5-word shingles at 0.8.
+
+    Rows that share a doc_id are one node: all of them stay or all go.  Rows without one stay.
+    """
     found = minhash.near_duplicates(docs, words=5, percent=80)
     dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
