@@ -96,12 +96,16 @@ def file_name(template: str, number: Column, start: Column | None = None, end: C
     return F.concat(*parts) if parts else F.lit("")
 
 
-def stamp(template: str, page: Column, last: Column, filename: str = "", label_text: Column | None = None, end_label: Column | None = None, bates: int = 0, bates_width: int = 0) -> Column:
-    """A stamp's text: the longest names are replaced first, so %PageDiv2 is not taken for %Page."""
+def stamp(template: str, page: Column, last: Column, filename: str = "", label_text: Column | None = None, end_label: Column | None = None, bates: int = 0, bates_width: int = 0, bookmarks: dict[int, Column] | None = None) -> Column:
+    """A stamp's text: the longest names are replaced first, so %PageDiv2 is not taken for %Page.
+
+    ``bookmarks``: by level the text of the bookmark that a page stands under; null is empty.
+    """
     n = page.cast("int")
     values = [
         ("%PageDiv2", F.floor((n + 1) / 2).cast("string")), ("%Page", n.cast("string")), ("%Roman", roman(n)), ("%roman", roman(n, False)), ("%filename", F.lit(filename)),
         ("%Label", label_text), ("%EndPage", last.cast("string")), ("%EndLabel", end_label), ("%Bates", padded(n + bates - 1, bates_width)),
+        *((f"%Bookmark{level}", F.coalesce(mark, F.lit(""))) for level, mark in (bookmarks or {}).items()),
     ]
     text = F.lit(template)
     for name, value in values:
@@ -151,3 +155,33 @@ def xmp_date(text: Column) -> Column:
 def utf8_trimmed(text: Column, width: int) -> Column:
     """The longest beginning of at most ``width`` bytes that ends with a whole character."""
     return F.substring(text, F.lit(1), F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(text), F.lit(width)))), lambda k: F.octet_length(F.substring(text, F.lit(1), k))), lambda b: b <= width)))
+
+
+def octal_unescaped(text: Column) -> Column:
+    """Octal escapes of three digits as characters (code points up to 255); what else follows a backslash stays."""
+    parts = F.split(text, r"\\(?=[0-3][0-7]{2})")
+    code = lambda p: F.conv(F.substring(p, 1, 3), 8, 10).cast("int")
+    shown = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.when(code(p) == 0, F.lit("\x00")).otherwise(F.chr(code(p))), F.substring(p, F.lit(4), F.length(p)))))
+    return F.array_join(shown, "")
+
+
+def stamp_lines(text: Column) -> Column:
+    """The lines of a stamp's text, which a backslash and an n part."""
+    return F.split(text, r"\\n")
+
+
+def stamp_unescaped(text: Column) -> Column:
+    """A stamp's text with escaped per cent signs and backslashes plain."""
+    return F.regexp_replace(F.replace(text, F.lit("%%"), F.lit("%")), r"\\\\", r"\\")
+
+
+def stamp_links(text: Column) -> Column:
+    """A stamp's text with every %URL[text|address] as its text."""
+    return F.regexp_replace(text, r"%URL\[([^|\]]*)\|[^\]]*\]", "$1")
+
+
+def stamp_addresses(text: Column) -> Column:
+    """array<struct<text, address>> of the links in a stamp's text, in order."""
+    found = F.regexp_extract_all(text, F.lit(r"%URL\[[^|\]]*\|[^\]]*\]"), F.lit(0))
+    part = lambda u, k: F.regexp_extract(u, r"%URL\[([^|\]]*)\|([^\]]*)\]", k)
+    return F.transform(found, lambda u: F.struct(part(u, 1).alias("text"), part(u, 2).alias("address")))

@@ -498,3 +498,95 @@ def drawn(program: Column, page: int = 1) -> Column:
         return programs.map(one, na_action=None)
 
     return made(program)
+
+
+class _Redactor(Interpreter):
+    """Rewrites a page's operators without the glyphs whose cells meet an area; what is taken leaves its width."""
+
+    areas: list[tuple[float, float, float, float]]
+
+    def rewritten(self, stream: str, areas: list[tuple[float, float, float, float]]) -> str:
+        self.areas, lines = areas, []
+        self.state, self.stack, self.shown = State(), [], []
+        self.text = self.line = IDENTITY
+        self.points, self.segments, self.clip, self.tags = [], 0, "", []
+        for operator, operands in operators(stream):
+            if operator in TEXT_SHOWING and operands:
+                lines += self._kept(operator, operands)
+            else:
+                lines.append(" ".join([*operands, operator]))
+                self._step(operator, operands)
+        return "\n".join(lines)
+
+    def _step(self, operator: str, operands: list[str]) -> None:
+        """Take one operator into account as it stands."""
+        held, self.forms = self.forms, {}
+        self._run(" ".join([*operands, operator]), ())
+        self.forms = held
+
+    def _kept(self, operator: str, operands: list[str]) -> list[str]:
+        lines = []
+        if operator in ("'", '"'):
+            if operator == '"' and len(operands) == 3:
+                lines += [f"{operands[0]} Tw", f"{operands[1]} Tc"]
+                self.state.word_space, self.state.char_space = float(operands[0]), float(operands[1])
+            lines.append("T*")
+            self._move(0, -self.state.leading)
+        parts: list[str] = []
+        for kind, token in tokens(operands[-1][1:-1]) if operator == "TJ" else [("string", operands[-1])]:
+            if kind == "number":
+                parts.append(token)
+                self.text = multiplied((1, 0, 0, 1, -float(token) / 1000 * self.state.size * self.state.scale, 0), self.text)
+            elif kind in ("string", "hex"):
+                parts += self._glyphs(unquoted(token) if token[0] == "(" else bytes.fromhex(re.sub(r"\s", "", token[1:-1]).ljust(2, "0")).decode("latin-1"))
+        if any(p[0] != "(" for p in parts) or operator == "TJ":
+            return [*lines, f"[ {' '.join(parts)} ] TJ"]
+        return [*lines, *(f"{p} Tj" for p in parts)]
+
+    def _glyphs(self, text: str) -> list[str]:
+        """The kept characters as strings, and numbers for the width of those taken."""
+        s, parts, run = self.state, [], ""
+        for c in text:
+            width = self.widths(s.font, c)
+            at = multiplied((s.size * s.scale, 0, 0, s.size, 0, s.rise), multiplied(self.text, s.ctm))
+            corners = [multiplied((1, 0, 0, 1, x, y), at)[4:] for x, y in ((0, 0), (width, 0), (0, 1), (width, 1))]
+            xs, ys = zip(*corners)
+            box = min(xs), min(ys), max(xs), max(ys)
+            advance = (width * s.size + s.char_space + s.word_space * (c == " ")) * s.scale
+            if any(max(a[0], box[0]) < min(a[2], box[2]) and max(a[1], box[1]) < min(a[3], box[3]) for a in self.areas):
+                if run:
+                    parts.append(quoted(run))
+                    run = ""
+                parts.append(f"{-advance / (s.size * s.scale) * 1000:g}" if s.size * s.scale else "0")
+            else:
+                run += c
+            self.text = multiplied((1, 0, 0, 1, advance, 0), self.text)
+        return [*parts, quoted(run)] if run or not parts else parts
+
+
+def redacted(pages: DataFrame, areas: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id", "pageno")) -> DataFrame:
+    """``pages`` without the glyphs that lie in areas (keep, minx, miny, maxx, maxy); pages without areas stay as they are.
+
+    The text stays where it is: a glyph's width is left as spacing.  One page and
+    its areas are one row.
+    """
+    boxes = areas.groupBy(*keep).agg(F.collect_list(F.array("minx", "miny", "maxx", "maxy")).alias("areas"))
+
+    @F.pandas_udf("string")
+    def made(streams: pd.Series, areas: pd.Series) -> pd.Series:
+        redactor = _Redactor()
+
+        def one(stream: str | None, area: object) -> str | None:
+            return stream if stream is None or area is None else redactor.rewritten(stream, [tuple(a) for a in area])
+
+        return pd.Series([one(s, a) for s, a in zip(streams, areas)])
+
+    return pages.join(boxes, list(keep), "left").withColumn(content, made(F.col(content), F.col("areas"))).drop("areas")
+
+
+def as_json(pages: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id", "pageno"), kinds: tuple[str, ...] = ("text", "image", "path", "clip", "shading")) -> DataFrame:
+    """Each page's objects of some kinds as one JSON list, in the order they are shown."""
+    rows = shown(pages, content, keep, graphics=True).where(F.col("kind").isin(*kinds))
+    one = F.struct("seq", "kind", "text", "x", "y", "size", "font", "depth")
+    listed = rows.groupBy(*keep).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("json"))
+    return pages.select(*keep).join(listed, list(keep), "left").withColumn("json", F.coalesce("json", F.lit("[]")))

@@ -123,3 +123,14 @@ def renamed(groups: DataFrame, name: str, chosen: Column, new: str) -> DataFrame
 def ordered(groups: DataFrame, by: str, key: str) -> DataFrame:
     """All groups of each document as its order: their keys in a row, as text."""
     return groups.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), " ").alias("names"))
+
+
+def extracted(objects: DataFrame, chosen: Column, ending: str, by: str = "doc_id", key: str = "objnum") -> DataFrame:
+    """by, path and data of the chosen objects' streams, a file each."""
+    path = F.concat(F.col(by).cast("string"), F.lit("/"), F.col(key).cast("string"), F.lit(ending))
+    return objects.where(chosen & F.col("stream").isNotNull()).select(by, path.alias("path"), F.col("stream").alias("data"))
+
+
+def metadata_streams(objects: DataFrame, by: str = "doc_id", key: str = "objnum") -> DataFrame:
+    """Every metadata stream as a file."""
+    return extracted(objects, F.get_json_object("object", "$['/Type']['N']") == "/Metadata", ".xml", by, key)

@@ -295,3 +295,31 @@ def label_ranges_of(texts: DataFrame, column: str = "json") -> DataFrame:
 def opened_to(marks: DataFrame, level: int) -> DataFrame:
     """Marks with is_open: those above a level are open, the others closed."""
     return marks.withColumn("is_open", F.col("level") < level)
+
+
+def with_contents(pages: DataFrame, marks: DataFrame, per_page: int, width: int, content: str = "content") -> DataFrame:
+    """Pages with those of a table of contents in front: doc_id, pageno, content, old_page (null on these); targets are the new numbers."""
+    sheets = marks.groupBy(DOC).agg(F.ceil(F.count("*") / per_page).cast("int").alias("sheets"))
+    moved = marks.join(sheets, DOC).withColumn("target", F.col("target") + F.col("sheets"))
+    lines = contents_list(moved, per_page, width)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"])
+    front = lines.groupBy(DOC, PAGE).agg(F.array_join(listed, "\n").alias(content)).withColumn("old_page", F.lit(None).cast("int"))
+    rest = pages.join(sheets, DOC, "left").select(DOC, (F.col(PAGE) + F.coalesce("sheets", F.lit(0))).cast("int").alias(PAGE), F.col(content), F.col(PAGE).cast("int").alias("old_page"))
+    return front.unionByName(rest)
+
+
+_MARK = "struct<level:int,text:string,page:int,open:boolean,italic:boolean,bold:boolean,colour:array<double>>"
+
+
+def outline_json(marks: DataFrame) -> DataFrame:
+    """Each document's marks (seq, level, text, target, is_open, flags: bit 0 italic, bit 1 bold, colour) as a JSON list."""
+    one = F.struct("seq", "level", "text", F.col("target").alias("page"), F.col("is_open").alias("open"), (F.col("flags").bitwiseAND(1) != 0).alias("italic"), (F.col("flags").bitwiseAND(2) != 0).alias("bold"), "colour")
+    return marks.groupBy(DOC).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("json"))
+
+
+def outline_of_json(texts: DataFrame, column: str = "json") -> DataFrame:
+    """The inverse: doc_id, seq (from 1), level, text, target, is_open, flags, colour (black where it is missing)."""
+    rows = texts.select(DOC, F.posexplode(F.from_json(column, f"array<{_MARK}>")).alias("at", "m"))
+    flags = F.when(F.col("m.italic"), 1).otherwise(0) + F.when(F.col("m.bold"), 2).otherwise(0)
+    black = F.array(*[F.lit(0.0)] * 3)
+    return rows.select(DOC, (F.col("at") + 1).alias("seq"), "m.level", "m.text", F.col("m.page").alias("target"), F.coalesce("m.open", F.lit(False)).alias("is_open"), flags.alias("flags"), F.coalesce("m.colour", black).alias("colour"))

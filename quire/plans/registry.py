@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Register every module's queries."""
-    from quire.plans import content_queries, edit_queries, object_queries, page_queries, report_queries, rule_queries, stream_queries, text_queries  # noqa: F401
+    from quire.plans import content_queries, edit_queries, extract_queries, object_queries, page_queries, report_queries, rule_queries, stream_queries, text_queries  # noqa: F401
 
 
 load()

@@ -131,3 +131,35 @@ def from_png(column: str) -> Column:
         return pd.DataFrame([one(v) for v in values], columns=["width", "height", "samples", "pixels"]).astype({"width": "Int32", "height": "Int32", "samples": "Int32"})
 
     return made(F.col(column))
+
+
+def resampled(width: int, height: int, samples: int, pixels: bytes, percent: float) -> tuple[int, int, bytes]:
+    """An 8-bit image at a share of its size, at least one pixel either way; each new pixel is the mean of those it covers."""
+    import numpy as np
+
+    to_width, to_height = max(1, round(width * percent / 100)), max(1, round(height * percent / 100))
+    whole = np.frombuffer(pixels, np.uint8).reshape(height, width, samples).astype(np.float64)
+    for axis, (size, new) in enumerate(((height, to_height), (width, to_width))):
+        cuts = np.arange(new) * size // new
+        counts = np.diff(np.append(cuts, size))
+        whole = np.add.reduceat(whole, cuts, axis=axis) / counts.reshape([-1 if a == axis else 1 for a in range(3)])
+    return to_width, to_height, np.floor(whole + 0.5).astype(np.uint8).tobytes()
+
+
+def processed(columns: dict[str, str], percent: float, least_pixels: int) -> Column:
+    """struct<width, height, pixels>: images (columns width, height, samples, pixels) of at least so many pixels at a share of their size, smaller ones as they are; null for what is no image."""
+
+    @F.pandas_udf("width int, height int, pixels binary")
+    def made(w: pd.Series, h: pd.Series, n: pd.Series, p: pd.Series) -> pd.DataFrame:
+        def one(row: tuple) -> tuple:
+            try:
+                width, height, samples, pixels = *map(int, row[:3]), bytes(row[3])
+            except (TypeError, ValueError):
+                return None, None, None
+            if not width * height or len(pixels) != width * height * samples:
+                return None, None, None
+            return resampled(width, height, samples, pixels, percent) if width * height >= least_pixels else (width, height, pixels)
+
+        return pd.DataFrame([one(r) for r in zip(w, h, n, p)], columns=["width", "height", "pixels"]).astype({"width": "Int32", "height": "Int32"})
+
+    return made(*[F.col(columns[c]) for c in ("width", "height", "samples", "pixels")])
