@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names; where nothing is named (tests) in one of its own."""
+    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names; where a local session names none (tests) in one of its own, and on a cluster it is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="quire-")
             atexit.register(shutil.rmtree, named, True)
         context.setCheckpointDir(named)

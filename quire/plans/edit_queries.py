@@ -27,7 +27,8 @@ def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = ("doc_id", "pageno", "rotation", "content", *(f"{b}_{s}" for b in ("media", "crop") for s in boxes.SIDES))
-_ODD = F.col("pageno") % 2 == 1
+def _odd() -> Column:
+    return F.col("pageno") % 2 == 1
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -49,63 +50,63 @@ def _matrix_sql(a: str, b: str, c: str, d: str, e: str, f: str) -> str:
 @query("crop_pages", _boxes_sql({"crop_minx": "media_maxx / 4", "crop_miny": "10 / 2.54 * 7.2", "crop_maxx": "media_maxx / 4 + media_maxx / 2", "crop_maxy": "10 / 2.54 * 7.2 + (media_maxy - 72)"}))
 def crop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crop box by an expression on odd pages; the others keep what they have."""
-    return _shown(boxes.cropped(boxed(spark, sf_dir), "crop", "PW div 4 10mm PW div 2 PH sub 1in", _ODD))
+    return _shown(boxes.cropped(boxed(spark, sf_dir), "crop", "PW div 4 10mm PW div 2 PH sub 1in", _odd()))
 
 
 @query("remove_crop", _boxes_sql({f"crop_{s}": "NULL" for s in boxes.SIDES}))
 def remove_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.without_box(boxed(spark, sf_dir), "crop", _ODD))
+    return _shown(boxes.without_box(boxed(spark, sf_dir), "crop", _odd()))
 
 
 @query("copy_crop", _boxes_sql({f"media_{s}": f"coalesce(crop_{s}, media_{s})" for s in boxes.SIDES}))
 def copy_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crop box, where there is one, as the media box."""
-    return _shown(boxes.copied_box(boxed(spark, sf_dir), "crop", "media", _ODD))
+    return _shown(boxes.copied_box(boxed(spark, sf_dir), "crop", "media", _odd()))
 
 
 @query("rotate_pages", _boxes_sql({"rotation": "180"}))
 def rotate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.rotated(boxed(spark, sf_dir), 180, _ODD))
+    return _shown(boxes.rotated(boxed(spark, sf_dir), 180, _odd()))
 
 
 @query("rotate_pages_by", _boxes_sql({"rotation": "(rotation + 270) % 360"}))
 def rotate_pages_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.rotated(boxed(spark, sf_dir), -90, _ODD, relative=True))
+    return _shown(boxes.rotated(boxed(spark, sf_dir), -90, _odd(), relative=True))
 
 
 @query("turn_contents", _boxes_sql({"content": _matrix_sql("0", "1", "-1", "0", "media_maxx / 2 + media_maxy / 2", "media_maxy / 2 - media_maxx / 2")}))
 def turn_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.contents_rotated(boxed(spark, sf_dir), 90, _ODD))
+    return _shown(boxes.contents_rotated(boxed(spark, sf_dir), 90, _odd()))
 
 
 @query("flip_across", _boxes_sql({"content": _matrix_sql("-1", "0", "0", "1", "media_maxx", "0")}))
 def flip_across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.flipped(boxed(spark, sf_dir), True, _ODD))
+    return _shown(boxes.flipped(boxed(spark, sf_dir), True, _odd()))
 
 
 @query("flip_down", _boxes_sql({"content": _matrix_sql("1", "0", "0", "-1", "0", "media_maxy")}))
 def flip_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.flipped(boxed(spark, sf_dir), False, _ODD))
+    return _shown(boxes.flipped(boxed(spark, sf_dir), False, _odd()))
 
 
 @query("shift_contents", _boxes_sql({"content": _matrix_sql("1", "0", "0", "1", "media_maxx / 2", "72")}))
 def shift_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.shifted(boxed(spark, sf_dir), "PW div 2", "1in", _ODD))
+    return _shown(boxes.shifted(boxed(spark, sf_dir), "PW div 2", "1in", _odd()))
 
 
 @query("shift_all_boxes", _boxes_sql({f"{b}_{s}": f"{b}_{s} + {36 if s.endswith('x') else -10}" for b in ("media", "crop") for s in boxes.SIDES}))
 def shift_all_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.boxes_shifted(boxed(spark, sf_dir), "36", "-10", _ODD))
+    return _shown(boxes.boxes_shifted(boxed(spark, sf_dir), "36", "-10", _odd()))
 
 
 @query("scale_pages", _boxes_sql({"content": _matrix_sql("2", "0", "0", "0.5", "0", "0")} | {f"{b}_{s}": f"{b}_{s} * {2 if s.endswith('x') else 0.5}" for b in ("media", "crop") for s in boxes.SIDES}))
 def scale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.scaled(boxed(spark, sf_dir), F.lit(2.0), F.lit(0.5), _ODD))
+    return _shown(boxes.scaled(boxed(spark, sf_dir), F.lit(2.0), F.lit(0.5), _odd()))
 
 
 @query("stretch_pages", _boxes_sql({"content": _matrix_sql("200 / media_maxx", "0", "0", "300 / media_maxy", "0", "0")} | {f"{b}_{s}": f"{b}_{s} * {200 if s.endswith('x') else 300} / media_max{s[-1]}" for b in ("media", "crop") for s in boxes.SIDES}))
 def stretch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.stretched(boxed(spark, sf_dir), "200 300", _ODD))
+    return _shown(boxes.stretched(boxed(spark, sf_dir), "200 300", _odd()))
 
 
 _FIT = "least(200 / media_maxx, 800 / media_maxy)"
@@ -115,17 +116,17 @@ _FIT = "least(200 / media_maxx, 800 / media_maxy)"
     | {f"crop_{s}": f"crop_{s} * {_FIT} + ({'200' if s.endswith('x') else '800'} - media_max{s[-1]} * {_FIT}) / 2" for s in boxes.SIDES}))
 def fit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents and boxes scaled to fit a size, in its middle."""
-    return _shown(boxes.fitted(boxed(spark, sf_dir), "200 800", _ODD))
+    return _shown(boxes.fitted(boxed(spark, sf_dir), "200 800", _odd()))
 
 
 @query("centre_pages", _boxes_sql({"media_minx": "media_maxx / 2 - 300", "media_miny": "media_maxy / 2 - 400", "media_maxx": "media_maxx / 2 + 300", "media_maxy": "media_maxy / 2 + 400"}))
 def centre_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.centred(boxed(spark, sf_dir), "600 800", _ODD))
+    return _shown(boxes.centred(boxed(spark, sf_dir), "600 800", _odd()))
 
 
 @query("scale_contents", _boxes_sql({"content": _matrix_sql("0.5", "0", "0", "0.5", "media_maxx / 4", "media_maxy / 4")}))
 def scale_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.contents_scaled(boxed(spark, sf_dir), 0.5, _ODD))
+    return _shown(boxes.contents_scaled(boxed(spark, sf_dir), 0.5, _odd()))
 
 
 def _upright_sql() -> str:
@@ -144,7 +145,7 @@ def _upright_sql() -> str:
 
 @query("upright_pages", _upright_sql())
 def upright_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(boxes.upright(boxed(spark, sf_dir), _ODD))
+    return _shown(boxes.upright(boxed(spark, sf_dir), _odd()))
 
 
 @query("two_up_stack", f"""WITH {_BOXED}, s AS (SELECT *, media_maxx AS w, media_maxy AS h, least(media_maxx / media_maxy, media_maxy / 2 / media_maxx) AS s, (pageno - 1) % 2 AS k FROM boxed)
@@ -159,7 +160,7 @@ def two_up_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stamp_as_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stamp as a form that chosen pages draw by name."""
     name = table(spark, sf_dir, "nation").agg(F.concat(F.lit("/St"), F.count("*").cast("string")).alias("form"))
-    return content.form_drawn(pages(spark, sf_dir).select("doc_id", "pageno", F.col("role").alias("content")), name, _ODD)
+    return content.form_drawn(pages(spark, sf_dir).select("doc_id", "pageno", F.col("role").alias("content")), name, _odd())
 
 
 # Annotations: parts, six a document on two pages; the second of a page is the popup of the first.
