@@ -74,11 +74,12 @@ def file_name(template: str, number: Column, start: Column | None = None, end: C
     """An output's name from a template.
 
     A run of % is the number in that width; @N, @S and @E (number, first and last
-    page) may be followed by more @ for a width; @F is the stem, @B the bookmark.
+    page) may be followed by more @ for a width; @F is the stem, @B the bookmark, and
+    @b20@ as much of it as 20 bytes hold in whole characters.
     """
     known = {"N": number, "S": start, "E": end}
     parts: list[Column] = []
-    for found in re.finditer(r"%+|@([NSE])(@{0,8})|@F|@B|[^%@]+|@", template):
+    for found in re.finditer(r"%+|@([NSE])(@{0,8})|@b(\d+)@|@F|@B|[^%@]+|@", template):
         token = found[0]
         if token[0] == "%":
             parts.append(padded_right(number, len(token)))
@@ -89,8 +90,9 @@ def file_name(template: str, number: Column, start: Column | None = None, end: C
             parts.append(padded_right(value, len(found[2])) if found[2] else value.cast("string"))
         elif token == "@F":
             parts.append(F.lit(stem))
-        elif token == "@B":
-            parts.append(safe_name(F.coalesce(bookmark if bookmark is not None else F.lit(None).cast("string"), F.lit(""))))
+        elif token == "@B" or found[3]:
+            name = safe_name(F.coalesce(bookmark if bookmark is not None else F.lit(None).cast("string"), F.lit("")))
+            parts.append(utf8_trimmed(name, int(found[3])) if found[3] else name)
         else:
             parts.append(F.lit(token))
     return F.concat(*parts) if parts else F.lit("")

@@ -27,6 +27,8 @@ def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = ("doc_id", "pageno", "rotation", "content", *(f"{b}_{s}" for b in ("media", "crop") for s in boxes.SIDES))
+
+
 def _odd() -> Column:
     return F.col("pageno") % 2 == 1
 

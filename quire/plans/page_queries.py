@@ -269,10 +269,6 @@ def _boxes(p: DataFrame) -> DataFrame:
 _SHOW = "doc_id", "pageno"
 
 
-def _shown(df: DataFrame, box) -> DataFrame:
-    return df.select(*_SHOW, *[F.round(c, 4).alias(n) for c, n in zip(box, ("minx", "miny", "maxx", "maxy"))])
-
-
 @query("scale_to_fit", f"""WITH {PAGES}, s AS (SELECT *, least(210 * 7.2 / 2.54 / w, 297 * 7.2 / 2.54 / h) AS s FROM page)
     SELECT doc_id, pageno, round(s, 6) AS scale, round((210 * 7.2 / 2.54 - w * s) / 2, 4) AS dx, round((297 * 7.2 / 2.54 - h * s) / 2, 4) AS dy FROM s""")
 def scale_to_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,6 +285,18 @@ def anchor_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(*_SHOW, x.alias("x"), y.alias("y"), cx.alias("cx"), cy.alias("cy"))
 
 
+ANCHORS = ("centre", "left", "right", "top", "bottom", "topleft", "topright", "bottomleft", "bottomright")
+
+
+@query("anchors", f"""WITH {PAGES}, a AS (SELECT *, unnest([{", ".join(f"'{a}'" for a in ANCHORS)}]) AS anchor FROM page)
+    SELECT doc_id, pageno, anchor, CASE WHEN contains(anchor, 'left') THEN 20.0::DOUBLE WHEN contains(anchor, 'right') THEN w - 20 ELSE w / 2 END AS x, CASE WHEN contains(anchor, 'top') THEN h - 20 WHEN contains(anchor, 'bottom') THEN 20.0 ELSE h / 2 END AS y FROM a""")
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor of every page."""
+    p = _boxes(pages(spark, sf_dir))
+    points = [F.struct(F.lit(a).alias("anchor"), *[c.alias(n) for n, c in zip("xy", geometry.position(a, geometry.box("media"), 20.0))]) for a in ANCHORS]
+    return p.select(*_SHOW, F.explode(F.array(*points)).alias("p")).select(*_SHOW, "p.anchor", "p.x", "p.y")
+
+
 @query("redact_touching", """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS pageno, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem)
     SELECT a.doc_id, a.pageno AS a, b.pageno AS b FROM b a JOIN b ON b.doc_id = a.doc_id AND b.pageno > a.pageno
     WHERE greatest(a.x, b.x) < least(a.x + 10, b.x + 10) AND greatest(a.y, b.y) < least(a.y + a.z, b.y + b.z)""")

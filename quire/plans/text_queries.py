@@ -50,6 +50,14 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk", text.file_name("@F-%%%_p@S@@-@E.pdf", F.col("chunk"), F.col("a"), F.col("b"), stem="out").alias("name"))
 
 
+@query("output_names_of_bookmarks", f"""WITH {PAGES}, m AS (SELECT doc_id, pageno, 'é€' || role || '/' || pageno AS mark FROM page), c AS (SELECT *, replace(mark, '/', '') AS name FROM m)
+    SELECT doc_id, pageno, name || '_' || substr(name, 1, list_max(list_filter(range(0, 8), lambda n: strlen(substr(name, 1, n)) <= 7))) || '.pdf' AS output FROM c""")
+def output_names_of_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of bookmarks, whole and cut to seven bytes."""
+    mark = F.concat(F.lit("é€"), F.col("role"), F.lit("/"), F.col("pageno").cast("string"))
+    return pages(spark, sf_dir).select("doc_id", "pageno", text.file_name("@B_@b7@.pdf", F.col("pageno"), bookmark=mark).alias("output"))
+
+
 @query("stamp_text", f"""WITH {PAGES} SELECT doc_id, pageno, (pageno + 1) // 2 || ': page ' || pageno || ' (' || {_ROMAN.format(n='pageno')} || ') of ' || last || ' in a.pdf, no ' || lpad(CAST(pageno + 99 AS VARCHAR), 6, '0') AS stamp
     FROM page JOIN last USING (doc_id)""")
 def stamp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
