@@ -364,11 +364,11 @@ def _planted_links(reps: DataFrame, equal: int, region: int, deep: bool) -> tupl
 
 
 def candidates(reps: DataFrame, equal: int, region: int, deep_signed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Distinct candidate links (a, b) between classes (id, sig); ``deep_signed`` gives the deep signatures of some classes (id)."""
+    """Candidate links (a, b) between classes (id, sig); ``deep_signed`` gives the deep signatures of some classes (id)."""
     links, dense = _planted_links(reps, equal, region, False)
     if dense is not None:
         links = links.union(_planted_links(written(deep_signed(dense), "deep"), equal, region, True)[0])
-    return links.distinct()
+    return links
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -135,8 +135,23 @@ def test_op1_query(spark, sf_dir):
 
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 100), (7, 7)]
-    result = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert result == {i: 1 for i in range(1, 41)} | {90: 90, 100: 90}
+    for block in (500_000, 12, 3):  # one block; several contracted blocks; alternating stars
+        result = components(spark.createDataFrame(edges, "a long, b long").repartition(3), block).collect()
+        assert {r.node: r.component for r in result} == {i: 1 for i in range(1, 41)} | {90: 90, 100: 90} and len(result) == 42
+
+
+def test_components_like_union_find(spark):
+    rng = np.random.default_rng(9)
+    pairs = rng.integers(0, 400, (260, 2))
+    expected = dict(zip(range(400), range(400)))
+    for _ in range(400):
+        for x, y in pairs.tolist():
+            expected[x] = expected[y] = min(expected[x], expected[y])
+    table = spark.createDataFrame(pairs.tolist(), "a long, b long")
+    for block in (500_000, 40):
+        found = {r.node: r.component for r in components(table, block).collect()}
+        assert found == {n: expected[n] for n in set(pairs[pairs[:, 0] != pairs[:, 1]].ravel().tolist())}
+    assert components(table.limit(0)).collect() == []
 
 
 def test_signatures_estimate_similarity():
