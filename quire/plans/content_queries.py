@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import ranges
 from quire.operators import content as ops
 from quire.plans.proxies import PAGES, pages
 from quire.plans.registry import query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import content, fonts, objects
 from quire.operators import pages as page_ops
-from quire.plans.content_queries import _SHOWN, _WORDS, _stream_sql, streams
+from quire.plans.content_queries import _SHOWN, _stream_sql, streams
 from quire.plans.proxies import MARKS, PAGES, marks, pages, table
 from quire.plans.registry import query
 from quire.sources import images
