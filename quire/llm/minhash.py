@@ -358,7 +358,7 @@ def _planted_links(reps: DataFrame, equal: int, region: int, deep: bool) -> tupl
         return links, None
     dense = found.where(F.col("kind") == _DENSE).select("id")
     if _BROKEN in kinds:
-        broken = found.where(F.col("kind") == _BROKEN).select("tree", "k1").distinct()
+        broken = written(found.where(F.col("kind") == _BROKEN).select("tree", "k1").distinct(), "broken")  # a table, so that the rows of one region are split
         dense = dense.union(found.where(F.col("kind") == _PENDING).join(broken, ["tree", "k1"]).select("id"))
     return links, written(dense.distinct(), "dense")
 
