@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import slices, trimmed
 
 #: Pieces in one generation of a task's memory, the same for one that the worker keeps, and letters of the longest that either holds.
-GENERATION, KEPT, LONGEST = 150_000, 250_000, 64
+GENERATION, KEPT, LONGEST = 150_000, 500_000, 64
 #: Bytes of text in a block, and letters of new pieces that are encoded together.
 BLOCK, LEARNT = 8 << 20, 2 << 20
 
@@ -55,6 +55,7 @@ LATE_CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0x
 
 _LATE_MARK, _LATE_LETTER = (re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "])") for ranges in (LATE_MARKS, LATE_LETTERS))
 _LATE_CAPITAL = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in LATE_CAPITALS) + "]")
+_LATE = re.compile("|".join(p.pattern for p in (_LATE_MARK, _LATE_LETTER, _LATE_CAPITAL)))
 _LATE_SMALL = {a + k: chr(small + k) for a, b, small in LATE_CAPITALS for k in range(b - a + 1)}
 
 
@@ -181,8 +182,6 @@ class WordBpe:
 
     def _words(self, text: str) -> list[str]:
         """What the splitter finds in normalised text; letters and numbers that the library's tables do not have count as signs."""
-        if text.isascii() or not _LATE_LETTER.search(text):
-            return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(_LATE_LETTER.sub("\ue000", text))]
 
     def _parts(self, piece: str) -> list[int | bytes]:
@@ -203,12 +202,14 @@ class WordBpe:
         if special := "<|" in joined:
             joined = "\n".join(p for p in pieces if "<|" not in p)
         words, bounds = [], [0]
+        late = not joined.isascii() and bool(_LATE.search(joined))
+        find = self._words if late else self.pattern.findall
         # no form of normalisation reaches across a line end, and pieces hold none
-        for low in _normal(joined).split("\n") if joined else ():
+        for low in _normal(joined, late).split("\n") if joined else ():
             if low.isalpha():
                 words.append(low.encode())
             else:
-                words += [w.encode() for w in self._words(low)]
+                words += [w.encode() for w in find(low)]
             bounds.append(len(words))
         flat, starts = self.merge(words)
         raw = flat.astype("<u4").tobytes()
@@ -234,17 +235,14 @@ class WordBpe:
         return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.names.take(lists.values)), " ")
 
 
-def _normal(text: str) -> str:
-    """Composed and in lower case, letter by letter: no context, so a final sigma stays plain."""
+def _normal(text: str, late: bool = True) -> str:
+    """Composed and in lower case, letter by letter: no context, so a final sigma stays plain; ``late`` if it may hold what Unicode got late."""
     if text.isascii():
         return text.lower()
-    if _LATE_MARK.search(text):
-        composed = "".join(unicodedata.normalize("NFC", part) for part in _LATE_MARK.split(text))
-    else:
-        composed = unicodedata.normalize("NFC", text)
-    if _LATE_CAPITAL.search(composed):
-        composed = composed.translate(_LATE_SMALL)
-    return composed.replace("\u03a3", "\u03c3").lower()
+    if not late:
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    composed = "".join(unicodedata.normalize("NFC", part) for part in _LATE_MARK.split(text))
+    return composed.translate(_LATE_SMALL).replace("\u03a3", "\u03c3").lower()
 
 
 @functools.lru_cache(maxsize=2)
@@ -306,7 +304,7 @@ def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool, k
     try:
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for start, stop in slices(column, BLOCK * (1 + keep)):
+            for start, stop in slices(column, BLOCK * (2 if keep else 1)):
                 lists = _coded_block(memory, column[start:stop])
                 columns = [*(c[start:stop] for c in batch.columns[:-1]), lists]
                 if decode:
@@ -316,7 +314,8 @@ def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool, k
         del memory
         if collected:
             gc.enable()
-        trimmed()
+        if not keep:
+            trimmed()
 
 
 def _coded_block(memory: Remembered, texts: pa.Array) -> pa.ListArray:
