@@ -22,9 +22,10 @@ def test_strings_round_trip():
 
 
 def test_interpreter_nests_forms_and_states():
-    shown = content.Interpreter(forms={"/Fm": "1 0 0 1 100 0 cm BT (in) Tj ET /Fm Do"}, most_nested=2).run("q 2 0 0 2 0 0 cm /Fm Do Q BT 1 0 0 1 7 8 Tm (out) Tj ET Q Q")
-    assert [s[1] for s in shown] == ["in", "in", "out"]
-    assert shown[0][2] == 200 and shown[1][2] == 400 and shown[2][2:4] == (7, 8)
+    forms = {"/Fm": "1 0 0 1 100 0 cm BT (in) Tj ET /Inner Do", "/Inner": "1 0 0 1 100 0 cm BT (more) Tj ET /Fm Do /Inner Do"}
+    shown = content.Interpreter(forms=forms).run("q 2 0 0 2 0 0 cm /Fm Do Q BT 1 0 0 1 7 8 Tm (out) Tj ET Q Q /Fm Do")
+    assert [s[1] for s in shown] == ["in", "more", "out", "in", "more"]  # a form that is being drawn does not begin again
+    assert shown[0][2] == 200 and shown[1][2] == 400 and shown[2][2:4] == (7, 8) and shown[4][2] == 200
 
 
 def test_rewrites_keep_nulls(spark):
