@@ -198,14 +198,15 @@ class WordBpe:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Each piece between white space as little-endian ids."""
-        joined = "\n".join(pieces)
+        plain, joined = pieces, "\n".join(pieces)
         if special := "<|" in joined:
-            joined = "\n".join(p for p in pieces if "<|" not in p)
+            plain = [p for p in pieces if "<|" not in p]
+            joined = "\n".join(plain)
         words, bounds = [], [0]
         late = not joined.isascii() and bool(_LATE.search(joined))
         find = self._words if late else self.pattern.findall
         # no form of normalisation reaches across a line end, and pieces hold none
-        for low in _normal(joined, late).split("\n") if joined else ():
+        for low in _normal(joined, late).split("\n") if plain else ():
             if low.isalpha():
                 words.append(low.encode())
             else:
@@ -217,8 +218,8 @@ class WordBpe:
         found = [raw[a:b] for a, b in zip(at, at[1:])]
         if not special:
             return found
-        plain = iter(found)
-        return [next(plain) if "<|" not in p else self._special(p) for p in pieces]
+        rest = iter(found)
+        return [next(rest) if "<|" not in p else self._special(p) for p in pieces]
 
     def _special(self, piece: str) -> bytes:
         parts = self._parts(piece)

@@ -73,6 +73,12 @@ def test_every_code_point(library):
                 assert np.frombuffer(ids, "<u4").tolist() == e.ids, ascii(t)
 
 
+def test_blocks_without_words(docs, library):
+    for texts in ([""], [None, " \n"], ["<|endoftext|>"], ["", "<|endoftext|><|endoftext|>"]):
+        got = {r.doc_id: list(r.ids) for r in bpe.encode(docs(list(enumerate(texts))).coalesce(1), PATH, ["doc_id"], decode=True).collect()}
+        assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_memory_is_bounded_in_bytes(library, monkeypatch):
     monkeypatch.setattr(bpe, "GENERATION", 50)
     memory = bpe.Remembered(bpe.vocabulary(PATH))
