@@ -156,7 +156,10 @@ class WordBpe:
         while active:
             rank = heapq.heappop(active)
             lists = index.pop(rank)
-            at = np.unique(lists[0] if len(lists) == 1 else np.concatenate(lists))
+            at = np.sort(lists[0] if len(lists) == 1 else np.concatenate(lists))
+            repeated = at[1:] == at[:-1]
+            if repeated.any():
+                at = at[np.concatenate(([True], ~repeated))]
             a, b = self.left[rank], self.right[rank]
             after = following[at]
             at = at[alive[at] & (symbol[at] == a) & (symbol[after] == b)]
@@ -327,11 +330,13 @@ def _coded_block(memory: Remembered, texts: pa.Array) -> pa.ListArray:
     # every occurrence takes its piece's ids from where they stand once
     blobs = memory.coded(coded.dictionary.to_pylist())
     once = np.frombuffer(b"".join(blobs), "<u4").view(np.int32)
-    lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    lengths = np.fromiter(map(len, blobs), np.int32, len(blobs)) // 4
     at = coded.indices.to_numpy()
     counts = lengths[at]
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    places = np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], counts) + np.arange(ends[-1])
+    ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    # a block's ids are far fewer than 2**31
+    places = np.repeat(((np.cumsum(lengths, dtype=np.int64) - lengths)[at] - ends[:-1]).astype(np.int32), counts)
+    places += np.arange(ends[-1], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(once[places]))
 
 
