@@ -30,7 +30,7 @@ from quire.llm.common import slices, trimmed
 
 #: Pieces in one generation of a task's memory, the same for one that the worker keeps, and letters of the longest that either holds.
 GENERATION, KEPT, LONGEST = 150_000, 500_000, 64
-#: Bytes of text in a block, and letters of new pieces that are encoded together.
+#: Bytes of text in a block (four times as many for a kept memory), and letters of new pieces that are encoded together.
 BLOCK, LEARNT = 8 << 20, 2 << 20
 
 # Marks that Unicode got after version 9, as ranges.  The library's
@@ -308,7 +308,7 @@ def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool, k
     try:
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for start, stop in slices(column, BLOCK * (2 if keep else 1)):
+            for start, stop in slices(column, BLOCK * (4 if keep else 1)):
                 lists = _coded_block(memory, column[start:stop])
                 columns = [*(c[start:stop] for c in batch.columns[:-1]), lists]
                 if decode:
