@@ -8,7 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.durable import cut
+from quire.operators.durable import cut, discard, stored
+
+#: Rows that a join broadcasts at most (some 16 MB); more are shuffled.
+FEW = 250_000
+
+#: Tables of rounds that are read side by side; more are put together.
+PARTS = 24
 
 
 def agreed(column: str) -> Column:
@@ -48,23 +54,54 @@ def missing(things: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return things.join(present.select(key).distinct(), key, "left_anti")
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, parts)
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= FEW else df
+
+
+def _unseen(reached: DataFrame, n: int, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``reached`` (n of them, distinct) whose keys ``found`` lacks; null keys are equal.  Where they are few, ``found`` is read but not shuffled."""
+
+    def equal(a: DataFrame, b: DataFrame) -> Column:
+        return functools.reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
 
+    if n <= FEW:
+        sought = reached.select(*keys)
+        found = F.broadcast(found.join(F.broadcast(sought), equal(found, sought), "left_semi").select(*keys))
+    return reached.join(found, equal(reached, found), "left_anti")
 
-def _until_empty(first: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
-    """``first`` and what ``step`` (of the newest rows, all rows so far and the round) adds, until it adds nothing.
 
-    Only the newest rows are checkpointed in a round; the parts are put together now and then.
+def _until_empty(first: DataFrame, step: Callable[[DataFrame, int, int], DataFrame], keys: list[str] | None = None) -> DataFrame:
+    """``first`` and what ``step`` (of the newest rows, how many they are at most, and the round) adds, until it adds nothing.
+
+    With ``keys`` those rows of a step are passed over that are equal to earlier
+    ones in them.  What a round adds is a table in the shared folder, so joins know
+    its size; no round leaves shuffle files or partitions, and the driver keeps the
+    paths of ``PARTS`` tables at most.  The last tables stay, as the result reads them.
     """
-    newest = cut(first)
-    parts, n = [newest], 0
-    while True:
+    spark, columns = first.sparkSession, first.columns
+
+    def table(*paths: str) -> DataFrame:
+        return spark.read.schema(first.schema).parquet(*paths)
+
+    parts, n = [stored(first)], 0
+    size = table(*parts).count()
+    while size:
         n += 1
-        newest = cut(step(newest, _all(parts), n))
-        if newest.isEmpty():
-            return _all(parts)
-        parts = [cut(_all([*parts, newest]))] if len(parts) == 24 else [*parts, newest]
+        made = stored(step(table(parts[-1]), size, n).select(*columns))
+        size = table(made).count()
+        if keys and size:
+            made, reached = stored(_unseen(table(made), size, table(*parts), keys)), made
+            discard(spark, reached)
+            size = 0 if table(made).isEmpty() else size
+        if size and len(parts) == PARTS:
+            whole = stored(table(*parts))
+            discard(spark, *parts)
+            parts = [whole]
+        if size:
+            parts.append(made)
+        else:
+            discard(spark, made)
+    return table(*parts)
 
 
 def closure(edges: DataFrame, roots: DataFrame, skip: Column | None = None) -> DataFrame:
@@ -73,13 +110,39 @@ def closure(edges: DataFrame, roots: DataFrame, skip: Column | None = None) -> D
     Edges that ``skip`` holds for are not followed.  Each round joins only what
     the last one found; cycles end because a node is found once.
     """
-    followed = cut(edges.where(~skip) if skip is not None else edges)
+    spark, chosen = edges.sparkSession, (edges.where(~skip) if skip is not None else edges).select("src", "dst")
+    at = stored(chosen)
+    followed = spark.read.schema(chosen.schema).parquet(at)
+
+    def step(newest: DataFrame, size: int, n: int) -> DataFrame:
+        reached = followed.join(_few(newest, size), followed["src"] == newest["node"]).select(F.col("dst").alias("node")).distinct()
+        return reached.withColumn("depth", F.lit(n))
+
+    first = roots.select(F.col("node").cast(chosen.schema["dst"].dataType)).distinct().withColumn("depth", F.lit(0))
+    found = _until_empty(first, step, ["node"])
+    discard(spark, at)
+    return found
+
+
+def closure_values(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(root, value): the distinct values of all nodes that a node with values reaches over edges (src, dst), its own included.
+
+    ``values``: node, value; null is a value.  Values go from each node to those
+    that refer to it and are kept once, so there are never as many rows as pairs of
+    nodes that reach each other.  A node without values passes on those of others
+    and is a root too if some reach it.
+    """
+    spark, chosen = edges.sparkSession, edges.select("src", "dst").distinct()
+    at = stored(chosen)
+    followed = spark.read.schema(chosen.schema).parquet(at)
 
-    def step(newest: DataFrame, found: DataFrame, n: int) -> DataFrame:
-        reached = newest.join(followed, newest["node"] == followed["src"]).select(F.col("dst").alias("node")).distinct()
-        return reached.join(found, "node", "left_anti").withColumn("depth", F.lit(n))
+    def step(newest: DataFrame, size: int, _: int) -> DataFrame:
+        return followed.join(_few(newest, size), followed["dst"] == newest["root"]).select(F.col("src").alias("root"), "value").distinct()
 
-    return _until_empty(roots.select("node").distinct().withColumn("depth", F.lit(0)), step)
+    first = values.select(F.col("node").cast(chosen.schema["src"].dataType).alias("root"), "value").distinct()
+    found = _until_empty(first, step, ["root", "value"])
+    discard(spark, at)
+    return found
 
 
 def duplicates(objects: DataFrame, key: str, content: str) -> DataFrame:
@@ -109,23 +172,12 @@ def text_width(texts: DataFrame, key: str, text: str, widths: DataFrame, size: f
     return wide.select(key, F.round(units * size / 1000, 3).alias("width"))
 
 
-def closure_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node): what each root (root) reaches over edges (src, dst), itself included; as :func:`closure`, for many roots at once."""
-    followed = cut(edges.select("src", "dst").distinct())
-
-    def step(newest: DataFrame, found: DataFrame, _: int) -> DataFrame:
-        reached = newest.join(followed, newest["node"] == followed["src"]).select("root", F.col("dst").alias("node")).distinct()
-        return reached.join(found, ["root", "node"], "left_anti")
-
-    return _until_empty(roots.select("root", F.col("root").alias("node")).distinct(), step)
-
-
 def tree_paths(nodes: DataFrame) -> DataFrame:
     """(node, depth, path) of a forest (node, parent, ord); path orders nodes as a listing does, roots have a null parent."""
     width = max(6, nodes.agg(F.max(F.length(F.col("ord").cast("string")))).first()[0] or 0)  # of the longest, as lpad cuts
     steps = cut(nodes.select("node", "parent", F.lpad(F.col("ord").cast("string"), width, "0").alias("step")))
 
-    def below(newest: DataFrame, _: DataFrame, n: int) -> DataFrame:
+    def below(newest: DataFrame, _: int, n: int) -> DataFrame:
         above = newest.select(F.col("node").alias("parent"), F.col("path").alias("above"))
         return above.join(steps, "parent").select("node", F.lit(n).alias("depth"), F.concat("above", F.lit("/"), "step").alias("path"))
 
@@ -142,7 +194,7 @@ def drawn_tree(nodes: DataFrame, label: str) -> DataFrame:
     placed = cut(nodes.select("node", "parent", F.when(F.col("parent").isNull(), F.lit(None)).otherwise(last).alias("last"), F.col(label).alias("label")))
     roots = placed.where("parent is null").select("node", F.lit("").alias("lead"), F.col("label").alias("line"))
 
-    def below(newest: DataFrame, _: DataFrame, n: int) -> DataFrame:
+    def below(newest: DataFrame, _: int, n: int) -> DataFrame:
         above = newest.select(F.col("node").alias("parent"), F.col("lead").alias("above"))
         made = above.join(placed, "parent")
         corner, lead = F.when(F.col("last"), "\u2514\u2500\u2500 ").otherwise("\u251c\u2500\u2500 "), F.when(F.col("last"), "    ").otherwise("\u2502   ")

@@ -123,9 +123,8 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT root, p_brand AS font FROM r JOIN part ON p_partkey = node""")
 def nested_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fonts (brands) of the forms (parts) that each page (every part) reaches."""
-    part = table(spark, sf_dir, "part")
-    reached = ops.closure_pairs(edges(spark, sf_dir).where("via = '/Kids'"), part.select(F.col("p_partkey").alias("root")))
-    return reached.join(part, F.col("p_partkey") == F.col("node")).select("root", F.col("p_brand").alias("font")).distinct()
+    fonts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("value"))
+    return ops.closure_values(edges(spark, sf_dir).where("via = '/Kids'"), fonts).withColumnRenamed("value", "font")
 
 
 _STEP = "lpad(CAST(p_partkey AS VARCHAR), CAST((SELECT greatest(6, max(length(CAST(p_partkey AS VARCHAR)))) FROM part) AS INTEGER), '0')"

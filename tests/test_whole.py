@@ -55,3 +55,13 @@ def test_drawn_tree(spark):
     rows = [(1, None, 1, "a"), (2, 1, 1, "b"), (3, 1, 2, "c"), (4, 2, 1, "d"), (5, 3, 1, "e"), (6, None, 2, "f")]
     made = reports.drawn_tree(spark.createDataFrame(rows, "node long, parent long, ord long, name string"), "name").orderBy("path").collect()
     assert [r.line for r in made] == ["a", "\u251c\u2500\u2500 b", "\u2502   \u2514\u2500\u2500 d", "\u2514\u2500\u2500 c", "    \u2514\u2500\u2500 e", "f"]
+
+
+def test_closures_leave_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr(reports, "PARTS", 3)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 5), (4, None), (None, 3)], "src long, dst long")
+    for few in (0, 250_000):  # by a shuffle and by a broadcast
+        monkeypatch.setattr(reports, "FEW", few)
+        found = reports.closure(chain, spark.createDataFrame([(0,)], "node int"))
+        assert {r.node: r.depth for r in found.collect()} == {i: i for i in range(10)} | {None: 5}
+        assert len(found.inputFiles()) <= 3 * 4 + 4  # no table of its own for every round
