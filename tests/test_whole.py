@@ -65,3 +65,24 @@ def test_closures_leave_few_partitions(spark, monkeypatch):
         found = reports.closure(chain, spark.createDataFrame([(0,)], "node int"))
         assert {r.node: r.depth for r in found.collect()} == {i: i for i in range(10)} | {None: 5}
         assert len(found.inputFiles()) <= 3 * 4 + 4  # no table of its own for every round
+
+
+def test_pages_are_interpreted_in_blocks(spark, monkeypatch):
+    blocks = []
+
+    def batch(n):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "content": ["(a) Tj (b) Tj /Im Do"] * n})
+
+    made = content._objects(None, False)
+    for kept, held in content._blocks(iter([batch(50_000), batch(1)]), made):
+        assert kept.num_rows == len(held)
+        blocks.append(sum(map(len, held)))
+    assert sum(blocks) == 150_003 and max(blocks) < content.BLOCK + 3
+
+
+def test_pages_with_one_key_stay_apart(spark):
+    pages = spark.createDataFrame([(1, 1, "(a) Tj"), (1, 1, "(b) Tj /Im Do"), (2, 1, None), (3, 1, "")], "doc_id long, pageno int, content string")
+    assert sorted((r.doc_id, r.shown) for r in content.extracted(pages).collect()) == [(1, "a"), (1, "b"), (2, ""), (3, "")]
+    assert "Exchange" not in content.extracted(pages)._jdf.queryExecution().executedPlan().toString()
