@@ -85,4 +85,8 @@ def test_pages_are_interpreted_in_blocks(spark, monkeypatch):
 def test_pages_with_one_key_stay_apart(spark):
     pages = spark.createDataFrame([(1, 1, "(a) Tj"), (1, 1, "(b) Tj /Im Do"), (2, 1, None), (3, 1, "")], "doc_id long, pageno int, content string")
     assert sorted((r.doc_id, r.shown) for r in content.extracted(pages).collect()) == [(1, "a"), (1, "b"), (2, ""), (3, "")]
+    first = '{"seq":1,"kind":"text","text":"b","x":0.0,"y":0.0,"size":0.0,"font":"","depth":0}'
+    got = sorted((r.doc_id, r.json) for r in content.as_json(pages.where("content <> '(a) Tj'"), kinds=("text",)).collect())
+    assert got == [(1, f"[{first}]"), (3, "[]")]
     assert "Exchange" not in content.extracted(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in content.as_json(pages)._jdf.queryExecution().executedPlan().toString()
