@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import content as ops
@@ -19,13 +19,17 @@ TEMPLATE = (
 )
 
 
-def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pageno and content: for each turn all its words (but for the first with the space before), each on a line of its own from (10, 20 + page) down, an image, a clip and a stamp."""
+def stream() -> Column:
+    """The stream of a page's number and text."""
     words = F.transform(F.split("text", " "), lambda w, i: F.concat(F.when(i == 0, "(").otherwise("( "), F.regexp_replace(w, r"([\\()])", r"\\$1"), F.lit(") Tj")))
     before, after = "\n".join(TEMPLATE).split("{words}")
     head, tail = before.split("{y}")
-    stream = F.concat(F.lit(head), (F.col("pageno") + 20).cast("string"), F.lit(tail), F.array_join(words, "\n0 -14 Td\n"), F.lit(after))
-    return pages(spark, sf_dir).select("doc_id", "pageno", stream.alias("content"))
+    return F.concat(F.lit(head), (F.col("pageno") + 20).cast("string"), F.lit(tail), F.array_join(words, "\n0 -14 Td\n"), F.lit(after))
+
+
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pageno and content: for each turn all its words (but for the first with the space before), each on a line of its own from (10, 20 + page) down, an image, a clip and a stamp."""
+    return pages(spark, sf_dir).select("doc_id", "pageno", stream().alias("content"))
 
 
 _WORDS = f"{PAGES}, w AS (SELECT *, list_transform(string_split(text, ' '), lambda x, i: CASE WHEN i = 1 THEN x ELSE ' ' || x END) AS words FROM page), each AS (SELECT doc_id, pageno, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i, len(words) AS last FROM w)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import content, fonts, objects
 from quire.operators import pages as page_ops
-from quire.plans.content_queries import _SHOWN, _stream_sql, streams
+from quire.plans.content_queries import _SHOWN, _stream_sql, stream, streams
 from quire.plans.proxies import MARKS, PAGES, marks, pages, table
 from quire.plans.registry import query
 from quire.sources import images
@@ -100,9 +100,9 @@ _HIT = "20 + pageno - 28 * (i - 1) < 30 AND 20 + pageno - 28 * (i - 1) + 24 > 0"
     SELECT doc_id, pageno, left_text FROM t""")
 def redact_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What text is left when all glyphs that touch a strip of the page are taken."""
-    p = streams(spark, sf_dir)
+    p = pages(spark, sf_dir).select("doc_id", "pageno", "text")
     sides = [F.lit(v).alias(n) for n, v in (("minx", 0.0), ("miny", 0.0), ("maxx", 1e6), ("maxy", 30.0))]
-    return content.extracted(content.redacted(p, p.select("doc_id", "pageno", *sides))).withColumnRenamed("shown", "left_text")
+    return content.extracted(content.redacted(p, p.select("doc_id", "pageno", *sides), made_of=stream())).withColumnRenamed("shown", "left_text")
 
 
 @query("redact_nothing", _stream_sql())

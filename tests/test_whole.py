@@ -90,3 +90,12 @@ def test_pages_with_one_key_stay_apart(spark):
     assert got == [(1, f"[{first}]"), (3, "[]")]
     assert "Exchange" not in content.extracted(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in content.as_json(pages)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_redacted_streams_made_after_the_join(spark):
+    pages = spark.createDataFrame([(1, 1, "ab"), (2, 1, "cd")], "doc_id long, pageno int, text string")
+    areas = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, 9.0)], "doc_id long, pageno int, minx double, miny double, maxx double, maxy double")
+    stream = F.concat(F.lit("/F 10 Tf ("), "text", F.lit(") Tj"))
+    late = content.redacted(pages, areas, made_of=stream)
+    early = content.redacted(pages.withColumn("content", stream), areas)
+    assert {r.doc_id: r.content for r in late.collect()} == {r.doc_id: r.content for r in early.collect()} == {1: "/F 10 Tf\n[ -500 (b) ] TJ", 2: "/F 10 Tf (cd) Tj"}
