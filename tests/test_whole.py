@@ -99,3 +99,14 @@ def test_redacted_streams_made_after_the_join(spark):
     late = content.redacted(pages, areas, made_of=stream)
     early = content.redacted(pages.withColumn("content", stream), areas)
     assert {r.doc_id: r.content for r in late.collect()} == {r.doc_id: r.content for r in early.collect()} == {1: "/F 10 Tf\n[ -500 (b) ] TJ", 2: "/F 10 Tf (cd) Tj"}
+
+
+def test_values_of_all_that_is_reached(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, 0), (0, 1), (1, 2), (2, 1), (2, 3), (1, 2), (8, 9)], "src long, dst long")
+    values = spark.createDataFrame([(0, "a"), (1, "a"), (2, None), (3, "b"), (3, "c"), (4, "a"), (9, "z")], "node long, value string")
+    below = {"a", None, "b", "c"}
+    for few in (0, 250_000):
+        monkeypatch.setattr(reports, "FEW", few)
+        got = [tuple(r) for r in reports.closure_values(edges, values).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(n, v) for n in (0, 1, 2) for v in below} | {(3, "b"), (3, "c"), (4, "a"), (8, "z"), (9, "z")}
