@@ -55,7 +55,8 @@ def missing(things: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 
 def _few(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= FEW else df
+    """One side of a join, of n rows at most.  Many are merged: Spark goes by the bytes of compressed files, and a driver can't hold the rows that fit in a few MB of those."""
+    return F.broadcast(df) if n <= FEW else df.hint("merge")
 
 
 def _unseen(reached: DataFrame, n: int, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,7 +67,8 @@ def _unseen(reached: DataFrame, n: int, found: DataFrame, keys: list[str]) -> Da
 
     if n <= FEW:
         sought = reached.select(*keys)
-        found = F.broadcast(found.join(F.broadcast(sought), equal(found, sought), "left_semi").select(*keys))
+        found = found.join(F.broadcast(sought), equal(found, sought), "left_semi").select(*keys)
+    found = _few(found, n)
     return reached.join(found, equal(reached, found), "left_anti")
 
 

@@ -43,7 +43,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference graph over parts: each refers to two others further on, and back to one (key /Parent), in cycles."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
     every = p.select("src", F.explode(F.array(F.struct((2 * F.col("src")).alias("dst"), F.lit("/Kids").alias("via")), F.struct((2 * F.col("src") + 1).alias("dst"), F.lit("/Kids").alias("via")), F.struct(F.floor(F.col("src") / 3).cast("long").alias("dst"), F.lit("/Parent").alias("via")))).alias("e")).select("src", "e.dst", "e.via")
-    return every.join(p.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst", "via")
+    return every.join(p.select(F.col("src").alias("dst")).hint("merge"), "dst", "left_semi").select("src", "dst", "via")
 
 
 EDGES = """edge AS (

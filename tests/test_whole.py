@@ -110,3 +110,22 @@ def test_values_of_all_that_is_reached(spark, monkeypatch):
         got = [tuple(r) for r in reports.closure_values(edges, values).collect()]
         assert len(got) == len(set(got))
         assert set(got) == {(n, v) for n in (0, 1, 2) for v in below} | {(3, "b"), (3, "c"), (4, "a"), (8, "z"), (9, "z")}
+
+
+def test_closures_of_many_rows_broadcast_nothing(spark, tmp_path, monkeypatch):
+    """Spark would broadcast these files for their size; at 6 GB they pass for 8 MB, but the driver can't hold their 7 million rows."""
+    spark.range(0, 12).select(F.col("id").alias("p_partkey"), F.concat(F.lit("b"), F.col("id") % 7).alias("p_brand")).write.parquet(str(tmp_path / "part.parquet"))
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    stored = reports.stored
+    monkeypatch.setattr(reports, "stored", noted)
+    monkeypatch.setattr(reports, "FEW", 0)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
+    for name in ("nested_fonts",):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
