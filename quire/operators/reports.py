@@ -116,9 +116,9 @@ def closure(edges: DataFrame, roots: DataFrame, skip: Column | None = None) -> D
     at = stored(chosen)
     followed = spark.read.schema(chosen.schema).parquet(at)
 
-    def step(newest: DataFrame, size: int, n: int) -> DataFrame:
-        reached = followed.join(_few(newest, size), followed["src"] == newest["node"]).select(F.col("dst").alias("node")).distinct()
-        return reached.withColumn("depth", F.lit(n))
+    def step(newest: DataFrame, size: int, _: int) -> DataFrame:
+        deeper = (F.col("depth") + 1).alias("depth")  # the round's number would be compiled anew each round, and the driver keeps compiled code
+        return followed.join(_few(newest, size), followed["src"] == newest["node"]).select(F.col("dst").alias("node"), deeper).distinct()
 
     first = roots.select(F.col("node").cast(chosen.schema["dst"].dataType)).distinct().withColumn("depth", F.lit(0))
     found = _until_empty(first, step, ["node"])

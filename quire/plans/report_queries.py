@@ -72,7 +72,7 @@ def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dead_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that nothing reaches from the root, through cycles."""
     found = ops.closure(edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), (F.col("via") == "/Kids") & (F.col("dst") % 2 == 1))
-    return table(spark, sf_dir, "part").select("p_partkey").join(found, F.col("p_partkey") == F.col("node"), "left_anti")
+    return table(spark, sf_dir, "part").select("p_partkey").join(found.hint("merge"), F.col("p_partkey") == F.col("node"), "left_anti")
 
 
 @query("text_width", "SELECT conv_id, turn, round((length(text) * 500 + (length(text) - length(replace(text, 'i', ''))) * -278 + (length(text) - length(replace(text, 'w', ''))) * 222) * 12.0::DOUBLE / 1000, 3) AS width FROM conversations WHERE length(text) > 0")

@@ -125,7 +125,7 @@ def test_closures_of_many_rows_broadcast_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(reports, "stored", noted)
     monkeypatch.setattr(reports, "FEW", 0)
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
-    for name in ("nested_fonts",):
+    for name in ("nested_fonts", "dead_objects"):
         df = registry.QUERIES[name](spark, str(tmp_path))
         plans.append(df._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
