@@ -30,8 +30,8 @@ from quire.llm.common import slices, trimmed
 
 #: Pieces in one generation of a task's memory, the same for one that the worker keeps, and letters of the longest that either holds.
 GENERATION, KEPT, LONGEST = 150_000, 500_000, 64
-#: Bytes of text in a block (four times as many for a kept memory), and letters of new pieces that are encoded together.
-BLOCK, LEARNT = 8 << 20, 2 << 20
+#: Bytes of text in a block (eight times as many for a kept memory), and letters of new pieces that are encoded together (four times as many for a kept memory).
+BLOCK, LEARNT = 4 << 20, 1 << 19
 
 # Marks that Unicode got after version 9, as ranges.  The library's
 # tables of canonical order do not know them, so nothing is moved or composed
@@ -54,11 +54,21 @@ LATE_LETTERS = (
 LATE_CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
 
 _LATE_MARK, _LATE_LETTER = (re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "])") for ranges in (LATE_MARKS, LATE_LETTERS))
-_LATE_CAPITAL = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in LATE_CAPITALS) + "]")
-_LATE = re.compile("|".join(p.pattern for p in (_LATE_MARK, _LATE_LETTER, _LATE_CAPITAL)))
+_LATE = np.zeros(0x110000, bool)
+for _first, _last, *_ in (*LATE_MARKS, *LATE_LETTERS, *LATE_CAPITALS):
+    _LATE[_first : _last + 1] = True
 _LATE_SMALL = {a + k: chr(small + k) for a, b, small in LATE_CAPITALS for k in range(b - a + 1)}
 
 
+#: Signs that stand alone behind letters, as most words with a sign have it.
+_SIGNS = frozenset('.,;:!?")')
+
+
+def _holds_late(text: str) -> bool:
+    """Whether Unicode got any of these characters late."""
+    return not text.isascii() and bool(_LATE[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+
+
 def _byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -99,6 +109,9 @@ class WordBpe:
         codes = left * self.width + right
         self.order = np.argsort(codes, kind="stable")
         self.codes = codes[self.order]
+        # the rank of each two bytes in a row, and then of those that end a word
+        pairs = np.arange(1 << 16)
+        self.byte_ranks = np.concatenate([self.ranks(self.byte_ids[pairs >> 8], ids[pairs & 255]) for ids in (self.byte_ids, self.end_ids)]).astype(np.int32)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 for those that never merge."""
@@ -108,11 +121,13 @@ class WordBpe:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of non-empty words in a row and where each word's begin and the last one's end, by merging over the block's pair occurrence index."""
-        if not words:
+        return self._merged(np.frombuffer(b"".join(words), np.uint8), np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+
+    def _merged(self, raw: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the bytes of all words and where each word ends."""
+        if not len(stops):
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        stops = np.cumsum(lengths)
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        begins = np.concatenate(([0], stops[:-1]))
         n = len(raw)
         # one sentinel at either end; symbol -1 joins no pair
         symbol = np.full(n + 2, -1, np.int32)
@@ -120,13 +135,13 @@ class WordBpe:
         symbol[stops] = self.end_ids[raw[stops - 1]]
         following = np.arange(1, n + 3, dtype=np.int32)
         before = np.arange(-1, n + 1, dtype=np.int32)
-        first = np.zeros(n + 2, bool)
-        first[stops - lengths + 1] = True
         following[stops] = n + 1
-        before[first] = 0
+        before[begins + 1] = 0
         following[n + 1] = n + 1
         alive = np.ones(n + 2, bool)
 
+        # numbers of 16 bits are sorted by counting
+        narrow = np.uint16 if len(self.codes) <= 1 << 16 else np.int64
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -135,11 +150,13 @@ class WordBpe:
             after = following[positions]
             inside = after <= n
             positions, after = positions[inside], after[inside]
-            rank = self.ranks(symbol[positions], symbol[after])
+            enter(self.ranks(symbol[positions], symbol[after]), positions)
+
+        def enter(rank: np.ndarray, positions: np.ndarray) -> None:
             found = rank >= 0
             if not found.any():
                 return
-            rank, positions = rank[found], positions[found]
+            rank, positions = rank[found].astype(narrow), positions[found]
             by = np.argsort(rank, kind="stable")
             rank, positions = rank[by], positions[by]
             cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
@@ -152,7 +169,13 @@ class WordBpe:
                 else:
                     held.append(at)
 
-        add(np.arange(1, n + 1))
+        # all pairs are of bytes at first; the last byte of a word begins none
+        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
+        pair[stops[stops < n] - 1] = -1
+        pair[(stops - 2)[stops - begins > 1]] += 1 << 16
+        positions = np.flatnonzero(pair >= 0).astype(np.int32)
+        enter(self.byte_ranks[pair[positions]], positions + 1)
+        del pair, positions
         while active:
             rank = heapq.heappop(active)
             lists = index.pop(rank)
@@ -181,7 +204,7 @@ class WordBpe:
             add(np.concatenate((previous[previous > 0], at)))
         kept = np.flatnonzero(alive[1:-1])
         ids = symbol[1:-1][kept]
-        return ids, np.concatenate((np.searchsorted(kept, stops - lengths), [len(ids)]))
+        return ids, np.concatenate((np.searchsorted(kept, begins), [len(ids)]))
 
     def _words(self, text: str) -> list[str]:
         """What the splitter finds in normalised text; letters and numbers that the library's tables do not have count as signs."""
@@ -205,17 +228,19 @@ class WordBpe:
         if special := "<|" in joined:
             plain = [p for p in pieces if "<|" not in p]
             joined = "\n".join(plain)
-        words, bounds = [], [0]
-        late = not joined.isascii() and bool(_LATE.search(joined))
+        late = _holds_late(joined)
         find = self._words if late else self.pattern.findall
         # no form of normalisation reaches across a line end, and pieces hold none
-        for low in _normal(joined, late).split("\n") if plain else ():
-            if low.isalpha():
-                words.append(low.encode())
-            else:
-                words += [w.encode() for w in find(low)]
-            bounds.append(len(words))
-        flat, starts = self.merge(words)
+        lows = _normal(joined, late).split("\n") if plain else []
+        del joined
+        parts = [(low,) if low.isalpha() else (low[:-1], low[-1]) if low[-1:] in _SIGNS and low[:-1].isalpha() else find(low) for low in lows]
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
+        # neither do words
+        lines = np.frombuffer("".join([f"{w}\n" for words in parts for w in words]).encode(), np.uint8)
+        del lows, parts
+        inner = lines != 10
+        stops = np.flatnonzero(~inner)
+        flat, starts = self._merged(lines[inner], stops - np.arange(len(stops)))
         raw = flat.astype("<u4").tobytes()
         at = (4 * starts[bounds]).tolist()
         found = [raw[a:b] for a, b in zip(at, at[1:])]
@@ -265,6 +290,7 @@ class Remembered:
 
     def __init__(self, bpe: WordBpe, generation: int | None = None):
         self.bpe, self.generation = bpe, generation or GENERATION
+        self.learnt = LEARNT * (4 if generation else 1)
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -277,7 +303,7 @@ class Remembered:
                 found[k] = self.older.get(pieces[k])
         new = [k for k in lacking if found[k] is None]
         if new:
-            before = np.cumsum([len(pieces[k]) for k in new]) // LEARNT
+            before = np.cumsum([len(pieces[k]) for k in new]) // self.learnt
             cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(new)]
             for start, stop in zip(cuts, cuts[1:]):
                 for k, ids in zip(new[start:stop], self.bpe.encode_pieces([pieces[k] for k in new[start:stop]])):
@@ -308,7 +334,7 @@ def encode_batches(path: str, batches: Iterable[pa.RecordBatch], decode: bool, k
     try:
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for start, stop in slices(column, BLOCK * (4 if keep else 1)):
+            for start, stop in slices(column, BLOCK * (8 if keep else 1)):
                 lists = _coded_block(memory, column[start:stop])
                 columns = [*(c[start:stop] for c in batch.columns[:-1]), lists]
                 if decode:
@@ -327,17 +353,22 @@ def _coded_block(memory: Remembered, texts: pa.Array) -> pa.ListArray:
     split = pc.ascii_split_whitespace(texts.fill_null(""))
     coded = split.flatten().dictionary_encode()
     bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+    del split
     # every occurrence takes its piece's ids from where they stand once
-    blobs = memory.coded(coded.dictionary.to_pylist())
+    blobs = memory.coded(_listed(coded.dictionary))
+    ends = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)
     once = np.frombuffer(b"".join(blobs), "<u4").view(np.int32)
-    lengths = np.fromiter(map(len, blobs), np.int32, len(blobs)) // 4
-    at = coded.indices.to_numpy()
-    counts = lengths[at]
-    ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    del blobs
     # a block's ids are far fewer than 2**31
-    places = np.repeat(((np.cumsum(lengths, dtype=np.int64) - lengths)[at] - ends[:-1]).astype(np.int32), counts)
-    places += np.arange(ends[-1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(once[places]))
+    taken = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(once)).take(coded.indices)
+    return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[bounds]), taken.values)
+
+
+def _listed(pieces: pa.StringArray) -> list[str]:
+    """Pieces between white space as a list; far faster than one by one."""
+    if not len(pieces):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "\n")[0].as_py().split("\n")
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", decode: bool = False, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

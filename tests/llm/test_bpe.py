@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -90,6 +91,37 @@ def test_memory_is_bounded_in_bytes(library, monkeypatch):
         assert all(len(p) <= bpe.LONGEST for p in [*memory.ids, *memory.older])
 
 
+def test_memory_of_a_block_of_new_pieces(library):
+    numbers = np.random.default_rng(5).integers(0, 26**7, 1_000_000)
+    letters = (numbers[:, None] // 26 ** np.arange(7) % 26 + 97).astype(np.uint8)
+    raw = np.concatenate((letters, np.full((len(letters), 1), 32, np.uint8)), axis=1).tobytes().decode()
+    texts = [raw[k : k + 8000] for k in range(0, len(raw), 8000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    bpe.vocabulary(PATH)
+    tracemalloc.start()
+    try:
+        some = [out.column(1)[0].as_py() for out in bpe.encode_batches(PATH, [batch], True)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert some[0] == library.encode(texts[0], add_special_tokens=False).ids
+    assert peak < 200 << 20
+
+
+def test_late_characters_are_found():
+    every = [c for ranges in (bpe.LATE_MARKS, bpe.LATE_LETTERS, bpe.LATE_CAPITALS) for a, b, *_ in ranges for c in range(a, b + 1)]
+    assert all(bpe._holds_late("é" + chr(c) + "z") for c in every)
+    assert not any(bpe._holds_late(t) for t in ("", "plain", "é ß Ω 日本 😀"))
+
+
+def test_words_with_signs(library):
+    texts = ["word. word, \"word\" word\" a. .a ,. ... é. 日本! x'. it's. ’. 1. ½. aé\u0301. ǅ, \u00a0. a\u00a0. \u0588. \u0558, a\u058b. <|endoftext|>. z<|.", "don't! we'll? 's. a's, s'."]
+    for text in texts:
+        pieces = text.split(" ")
+        for p, ids in zip(pieces, bpe.vocabulary(PATH).encode_pieces(pieces)):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(p, add_special_tokens=False).ids, p
+
+
 def test_files_are_taken_by_number(spark, tmp_path):
     rows = spark.createDataFrame([(f"part-{n}-x.parquet", 0, 10) for n in (99999, 100000)], "file string, row long, n_tokens long")
     parts = [str(tmp_path / "t" / f"part-{n}-x.parquet") for n in (99999, 100000)]
