@@ -29,21 +29,30 @@ class WaveletMatrix:
 
     def __init__(self, values: np.ndarray, bits: int):
         self.bits = bits
+        values = values.astype(np.int32)
         self.levels: list[tuple[PackedBits, int]] = []
         for level in range(bits - 1, -1, -1):
             bit = (values >> level & 1).astype(bool)
             self.levels.append((PackedBits(bit), int(len(bit) - bit.sum())))
             values = np.concatenate((values[~bit], values[bit]))
+        # symbols now stand in the order of their bits read backwards: where each one begins
+        symbols, counts = np.unique(values, return_counts=True)
+        seen = values[np.concatenate(([True], np.diff(values) != 0))] if len(values) else values
+        self.begin = np.zeros(1 << bits, np.int32)
+        sizes = np.zeros(1 << bits, np.int64)
+        sizes[symbols] = counts
+        self.begin[seen] = np.cumsum(sizes[seen]) - sizes[seen]
+        self.present = sizes > 0
 
     def rank(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place."""
-        start, stop = np.zeros(len(places), np.int64), places.astype(np.int64)
+        stop = places.astype(np.int64)
         for level, (packed, zeros) in enumerate(self.levels):
             ones = (symbols >> (self.bits - 1 - level) & 1).astype(bool)
-            first, last = packed.rank(start), packed.rank(stop)
-            start = np.where(ones, zeros + first, start - first)
+            last = packed.rank(stop)
             stop = np.where(ones, zeros + last, stop - last)
-        return stop - start
+        # a symbol that does not occur has nowhere to begin
+        return np.where(self.present[symbols], stop - self.begin[symbols], 0)
 
 
 class FmIndex:
@@ -83,20 +92,22 @@ class FmIndex:
         def joined(left: np.ndarray, right: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
             later = np.concatenate((right[shift:], np.zeros(min(shift, len(right)), np.int64)))[: len(left)]
             key = left * (int(right.max(initial=0)) + 1) + later
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = np.empty(len(key), np.int64)
             rank[order] = np.cumsum(np.concatenate(([False], np.diff(key[order]) != 0)))
             return rank, order
 
-        powers, length = [text], 1
+        powers, length, order = [text], 1, None
         while 2 * length <= depth:
-            powers.append(joined(powers[-1], powers[-1], length)[0])
+            rank, order = joined(powers[-1], powers[-1], length)
+            powers.append(rank)
             length *= 2
         rank, done = powers[-1], length
         for k in range(len(powers) - 2, -1, -1):
             if done + 2**k <= depth:
-                rank, done = joined(rank, powers[k], done)[0], done + 2**k
-        rank, order = joined(rank, np.zeros_like(rank), 0)
+                (rank, order), done = joined(rank, powers[k], done), done + 2**k
+        if order is None:
+            rank, order = joined(rank, np.zeros_like(rank), 0)
         return order, rank
 
     def step(self, symbols: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +135,16 @@ class FmIndex:
         starts = np.cumsum(lengths) - lengths
         found = np.full(len(words), -1, np.int64)
         at = np.flatnonzero(lengths >= self.depth)
-        start, stop = np.zeros(len(at), np.int64), np.full(len(at), self.size, np.int64)
+        start = stop = np.zeros(len(at), np.int64)
         for taken in range(1, int(lengths.max(initial=0)) + 1):
             going = lengths[at] >= taken
             if not going.all():
                 at, start, stop = at[going], start[going], stop[going]
             place = starts[at] + lengths[at] - taken
             symbols = codes[place]
-            if taken <= self.depth:
+            if taken == 1:
+                start, stop = self.before[symbols], self.before[symbols + 1]
+            elif taken <= self.depth:
                 start, stop = self.step(symbols, start, stop)
             else:
                 start = self.before[symbols] + self.transform.rank(symbols, start)

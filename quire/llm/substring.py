@@ -57,13 +57,24 @@ def _rolled(hashes: np.ndarray, span: int) -> np.ndarray:
     return total
 
 
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """Where the first of the least of each ``span`` values in a row stands; by doubling."""
+    place, width = np.arange(len(values)), 1
+    while width < span:
+        shift = min(width, span - width)
+        later = values[shift:] < values[:-shift]
+        place = np.where(later, place[shift:], place[:-shift])
+        values = np.where(later, values[shift:], values[:-shift])
+        width += shift
+    return place
+
+
 def segments(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The runs of windows with one anchor: anchor, first window, number of windows."""
     if len(hashes) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = _rolled(hashes, gram)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
-    place = view.argmin(axis=1) + np.arange(len(view))
+    place = _least(grams, window - gram + 1)
     starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     return grams[place[starts]], starts, np.diff(np.append(starts, len(place)))
 

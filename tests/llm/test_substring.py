@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quire.llm import queries, substring
+from quire.llm import fm_index, queries, substring
 from quire.llm.fm_index import FmIndex, WaveletMatrix
 
 
@@ -111,3 +111,29 @@ def test_tables_go_and_one_window_everywhere(docs, spark):
     assert got(result) == brute(rows)
     left = spark.sparkContext._jvm.java.io.File(shared_dir(spark).removeprefix("file://")).list()
     assert not any(x.startswith(("anchors", "counts", "flagged", "segments", "runs")) for x in left)
+
+
+def test_one_place_a_level_is_looked_up(monkeypatch):
+    """The beginning of a symbol is kept, not followed through the levels again for each place."""
+    rng = np.random.default_rng(7)
+    lengths = np.full(300, 27)
+    words = rng.integers(0, 1000, lengths.sum()).astype(np.uint64)
+    index = fm_index.FmIndex(words, lengths, 20)
+    looked, rank = [], fm_index.PackedBits.rank
+    monkeypatch.setattr(fm_index.PackedBits, "rank", lambda self, places: (looked.append(len(places)), rank(self, places))[1])
+    assert (index.first_places(words, lengths) >= 0).sum() == 300 * 8
+    assert sum(looked) <= 300 * 50 * index.transform.bits
+
+
+def test_symbols_that_do_not_occur():
+    matrix = fm_index.WaveletMatrix(np.array([5, 0, 5, 2]), 3)
+    for symbol in range(8):
+        for place in range(5):
+            assert matrix.rank(np.array([symbol]), np.array([place]))[0] == [5, 0, 5, 2][:place].count(symbol)
+
+
+def test_least_of_each_window():
+    values = np.random.default_rng(3).integers(0, 6, 500).astype(np.uint64)
+    for span in (1, 2, 3, 8, 13, 500):
+        view = np.lib.stride_tricks.sliding_window_view(values, span)
+        assert substring._least(values, span).tolist() == (view.argmin(axis=1) + np.arange(len(view))).tolist()
